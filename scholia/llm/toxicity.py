@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
 A bounded sample of the labelled rows (``EXAMPLES`` of each class, by a hash of doc_id) is the example set. Terms are
-words and their prefixes of 4 to 6 characters (languages inflect); those that tell the classes apart in the
+words and their prefixes of 4 to 6 characters (languages inflect), and these again where a text repeats them; those that tell the classes apart in the
 sample, beside one term that every text has, make the vector space. Weights are (1 + ln tf) * idf with
 document frequencies counted over all documents, vectors have length 1, and the examples are indexed
 by inverted lists in blocks of 64 with the largest weight of each term in each block. A query adds up these maxima
@@ -36,26 +36,61 @@ EXAMPLES, TERMS = 4000, 2048
 LEAST_Z, LEAST_LIFT = 4.0, 3.0
 NEIGHBOURS, BLOCK, NEAR, EVIDENCE = 32, 64, 0.05, 3
 CALIBRATE = 2000
-PREFIXES = (4, 5, 6)
+PREFIXES, REPEATS = (4, 5, 6), (2, 3)
 _WORD = re.compile(r"\w+")
 
 
-def features(text: str | None, known: dict[str, int] | None = None) -> dict:
-    """Term counts of a text; with known, only those of its terms, by number."""
-    counts: Counter = Counter()
+def _stems(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+
+
+def _repeats(counts: dict[str, int]) -> dict[str, int]:
+    """Adds the terms of what comes twice or three times, as chance seldom repeats a rare word."""
+    return counts | {f"{t}#{k}": n - k + 1 for t, n in counts.items() for k in REPEATS if n >= k}
+
+
+def features(text: str | None) -> dict[str, int]:
+    """Term counts of a text."""
+    counts: dict[str, int] = {}
     for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        for t in (w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)):
-            if known is None:
-                counts[t] += n
-            elif (i := known.get(t)) is not None:
-                counts[i] += n
-    return counts
+        for t in _stems(w):
+            counts[t] = counts.get(t, 0) + n
+    return _repeats(counts)
+
+
+class Terms:
+    """The numbers of chosen terms, from 1 on."""
+
+    def __init__(self, chosen: list[str]):
+        self.numbers = {t: i + 1 for i, t in enumerate(chosen)}
+        self.stems = {t.split("#")[0] for t in chosen}
+        self.seen: dict[str, list[str]] = {}
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def features(self, text: str | None) -> dict[int, int]:
+        """Counts of the chosen terms in a text, by number."""
+        counts: dict[str, int] = {}
+        seen = self.seen
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            mine = seen.get(w)
+            if mine is None:
+                mine = [t for t in _stems(w) if t in self.stems]
+                if len(seen) < 200_000:
+                    seen[w] = mine
+            for t in mine:
+                counts[t] = counts.get(t, 0) + n
+        return {i: n for t, n in _repeats(counts).items() if (i := self.numbers.get(t))} if counts else {}
 
 
 class Index:
     """Examples as block-max inverted lists. Vectors are lists of (term, weight); term 0 is in every text."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]]):
+    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]]):
         self.terms, self.idf = terms, idf
         # alike examples stand together, so that the maxima of a block say much
         examples = sorted(examples, key=lambda e: (sorted(e[3]), e[0]))
@@ -140,7 +175,7 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Probability that a text is toxic, with the ids and cosines of its nearest examples."""
-        counts = features(text, self.terms)
+        counts = self.terms.features(text)
         key = tuple(sorted(counts.items()))
         if (got := self.cache.get(key)) is None:
             who, cos = self.nearest(self.vector(counts))
@@ -190,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
     z = F.abs(F.col("t") / n1 - F.col("c") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
     terms = terms.filter((z >= LEAST_Z) & (F.greatest(p1 / p0, p0 / p1) >= LEAST_LIFT) & (F.col("c") + F.col("t") >= 4))
     chosen = [r["term"] for r in terms.orderBy(z.desc(), "term").limit(TERMS).collect()]
-    numbers = {t: i + 1 for i, t in enumerate(chosen)}
+    numbers = Terms(chosen)
     held = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
         for b in batches:
             for text in b.column(0):
                 df[0] += 1
-                df[list(features(text.as_py(), held.value))] += 1
+                df[list(held.value.features(text.as_py()))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "df"])
 
@@ -210,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [sorted(features(t.as_py(), held.value).items()) for t in b.column(1)]
+            f = [sorted(held.value.features(t.as_py()).items()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[i for i, _ in x] for x in f], pa.list_(pa.int64())), pa.array([[n for _, n in x] for x in f], pa.list_(pa.int64()))], ["doc_id", "toxic", "t", "n"])
 
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id bigint, toxic int, t array<bigint>, n array<bigint>").collect()
