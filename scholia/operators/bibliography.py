@@ -102,12 +102,18 @@ def message_line(severity: Column, file: Column, line: Column, message: Column)
 
 def drop_empty_fields(entry_rows: DataFrame) -> DataFrame:
     """Entries without fields whose value is an empty string."""
-    return entry_rows.withColumn("fields", F.filter("fields", lambda f: f.value != '""'))
+    return entry_rows.withColumn("fields", F.filter("fields", lambda f: f["value"] != '""'))
 
 
 def remove_opt(entry_rows: DataFrame) -> DataFrame:
     """OPTname becomes name where the value is not empty."""
-    return entry_rows.withColumn("fields", F.transform("fields", lambda f: f.withField("name", F.when(f.name.startswith("OPT") & (F.length(f.name) > 3) & (F.length(f.value) > 2), F.substring(f.name, F.lit(4), F.length(f.name))).otherwise(f.name))))
+
+    def bare(f: Column) -> Column:
+        name = f["name"]
+        cut = name.startswith("OPT") & (F.length(name) > 3) & (F.length(f["value"]) > 2)
+        return f.withField("name", F.when(cut, F.substring(name, F.lit(4), F.length(name))).otherwise(name))
+
+    return entry_rows.withColumn("fields", F.transform("fields", bare))
 
 
 def duplicate_keys(entry_rows: DataFrame) -> DataFrame:

@@ -231,7 +231,8 @@ class Parser:
                 seen = True
                 self.i += 1
                 if not self.o.prettyprint:
-                    self.emit("NEWLINE", "\n", self.line(self.i - 1))
+                    if not self.level:
+                        self.emit("NEWLINE", "\n", self.line(self.i - 1))
                 elif not self.level or self.verbatim:
                     self.page.put("\n")
             else:
