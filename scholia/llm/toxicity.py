@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     train = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    train = materialize(train.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-labels")
     there = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(there) < 2:
         return float(1 in there)
