@@ -81,11 +81,12 @@ def hyphenate_isbn(value: Column, ranges: list[tuple[str, str]] | None = None) -
             for b, e in (ISBN_RANGES if ranges is None else ranges)
         )
     )
-    prefix = lambda r: F.substring(ten, F.lit(1), r.n)
-    hit = F.element_at(F.filter(table, lambda r: (prefix(r) >= r.low) & (prefix(r) <= r.high)), 1)
-    parts = F.concat_ws("-", F.substring(ten, F.lit(1), hit.g), F.substring(ten, hit.g + 1, hit.n - hit.g), F.substring(ten, hit.n + 1, 9 - hit.n), F.substring(ten, 10, 1))
-    full = F.when(F.length(s) == 13, F.concat(F.substring(s, 1, 3), F.lit("-"), parts)).otherwise(parts)
-    return F.when(F.length(s).isin(10, 13) & (F.try_element_at(F.filter(table, lambda r: (prefix(r) >= r.low) & (prefix(r) <= r.high)), F.lit(1)).isNotNull()), full).otherwise(value)
+    prefix = F.substring  # of the ten digits, as long as a range's bounds
+    inside = lambda r: (prefix(ten, F.lit(1), r.n) >= r.low) & (prefix(ten, F.lit(1), r.n) <= r.high)
+    cut = lambda r: F.concat_ws("-", prefix(ten, F.lit(1), r.g), prefix(ten, r.g + 1, r.n - r.g), prefix(ten, r.n + 1, 9 - r.n), prefix(ten, 10, 1))
+    parts = F.try_element_at(F.transform(F.filter(table, inside), cut), F.lit(1))
+    full = F.concat(F.when(F.length(s) == 13, F.concat(F.substring(s, 1, 3), F.lit("-"))).otherwise(""), parts)
+    return F.when(F.length(s).isin(10, 13), F.coalesce(full, value)).otherwise(value)
 
 
 def roman_to_int(value: Column) -> Column:
