@@ -202,3 +202,23 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "old_name", deleted:
     """base with changes by key: changed rows replace, deleted ones go, new ones come."""
     kept = base.join(F.broadcast(changes.select(key)), key, "left_anti") if changes.count() <= 10_000 else base.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes.filter(~F.col(deleted)).drop(deleted))
+
+
+def keyword_lines(config: Config) -> list[str]:
+    """The keyword table as it is printed."""
+    return [f"{old:<31}\t{new:<31}" for old, new in sorted(config.keywords.items())]
+
+
+def pattern_lines(config: Config, file: str = "") -> list[str]:
+    """The pattern table as it is printed."""
+    return [f"file=[{file}] field=[{f:<12}] pattern=[{p}]" + (f" message[{m}]" if m else "") for f, rows in sorted(config.patterns.items()) for p, m in rows]
+
+
+def isbn_lines(config: Config) -> list[str]:
+    """The range table as it is printed: a group's countries stand where they change."""
+    out, last = [], None
+    for begin, end in config.isbn_ranges:
+        countries = config.countries.get(begin, "")
+        out.append(f"{begin:<11}\t{end:<11}" + (f"\t{countries}" if countries and countries != last else ""))
+        last = countries
+    return out

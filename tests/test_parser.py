@@ -109,3 +109,14 @@ def test_pipeline_and_stream(spark, tmp_path):
     assert r.output.first()["text"] == PRETTY and r.exit_code() == 1 and r.entries.count() >= 2
     streaming.entries_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/out").filter("kind = 'entry'").count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scholia.__main__ import main
+
+    (tmp_path / "a.bib").write_text(SAMPLE)
+    (tmp_path / "k.key").write_text('"note" "Note"\n')
+    code = main(["-keyword-file", str(tmp_path / "k.key"), "-print-keyword-table", "-output-file", str(tmp_path / "out"), str(tmp_path / "a.bib")])
+    assert code == 0 and (tmp_path / "out").read_text() == PRETTY.replace("  note =         ", "  Note =         ")
+    assert "note                           \tNote" in capsys.readouterr().out
+    assert main(["-nonsense"]) == 1
