@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy kernels take at a time; a longer single text goes alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -38,10 +38,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Narrow rows that a task writes at least where the size of a scratch table is known.
+ROWS_OF_TASK = 100_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. rows, an upper bound
+    of its narrow rows, keeps a small table from being written by many tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS_OF_TASK) or 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,12 +5,17 @@ form a class, named by a hash of the set. Classes are branched by trees: under a
 of all shingles, a class descends along its minwise tokens, and classes with the same first
 ``level`` tokens share a node. Two sets of similarity J meet in a node with probability near J**level, so
 independent trees are repeated until the chance that a pair at the threshold meets nowhere is below 1e-6.
-Nodes are compared exhaustively in their task by 256-byte sketches with a margin of five standard
-deviations, and what passes is confirmed on the full sets of the whole texts.
 
-Groups of any size stay linear: first every class is confirmed against the node pivot it meets most often,
-which joins big groups as stars; afterwards a node only compares classes whose components still differ. A node with few
-classes outside its largest component is cut into blocks that each get those few. Other big nodes
+Nodes are compared exhaustively in their task, and a node only emits what joins components, never its pairs. So groups
+of any size stay linear:
+
+1. every class is confirmed against the node pivot that it meets most often, which joins big groups as stars;
+2. a class that is still outside its node's largest component is confirmed against the classes of other components that
+   256-byte sketches call most alike, over all its trees;
+3. where sketches, with a margin of five standard deviations, leave pairs of different components possible, the full
+   sets of those classes meet in the node's task and are compared exactly.
+
+In step 3 a node with few classes outside its largest component is cut into blocks that each get those few. Other big nodes
 branch deeper, with more trees, and at the last level are compared in pairs of blocks. Nothing is dropped.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
@@ -34,6 +39,10 @@ LEVELS = ((2, 16), (4, 32), (6, 64))
 #: Most classes that a node compares in one task.
 NODE_MAX = 256
 SKETCH = 256
+#: Edges, 16 bytes each, that one task joins at most.
+EDGES_OF_TASK = 200_000
+#: Most alike classes that a class is confirmed with before the exact step.
+BEST = 2
 #: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -48,7 +57,7 @@ def path_keys(tokens: np.ndarray, level: int, trees: int) -> np.ndarray:
     """One node key for each tree: the hash of the level smallest tokens under the tree's order."""
     seeds = _tree_seeds(trees, level)
     keys = np.empty(trees, np.uint64)
-    step = max(1, (1 << 21) // max(1, len(tokens)))
+    step = max(1, (1 << 17) // max(1, len(tokens)))
     for a in range(0, trees, step):
         h = mix64(tokens[None, :] ^ seeds[a : a + step, None])
         low = np.sort(np.partition(h, level - 1, axis=1)[:, :level] if h.shape[1] > level else h, axis=1)
@@ -103,62 +112,83 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes that are similar on their full sets; written."""
-    ids = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep"), "cid"), f"{label}-ids")
+def _own(width: int):
+    """Rows (cid, text) whose text has that set, as rows that repeat a doc_id may hold another, with the set."""
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # rows that repeat a doc_id may hold another set
-            keep = []
-            for ids_, offs, raw in text_slices(b.column(0), b.column(1)):
-                words, at = word_hashes(offs, raw)
-                keep += [len(s := shingle_set(words[x:y], width)) > 0 and class_id(s) == c.as_py() for x, y, c in zip(at[:-1], at[1:], ids_, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for ids, offs, raw in text_slices(b.column(0), b.column(1)):
+                words, starts = word_hashes(offs, raw)
+                sets = [shingle_set(words[x:y], width) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+                keep = [len(s) > 0 and class_id(s) == c.as_py() for s, c in zip(sets, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, b.column(1).slice(at, len(ids)), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "text", "tokens"]).filter(pa.array(keep, pa.bool_()))
+                at += len(ids)
+
+    return run
+
+
+def confirm(pairs: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """Those of the n distinct pairs (a, b) of classes that are similar on their full sets; written."""
+    ids = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep"), "cid"), f"{label}-ids", 2 * n)
 
-    texts = docs.join(small_or_shuffled(ids), docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(own, "cid bigint, text string")
+    texts = docs.join(small_or_shuffled(ids), docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "text")
     texts = materialize(texts, f"{label}-texts")
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
 
+    def sets_of(texts: pa.Array) -> list[np.ndarray]:
+        got = []
+        for _, offs, raw in text_slices(texts, texts):
+            words, at = word_hashes(offs, raw)
+            got += [shingle_set(words[x:y], width) for x, y in zip(at[:-1], at[1:], strict=True)]
+        return got
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for col in (1, 3):
-                got = []
-                for _, offs, raw in text_slices(b.column(col), b.column(col)):
-                    words, at = word_hashes(offs, raw)
-                    got += [shingle_set(words[x:y], width) for x, y in zip(at[:-1], at[1:], strict=True)]
-                sets.append(got)
-            ok = [_similar(x, y, percent) for x, y in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                ok = [_similar(x, y, percent) for x, y in zip(sets_of(part.column(1)), sets_of(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
-    return materialize(joined.mapInArrow(test, "a bigint, b bigint").distinct(), f"{label}-links")
+    return materialize(joined.mapInArrow(test, "a bigint, b bigint"), f"{label}-links")
 
 
-def _roots(parent: DataFrame, label: str) -> DataFrame:
-    """(cid, comp) of a forest (cid, parent), by pointer jumping."""
-    parent = materialize(parent.select("cid", F.col("parent").alias("comp")), label)
-    while True:
-        up = parent.select(F.col("cid").alias("comp"), F.col("comp").alias("above"))
-        parent = materialize(parent.join(up, "comp", "left").select("cid", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")), label)
-        if parent.filter("moved").isEmpty():
-            return parent.select("cid", "comp")
-        parent = parent.select("cid", "comp")
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, comp) of all edges (hi, lo) in one task."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = root[up]
+            c = up
+        return c
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    every = [(c, find(c)) for c in list(root)]
+    yield pa.RecordBatch.from_arrays([pa.array([c for c, r in every if c != r], pa.int64()), pa.array([r for c, r in every if c != r], pa.int64())], ["cid", "comp"])
 
 
 def connected(edges: DataFrame, label: str) -> DataFrame:
-    """(cid, comp): for each node of the edges (a, b) the smallest node that it reaches. Alternates
-    large-star and small-star steps until nothing changes."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), label)
-    before = None
+    """(cid, comp): for each node of the edges (a, b) that reaches a smaller one, the smallest. Up to EDGES_OF_TASK edges
+    are joined in one task; more by large-star and small-star steps, alternating until nothing changes."""
+    e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
+    e = materialize(e, label)
+    n, before = e.count(), None
+    if n <= EDGES_OF_TASK:
+        return materialize(e.coalesce(1).mapInArrow(_join_all, "cid bigint, comp bigint"), label, n)
     while True:
         both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        m = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
-        large = materialize(both.join(m, "u").filter("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), label)
-        m = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), label)
+        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        m = materialize(m, label, 2 * n)  # plain tables on both sides, so that a hub's rows can be split
+        large = materialize(both.join(m, "u").filter("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), label, 2 * n)
+        m = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), label, 2 * n)
         small = large.join(m, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = materialize(small.union(m.toDF("hi", "lo")).distinct(), label)
+        e = materialize(small.union(m.toDF("hi", "lo")).distinct(), label, 2 * n)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("hi").alias("cid"), F.col("lo").alias("comp"))
@@ -171,52 +201,31 @@ def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def _compare(percent: int):
-    """Pairs of one node part whose components differ and whose sketches may be similar enough."""
-    j = percent / 100
-
-    def pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, role: np.ndarray, sk: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out, has = [], sk > 0
-        for i in np.flatnonzero(role == 0):
-            other = np.flatnonzero((comp != comp[i]) & ((role == 1) | (cid > cid[i])) & (n * j <= n[i]) & (n[i] * j <= n))
-            if not len(other):
-                continue
-            rows = sk[other]
-            either = np.count_nonzero(has[other] | has[i], axis=1)
-            same = np.count_nonzero((rows == sk[i]) & has[i], axis=1)
-            ok = other[same >= either * j - 5 * np.sqrt(either * j * (1 - j))]
-            if len(ok):
-                out.append((np.minimum(cid[i], cid[ok]), np.maximum(cid[i], cid[ok])))
-        return out
+def _by_part(schema: pa.Schema, handle):
+    """Calls handle for each node part of sorted rows; it returns lists of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             key, part = t["key"].to_numpy(), t["part"].to_numpy()
-            cid, comp, n, role = (t[c].to_numpy() for c in ("cid", "comp", "n_shingles", "role"))
-            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), len(key)]
-            got = [x for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z - a > 1 for x in pairs(cid[a:z], comp[a:z], n[a:z], role[a:z], sk[a:z])]
-            a = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
-            b = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int64)
-            if len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            got = [handle(t.slice(a, z - a)) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z - a > 1]
+            cols = [np.concatenate([g[k] for g in got]) if got else [] for k in range(len(schema))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # rows are sorted by node part; the last part may go on in the next batch
             key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            if held and (held[0].column("key")[0].as_py(), held[0].column("part")[0].as_py()) != (key[0], part[0]):
+                yield flush(pa.Table.from_batches(held))
+                held = []
+            last = np.flatnonzero((key != key[-1]) | (part != part[-1]))  # the last part may go on in the next batch
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
-            elif held and (held[0].column("key")[0].as_py(), held[0].column("part")[0].as_py()) != (key[0], part[0]):
-                yield flush(pa.Table.from_batches(held))
-                held = []
             held.append(batch.slice(cut))
         if held:
             yield flush(pa.Table.from_batches(held))
@@ -224,11 +233,114 @@ def _compare(percent: int):
     return run
 
 
-def _members(classes: DataFrame, label: str) -> DataFrame:
-    """(key, cid, pivot) of all nodes with two classes or more; pivot is the smallest class."""
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    return [t[c].to_numpy() for c in ("cid", "comp", "n_shingles", "role")]
+
+
+def _possible(percent: int, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, their estimated similarity) where sketches leave a link between components possible."""
+    j = percent / 100
+    cid, comp, n, role = _columns(t)
+    sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    has = sk > 0
+    for i in np.flatnonzero(role == 0):
+        other = np.flatnonzero((comp != comp[i]) & (n * j <= n[i]) & (n[i] * j <= n))
+        if len(other):
+            either = np.count_nonzero(has[other] | has[i], axis=1)
+            same = np.count_nonzero((sk[other] == sk[i]) & has[i], axis=1)
+            ok = same >= either * j - 5 * np.sqrt(either * j * (1 - j))
+            if ok.any():
+                yield i, other[ok], same[ok] / either[ok]
+
+
+def _best(percent: int):
+    """(cid, other, alike): for each class outside its part's largest component the most alike of other components."""
+
+    def handle(t: pa.Table):
+        cid, out = t["cid"].to_numpy(), []
+        for i, other, alike in _possible(percent, t):
+            k = int(np.lexsort((cid[other], -alike))[0])
+            out.append((cid[i], cid[other[k]], alike[k]))
+        return [np.array([x[k] for x in out], d) for k, d in enumerate((np.int64, np.int64, float))]
+
+    return _by_part(pa.schema([("cid", pa.int64()), ("other", pa.int64()), ("alike", pa.float64())]), handle)
+
+
+def _involved(percent: int):
+    """(key, part, cid, comp, role) of the classes with a possible link to another component."""
+
+    def handle(t: pa.Table):
+        some: set[int] = set()
+        for i, other, _ in _possible(percent, t):
+            some.update((i, *other.tolist()))
+        at = np.array(sorted(some), np.int64)
+        return [t[c].to_numpy()[at] for c in ("key", "part", "cid", "comp", "role")]
+
+    return _by_part(pa.schema([("key", pa.int64()), ("part", pa.int64()), ("cid", pa.int64()), ("comp", pa.int64()), ("role", pa.int32())]), handle)
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share, by products of slices of the member matrix."""
+    r = len(sets)
+    every, row = np.concatenate(sets), np.repeat(np.arange(r), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col)[col] > 1 if len(col) else new
+    col, row = col[shared], row[shared]
+    col = np.cumsum(np.concatenate([[0], np.diff(col) != 0])) if len(col) else col
+    out = np.zeros((r, r), np.float32)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        lo, hi = np.searchsorted(col, (a, a + 4096))
+        m = np.zeros((r, 4096), np.float32)
+        m[row[lo:hi], col[lo:hi] - a] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _exact(percent: int):
+    """(a, b): links of a part on full sets, as many as join its components."""
+
+    def handle(t: pa.Table):
+        cid, comp, role = (t[c].to_numpy() for c in ("cid", "comp", "role"))
+        sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        both = common_counts(sets)
+        ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & ((role[:, None] == 0) | (role[None, :] == 0))
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, k in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[k]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(cid[i], cid[k]), max(cid[i], cid[k])))
+        return [np.array([x[k] for x in out], np.int64) for k in (0, 1)]
+
+    return _by_part(pa.schema([("a", pa.int64()), ("b", pa.int64())]), handle)
+
+
+def _members(classes: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(key, cid, pivot) of all nodes with two classes or more, and how many rows; pivot is the smallest class."""
     nodes = classes.select("cid", F.explode("paths").alias("key"))
-    multi = materialize(nodes.groupBy("key").agg(F.min("cid").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"), f"{label}-nodes")
-    return materialize(nodes.join(multi, "key"), f"{label}-members")
+    multi = materialize(nodes.groupBy("key").agg(F.min("cid").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), f"{label}-nodes")
+    n = multi.agg(F.sum("n")).first()[0] or 0
+    return materialize(nodes.join(multi.select("key", "pivot"), "key"), f"{label}-members", n), n
+
+
+def _blocks(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Nodes in parts of about NODE_MAX classes, each class in one: (key, part, role, cid, comp); role 0 for the classes
+    outside the largest component."""
+    rows = rows.join(mixed, "key")
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / NODE_MAX))
+    return rows.select("key", part.cast("long").alias("part"), F.when(F.col("comp") == F.col("giant"), 1).otherwise(0).alias("role"), "cid", "comp")
 
 
 def _parts(rows: DataFrame, mixed: DataFrame, last: bool) -> DataFrame:
@@ -251,6 +363,31 @@ def _parts(rows: DataFrame, mixed: DataFrame, last: bool) -> DataFrame:
     return rows.select("key", "cid", "comp", F.explode(F.when(small, whole).when(few, star).otherwise(grid)).alias("p")).select("key", "p.part", "p.role", "cid", "comp")
 
 
+def _sorted(parts: DataFrame) -> DataFrame:
+    return parts.repartition("key", "part").sortWithinPartitions("key", "part")
+
+
+def _mixed(members: DataFrame, n: int, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, cid, comp) of the nodes, and (key, n, largest, giant) of those with more than one component."""
+    rows = materialize(_labelled(members.select("key", "cid"), comps), "neardup-rows", n)
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+    return rows, materialize(mixed.select("key", "n", F.col("top.c").alias("largest"), F.col("top.comp").alias("giant")), "neardup-mixed", n)
+
+
+def _merged(comps: DataFrame | None, links: DataFrame, bound: int) -> DataFrame | None:
+    """Components with the links (a, b) of classes added; at most bound classes."""
+    if links.isEmpty():
+        return comps
+    named = _labelled(_labelled(links.withColumnRenamed("a", "cid"), comps).select(F.col("comp").alias("ca"), F.col("b").alias("cid")), comps)
+    merged = connected(named.select(F.col("ca").alias("a"), F.col("comp").alias("b")), "neardup-merge")
+    if comps is None:
+        return merged
+    over = merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
+    old = comps.join(over, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp"))
+    return materialize(old.union(merged.join(comps.select("cid"), "cid", "left_anti")), "neardup-comps", bound)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row. Links are pairs with
     100 * intersection >= percent * union; percent is at least 50."""
@@ -261,53 +398,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         sigs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")),
         "neardup-classes",
     )
-    members = _members(classes, "neardup")
+    members, n_members = _members(classes, "neardup")
     # stars: each class with the pivot that it meets in most trees
     met = members.filter("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("met")).filter(F.col("met") >= max(2, trees // 6))
     best = met.groupBy("cid").agg(F.max(F.struct("met", (-F.col("pivot")).alias("less"), "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cid").alias("b"))
-    best = materialize(best, "neardup-stars")
+    best = materialize(best, "neardup-stars", n_members)
     comps = None
-    if not best.isEmpty():
-        stars = confirm(best, classes, docs, width, percent, "neardup-star")
-        comps = _roots(stars.select(F.col("b").alias("cid"), F.col("a").alias("parent")), "neardup-roots")
-    # what is left: pairs of a node that lie in different components
-    for k, (_, trees) in enumerate(levels):
+    if n_best := best.count():
+        stars = confirm(best, n_best, classes, docs, width, percent, "neardup-star")
+        comps = None if stars.isEmpty() else connected(stars, "neardup-roots")
+    bound = 2 * n_best
+    for k in range(len(levels)):
         last = k == len(levels) - 1
-        rows = materialize(_labelled(members.select("key", "cid"), comps), "neardup-rows")
-        counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        mixed = materialize(mixed.select("key", "n", F.col("top.c").alias("largest"), F.col("top.comp").alias("giant")), "neardup-mixed")
-        big = F.col("n") - F.col("largest") > NODE_MAX
-        here = mixed if last else mixed.filter(~big | (F.col("n") <= NODE_MAX))
-        parts = _parts(rows, here, last).join(classes.select("cid", "n_shingles", "sketch"), "cid")
-        parts = parts.repartition("key", "part").sortWithinPartitions("key", "part")
-        found = materialize(parts.mapInArrow(_compare(percent), "a bigint, b bigint").distinct(), "neardup-pairs")
-        if not found.isEmpty():
-            links = confirm(found, classes, docs, width, percent, "neardup-rest")
-            if not links.isEmpty():
-                links = _labelled(_labelled(links.withColumnRenamed("a", "cid"), comps).select(F.col("comp").alias("ca"), F.col("b").alias("cid")), comps).select(F.col("ca").alias("a"), F.col("comp").alias("b"))
-                merged = connected(links, "neardup-merge")
-                if comps is None:
-                    comps = merged
-                else:
-                    over = merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
-                    old = comps.join(over, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp"))
-                    comps = old.union(merged.join(comps.select("cid"), "cid", "left_anti"))
-                comps = materialize(comps, "neardup-comps")
-        if last:
-            break
-        deep = materialize(rows.join(mixed.filter(big & (F.col("n") > NODE_MAX)).select("key"), "key").select("cid").distinct().join(classes.select("cid", "rep", "n_shingles", "sketch"), "cid"), "neardup-deep")
-        if deep.isEmpty():
+        rows, mixed = _mixed(members, n_members, comps)
+        sketched = _sorted(_blocks(rows, mixed).join(classes.select("cid", "n_shingles", "sketch"), "cid"))
+        near = sketched.mapInArrow(_best(percent), "cid bigint, other bigint, alike double").distinct()
+        near = near.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "other")), False), 1, BEST).alias("best"))  # at most one for each of the class's trees
+        near = near.select("cid", F.explode("best.other").alias("other")).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        near = materialize(near, "neardup-near", n_members)
+        if n_near := near.count():
+            comps = _merged(comps, confirm(near, n_near, classes, docs, width, percent, "neardup-near"), bound := bound + 2 * n_near)
+            rows, mixed = _mixed(members, n_members, comps)
+        # exactly what is left; big nodes with many outside wait for the next level
+        deeper = (F.col("n") - F.col("largest") > NODE_MAX) & (F.col("n") > NODE_MAX)
+        parts = _parts(rows, mixed if last else mixed.filter(~deeper), last)
+        some = _sorted(parts.join(classes.select("cid", "n_shingles", "sketch"), "cid")).mapInArrow(_involved(percent), "key bigint, part bigint, cid bigint, comp bigint, role int")
+        some = materialize(some, "neardup-involved")
+        if not some.isEmpty():
+            ids = materialize(some.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "neardup-ids", n_members)
+            sets = docs.join(small_or_shuffled(ids), docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "tokens").dropDuplicates(["cid"])
+            links = _sorted(some.join(sets, "cid")).mapInArrow(_exact(percent), "a bigint, b bigint").distinct()
+            comps = _merged(comps, materialize(links, "neardup-links", n_members), bound := bound + 2 * n_members)
+        if last or mixed.filter(deeper).isEmpty():
             break
+        deep = materialize(rows.join(mixed.filter(deeper).select("key"), "key").select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "neardup-deep", n_members)
         level, trees = levels[k + 1]
         sub = docs.join(small_or_shuffled(deep.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
         paths = signatures(sub, width, level, trees, sketches=False).filter("cid is not null").select("cid", "paths").dropDuplicates(["cid"])
-        members = _members(paths.join(deep.select("cid"), "cid", "left_semi"), "neardup-deeper")
+        members, n_members = _members(paths.join(deep.select("cid"), "cid", "left_semi"), "neardup-deeper")
     # every class of a component of two documents or more gets the smallest doc_id
     if comps is None:
         comps = classes.select("cid", F.col("cid").alias("comp")).limit(0)
-    named = materialize(comps.union(comps.select(F.col("comp").alias("cid"), "comp")).distinct().join(classes.select("cid", "rep"), "cid"), "neardup-named")
-    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "neardup-least")
+    n_linked = 2 * comps.count()
+    named = materialize(comps.union(comps.select(F.col("comp").alias("cid"), "comp")).distinct().join(classes.select("cid", "rep"), "cid"), "neardup-named", n_linked)
+    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "neardup-least", n_linked)
     linked = named.join(least, "comp").select("cid", "component_id")
     single = classes.select("cid", "rep").join(sigs.groupBy("cid").agg(F.count("*").alias("c")).filter("c > 1"), "cid", "left_semi").join(named.select("cid"), "cid", "left_anti").toDF("cid", "component_id")
     names = materialize(linked.union(single), "neardup-names")
@@ -320,3 +454,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, width, percent)
     gone = materialize(found.filter("not kept").select("doc_id").distinct(), "neardup-gone")
     return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The rows of near_duplicates(documents, width=4).
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT p.y, reach.c FROM reach JOIN p ON p.x = reach.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""

@@ -342,7 +342,17 @@ def test_near_duplicates_odd(spark, odd):
     assert kept.columns == odd.columns and kept.count() == 7
 
 
-def test_connected(spark):
+def test_common_counts():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)] + [np.zeros(0, np.uint64)]
+    want = [[len(np.intersect1d(a, b)) if len(np.intersect1d(a, b)) else 0 for b in sets] for a in sets]
+    got = neardup.common_counts(sets)
+    assert all(got[i][j] == want[i][j] for i in range(13) for j in range(13) if i != j)
+
+
+@pytest.mark.parametrize("in_task", [0, 200_000])
+def test_connected(spark, monkeypatch, in_task):
+    monkeypatch.setattr(neardup, "EDGES_OF_TASK", in_task)
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]
     parent = {v: v for e in edges for v in e}
