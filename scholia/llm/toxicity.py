@@ -37,6 +37,8 @@ LEAST_Z, LEAST_LIFT = 4.0, 3.0
 NEIGHBOURS, BLOCK, NEAR, EVIDENCE = 32, 64, 0.05, 3
 CALIBRATE = 2000
 PREFIXES, REPEATS = (4, 5, 6), (2, 3)
+#: Words and term counts whose results a task remembers; what is beyond is computed anew.
+SEEN_WORDS, SEEN_TEXTS = 50_000, 4_000
 _WORD = re.compile(r"\w+")
 
 
@@ -80,7 +82,7 @@ class Terms:
             mine = seen.get(w)
             if mine is None:
                 mine = [t for t in _stems(w) if t in self.stems]
-                if len(seen) < 200_000:
+                if len(seen) < SEEN_WORDS:
                     seen[w] = mine
             for t in mine:
                 counts[t] = counts.get(t, 0) + n
@@ -181,7 +183,7 @@ class Index:
             who, cos = self.nearest(self.vector(counts))
             z = self.slope * _log_odds(self.vote(who, cos)) + self.shift
             got = (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), self.ids[who[:EVIDENCE]].tolist(), np.minimum(cos[:EVIDENCE], 1).tolist())
-            if len(self.cache) < 50_000:
+            if len(self.cache) < SEEN_TEXTS:
                 self.cache[key] = got
         return got
 
