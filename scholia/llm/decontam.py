@@ -174,3 +174,17 @@ def brute_leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                     out.add((d, i))
                     break
     return out
+
+
+#: The rows of leaks(documents, benchmark): every equal word pair of a document and an item lies on a diagonal.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS ws FROM benchmark),
+dt AS (SELECT doc_id, len(ws) AS dn, unnest(ws) AS t, unnest(range(0, len(ws))) AS p FROM d),
+bt AS (SELECT item_id, len(ws) AS bn, unnest(ws) AS t, unnest(range(0, len(ws))) AS q FROM b WHERE len(ws) >= 5),
+h AS (SELECT doc_id, item_id, dn, bn, p - q AS diff, q, least(bn, dn - (p - q)) - greatest(0, q - p) AS overlap, least(bn, 13) AS need FROM dt JOIN bt USING (t)),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diff ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near FROM h WHERE overlap >= need),
+g AS (SELECT doc_id, item_id, diff, any_value(overlap) AS overlap, count(*) AS agreeing FROM r GROUP BY doc_id, item_id, diff HAVING bool_or(100 * near >= 80 * need)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, diff) AS rn FROM g)
+SELECT doc_id, item_id, greatest(0, -diff) + diff AS doc_word, greatest(0, -diff) AS item_word, overlap, agreeing FROM k WHERE rn = 1
+"""

@@ -64,4 +64,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_warc_revisits, op3_token_counts, op4_html_text, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_fingerprints, op10_mixture)
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_revisits": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_near_duplicates": neardup.ORACLE}

@@ -60,14 +60,15 @@ def test_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    p = f"{DATA}/pages.parquet"
-    c.execute(f"create view pages as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
+    for t in ("pages", "documents", "benchmark"):
+        p = f"{DATA}/{t}.parquet"
+        c.execute(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     for name, sql in ORACLE_SQL.items():
         cur = c.execute(sql)
         names = [x[0] for x in cur.description]
         got = QUERIES[name](spark, DATA)
         assert sorted(names) == sorted(got.columns)
-        assert sorted(cur.fetchall()) == sorted(tuple(r[n] for n in names) for r in got.collect())
+        assert sorted(cur.fetchall()) == sorted(tuple(r[n] for n in names) for r in got.collect()), name
 
 
 def test_stages_use_the_operators():
