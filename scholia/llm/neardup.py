@@ -18,6 +18,9 @@ of any size stay linear:
 In step 3 a node with few classes outside its largest component is cut into blocks that each get those few. Other big nodes
 branch deeper, with more trees, and at the last level are compared in pairs of blocks. Nothing is dropped.
 
+Long paths say little of small sets: one of fewer tokens than the path meets only equal sets. So the classes of deferred nodes with up to SMALL
+shingles are first joined exactly, by the subsets that two of them may have in common (small_links).
+
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
 than a shingle is one shingle; rows that repeat a doc_id share a component_id, the smallest of all their sets' ones
 being kept for each row's own set; extra columns are ignored; an empty table gives no rows.
@@ -26,6 +29,8 @@ being kept for each row's own set; extra columns are ignored; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,10 @@ LEVELS = ((2, 16), (4, 32), (6, 64))
 #: Most classes that a node compares in one task.
 NODE_MAX = 256
 SKETCH = 256
+#: Shingles of the largest set that, at similarity 0.8, a deeper level of LEVELS may miss with a chance above 1e-6 (12 shared of 15).
+SMALL = 15
+#: Subset keys that a worker holds at a time.
+KEYS_OF_BATCH = 200_000
 #: Edges, 16 bytes each, that one task joins at most.
 EDGES_OF_TASK = 200_000
 #: Most alike classes that a class is confirmed with before the exact step.
@@ -155,6 +164,59 @@ def confirm(pairs: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width
     return materialize(joined.mapInArrow(test, "a bigint, b bigint"), f"{label}-links")
 
 
+def common_slack(percent: int, common: int) -> int:
+    """How many tokens two linked sets may have, together, beyond so many that they share."""
+    return common * (100 - percent) // percent
+
+
+@cache
+def _left_out(n: int, d: int) -> np.ndarray:
+    """All choices of d of n members, a row each."""
+    return np.array(list(combinations(range(n), d)), np.int64)
+
+
+def subset_keys(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(d, class_id of each subset without d tokens) for every d that a link of the set to another allows."""
+    n = len(tokens)
+    for d in range(n):
+        if d > common_slack(percent, n - d):
+            break
+        h = mix64(tokens + np.uint64(n - d))
+        yield d, mix64(np.sum(h, dtype=np.uint64) - h[_left_out(n, d)].sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def small_links(sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links (a, b) that join the components of small sets (cid, tokens) exactly; written. Linked sets meet at what they share, c tokens,
+    as c with d and e more, d + e <= common_slack(c). Where d is the least at c, each other linked with any there
+    is linked with that one too, so a star holds all of c's components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "cid", "d", "slack"]
+
+        def out(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+            reps = [len(r[0]) for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows])), *(pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), reps)) for k in (1, 2, 3))], names)
+
+        rows, held = [], 0
+        for b in batches:
+            for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                for d, keys in subset_keys(tokens, percent):
+                    rows.append((keys, c, d, common_slack(percent, len(tokens) - d)))
+                    held += len(keys)
+                if held >= KEYS_OF_BATCH:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    keys = materialize(sets.select("cid", "tokens").mapInArrow(run, "key bigint, cid bigint, d bigint, slack bigint"), f"{label}-keys")
+    heads = keys.groupBy("key").agg(F.min(F.struct("d", "cid")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    heads = materialize(heads.select("key", F.col("head.cid").alias("a"), F.col("head.d").alias("e")), f"{label}-heads")
+    links = keys.join(heads, "key").filter("cid <> a and d + e <= slack")
+    return materialize(links.select("a", F.col("cid").alias("b")).distinct(), f"{label}-links")
+
+
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, comp) of all edges (hi, lo) in one task."""
     root: dict[int, int] = {}
@@ -432,6 +494,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if last or mixed.filter(deeper).isEmpty():
             break
         deep = materialize(rows.join(mixed.filter(deeper).select("key"), "key").select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "neardup-deep", n_members)
+        if k == 0:  # what is deferred later was deferred here
+            few = materialize(deep.join(classes.filter(F.col("n_shingles") <= SMALL).select("cid"), "cid", "left_semi"), "neardup-few", n_members)
+            if n_few := few.count():
+                sets = docs.join(small_or_shuffled(few), docs["doc_id"] == few["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "tokens").dropDuplicates(["cid"])
+                comps = _merged(comps, small_links(sets, percent, "neardup-few"), bound := bound + 2 * n_few)
         level, trees = levels[k + 1]
         sub = docs.join(small_or_shuffled(deep.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
         paths = signatures(sub, width, level, trees, sketches=False).filter("cid is not null").select("cid", "paths").dropDuplicates(["cid"])

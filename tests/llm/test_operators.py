@@ -334,6 +334,53 @@ def test_near_duplicates_in_big_nodes(spark, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Short texts that link with one of thousands in their nodes: bases of 4, 5 and 6 shingles, each with one more word."""
+    rows, want = [], {}
+    for g, words in enumerate((7, 8, 9)):
+        base = " ".join(f"g{g}w{k}" for k in range(words))
+        at = 10_000 * g
+        rows += [(at + k, f"{base} v{g}x{k}", "s") for k in range(2600)] + [(at + 5000, base, "s")]
+        want |= {i: at for i, _, _ in rows if i >= at}
+    got = neardup.near_duplicates(frame(spark, rows), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_small_links(spark):
+    """Components of small sets equal those of all pairs."""
+    rng = np.random.default_rng(11)
+    sets = {}
+    for _ in range(30):
+        base = rng.integers(0, 1 << 60, 15)[: rng.integers(2, 16)]
+        for _ in range(12):
+            s = np.unique(np.concatenate([rng.permutation(base)[: len(base) - rng.integers(0, 3)], rng.integers(0, 1 << 60, rng.integers(0, 3))]).astype(np.uint64))
+            if 0 < len(s) <= neardup.SMALL:
+                sets[neardup.class_id(s)] = s
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and neardup._similar(sets[a], sets[b], 80)]
+    got = [(r["a"], r["b"]) for r in neardup.small_links(spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "cid long, tokens binary"), 80, "t").collect()]
+    assert links and {(min(e), max(e)) for e in got} <= set(links)
+
+    def parts(edges):
+        root = {i: i for i in ids}
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = {i: min(a, b) if r in (a, b) else r for i, r in root.items()}
+        return root
+
+    assert parts(links) == parts(got)
+
+
+def test_deeper_levels_miss_no_larger_sets():
+    """At 0.8, pairs with a set above SMALL meet at each level but with a chance of 1e-6."""
+    for level, trees in neardup.LEVELS:
+        for common in range(1, 200):
+            for more in range(1, neardup.common_slack(80, common) + 1):
+                if common + more > neardup.SMALL:
+                    meet = np.prod([max(0, common - i) / (common + more - i) for i in range(level)])
+                    assert (1 - meet) ** trees < 1e-6
+
+
 def test_near_duplicates_odd(spark, odd):
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd, width=4).collect()}
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 4, False), (None, None, True)}
