@@ -2,9 +2,10 @@
 
 Every page's elements are scored as containers: the text of the blocks directly in one counts whole, that of blocks one
 element deeper half, less what is link text. The page votes for the path of its best container, tag and class names
-down from the root with digits generalised, with the container's share of all scores. Spark adds up the votes of each host and path.
+down from the root with digits generalised, with the container's share of all scores; a container inside an article stands for the
+whole article, any other for the smallest one around it, below the body, that holds more text. Spark adds up the votes of each host and path.
 A page is then extracted again from the elements whose path won at its host, or from those of the
-next path that it has, or, where it has none of them, from its own best container.
+next path that it has, or, where it has none of them or they hold much less than its own article, from its own best container.
 
 Menus, headers outside the article, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 known by tag, role, or class and id names, and are neither scored nor extracted. Character references are decoded, white space inside a
@@ -215,9 +216,41 @@ class Page:
         if not s:
             return None
         top = max(s, key=lambda e: (s[e], -e))
-        return top, s[top] / (sum(s.values()) or 1.0)
+        return self._lifted(top), s[top] / (sum(s.values()) or 1.0)
+
+    def _lifted(self, top: int) -> int:
+        """The article or main around a container; without one the smallest container around it, below the body, that holds other text."""
+        around = [e for e in self._block_chain(top) if self.tag[e] in CONTAINERS and self.tag[e] not in ("body", "html")]
+        for tag in ("article", "main"):
+            if (e := next((e for e in around if self.tag[e] == tag), None)) is not None:
+                return e
+        size, articles = [0] * len(self.tag), [0] * len(self.tag)
+        for b in self.blocks:
+            size[b[0]] += 0 if self.dropped[b[0]] else self._size([b])
+        for e in range(len(self.tag) - 1, 0, -1):
+            articles[e] += self.tag[e] in ("article", "main") and not self.dropped[e]
+            size[self.parent[e]] += size[e]
+            articles[self.parent[e]] += articles[e]
+        if top not in around or articles[top]:
+            return top
+        return next((e for e in around if size[e] > size[top]), top)
+
+    def _around(self, top: int, elements: set[int]) -> bool:
+        """Whether an element is one of some elements or around one."""
+        inside = [False] * len(self.tag)
+        for e in range(len(self.tag)):
+            inside[e] = e == top or (e > 0 and inside[self.parent[e]])
+        return any(inside[e] for e in elements)
+
+    @staticmethod
+    def _size(blocks: list[tuple[int, str, int]]) -> int:
+        """Characters of blocks that are more text than links."""
+        return sum(len(t) - linked for _, t, linked in blocks if 2 * linked < len(t))
 
     def text_of(self, elements: set[int]) -> str:
+        return "\n\n".join(t for _, t, _ in self._within(elements))
+
+    def _within(self, elements: set[int]) -> list[tuple[int, str, int]]:
         """The blocks in any of the elements, in page order."""
         memo: dict[int, bool] = {-1: False}
 
@@ -230,7 +263,7 @@ class Page:
             memo.update((c, got) for c in chain)
             return got
 
-        return "\n\n".join(t for e, t, _ in self.blocks if not self.dropped[e] and inside(e))
+        return [b for b in self.blocks if not self.dropped[b[0]] and inside(b[0])]
 
 
 def vote(source: str | None) -> tuple[str, float] | None:
@@ -241,13 +274,17 @@ def vote(source: str | None) -> tuple[str, float] | None:
 
 
 def extract(source: str | None, paths: list[str]) -> str:
-    """The page's text from the first path that it has text in."""
+    """The page's text from the first path that it has text in; from its own best container where that is an article or
+    around the path's elements and has more than twice their text."""
     page = Page(source or "")
+    best = page.best()
     for path in paths:
         mine = {e for e, p in enumerate(page.path) if p == path and (page.tag[e] in BLOCK or e == 0) and not page.dropped[e]}
         if mine and (text := page.text_of(mine)):
+            own = best[0] if best else 0
+            if best and (page.tag[own] in ("article", "main") or page._around(own, mine)) and page._size(page._within({own})) > 2 * page._size(page._within(mine)):
+                return page.text_of({own})
             return text
-    best = page.best()
     return page.text_of({best[0]}) if best else ""
 
 

@@ -194,6 +194,21 @@ def test_html_consensus(spark):
     assert html_extract.extract_pages(df).filter("page_id = 9").first()["text"] == "short but right"
 
 
+LONG = "<p>" + "story words go on " * 20 + "</p>"
+
+
+def test_html_keeps_headline_and_lead(spark):
+    """Text of the article outside its largest wrapper, and pages of a rarer template."""
+    wrapped = "<body><article><h1>Head</h1><p>The lead.</p><div class=body>" + LONG * 3 + "</div></article></body>"
+    beside = "<body><div class=page><div class=lead>The lead.</div><div class=story>" + LONG * 3 + "</div></div><div class=extra>no</div></body>"
+    rare = "<body><div class=page><p>Teaser.</p></div><main>" + LONG + "</main></body>"
+    df = spark.createDataFrame([(1, "http://a/", wrapped), *((n, "http://b/", beside) for n in range(2, 8)), (8, "http://b/", rare)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    story = ("story words go on " * 20).strip()
+    assert got[1] == "\n\n".join(["Head", "The lead.", story, story, story])
+    assert got[2] == "\n\n".join(["The lead.", story, story, story]) and got[8] == story
+
+
 @given(st.text("<>/ap\"'=& !-divnvscrt", max_size=60))
 def test_html_never_crashes(s):
     assert isinstance(html_extract.extract(s, []), str)
