@@ -8,7 +8,7 @@ A page is then extracted again from the elements whose path won at its host, or
 next path that it has, or, where it has none of them or they hold much less than its own article, from its own best container.
 
 Menus, headers outside the article, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-known by tag, role, or class and id names, and are neither scored nor extracted. Character references are decoded, white space inside a
+known by tag, role, or class and id names, and are neither scored nor extracted; names do not drop what is around the article. Character references are decoded, white space inside a
 block becomes one space, blocks join by an empty line.
 
 Hosts may be any size: votes are partially aggregated, and the paths of a host are broadcast while they are
@@ -44,6 +44,11 @@ DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|newsletter|subscribe|signup|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|header|masthead|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Words of a class or id that say what an element has, not what it is.
+MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
+HEADER_NAME = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+#: Names of parts that may be longer than the article, or hold articles of their own.
+OTHER_TEXT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 PATHS_OF_HOST = 5
 BROADCAST_HOSTS, SALTS = 200_000, 32
@@ -60,8 +65,10 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.path, self.tag = [-1], [""], [""]
         self.dropped = [False]
+        self.named: dict[int, bool] = {}  # blocks dropped by a name, and whether it is of OTHER_TEXT
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
+        self._drop_named()
 
     def _parse(self, s: str) -> None:
         stack, pos, n = [0], 0, len(s)
@@ -181,7 +188,14 @@ class Page:
                     hidden = "display:none" in value.replace(" ", "").lower()
         inside = self.path[up]
         article = "article" in inside or "main" in inside
-        drop = self.dropped[up] or tag in DROP_TAGS or (tag == "header" and not article) or role in DROP_ROLES or hidden or (bool(names) and tag not in ("html", "body", "article", "main") and bool(DROP_NAMES.search(names)))
+        drop = self.dropped[up] or tag in DROP_TAGS or (tag == "header" and not article) or role in DROP_ROLES or hidden
+        if names and not drop and tag not in ("html", "body", "article", "main"):
+            names = MODIFIERS.sub("", names)
+            if DROP_NAMES.search(HEADER_NAME.sub("", names) if article else names):
+                if tag in BLOCK:  # what it holds decides
+                    self.named[len(self.tag)] = bool(OTHER_TEXT.search(names))
+                else:
+                    drop = True
         self.parent.append(up)
         self.tag.append(tag)
         # inline elements never hold a container, so their names would only split the votes
@@ -189,6 +203,27 @@ class Page:
         self.dropped.append(drop)
         stack.append(len(self.tag) - 1)
 
+    def _drop_named(self) -> None:
+        """Drops blocks by name, with all inside, but those that are around the page's article: that hold main, all of its
+        article elements or more than half of its text that is no link."""
+        if not self.named:
+            return
+        size, articles, mains = ([0] * len(self.tag) for _ in range(3))
+        for e, text, linked in self.blocks:
+            size[e] += max(0, len(text) - linked)
+        for e in range(len(self.tag) - 1, 0, -1):
+            if not self.dropped[e]:
+                articles[e] += self.tag[e] == "article"
+                mains[e] += self.tag[e] == "main"
+            for x in (size, articles, mains):
+                x[self.parent[e]] += x[e]
+        for e in range(1, len(self.tag)):
+            up = self.dropped[self.parent[e]]
+            if e in self.named and not up:
+                most, every = 2 * size[e] > size[0], articles[e] > 0 and articles[e] == articles[0] and not mains[0]
+                up = not (mains[e] or ((most and every) if self.named[e] else (most or every)))
+            self.dropped[e] = self.dropped[e] or up
+
     def _block_chain(self, e: int) -> Iterator[int]:
         while e >= 0:
             if self.tag[e] in BLOCK or e == 0:

@@ -209,6 +209,18 @@ def test_html_keeps_headline_and_lead(spark):
     assert got[2] == "\n\n".join(["The lead.", story, story, story]) and got[8] == story
 
 
+@pytest.mark.parametrize("names", ["layout has-sidebar", "no-sidebar", "page with-nav", "fixed-header", "side"])
+def test_html_names_around_the_article(names):
+    whole = f"<body><div class='{names}'><div class=sidebar>aside</div>%s</div><p>foot</p></body>"
+    assert html_extract.extract(whole % f"<article><h1>Head</h1>{LONG}</article>", []).startswith("Head\n\nstory")
+    assert html_extract.extract(whole % f"<div><h1>Head</h1>{LONG}</div>", []).startswith("Head\n\nstory")
+
+
+def test_html_names_inside_the_article():
+    page = f"<body><article><header class='entry-header'><h1>Head</h1></header>{LONG}<div class=share>Share</div></article><div class=comments><article>{LONG * 3}</article></div></body>"
+    assert html_extract.extract(page, []) == "Head\n\n" + ("story words go on " * 20).strip()
+
+
 @given(st.text("<>/ap\"'=& !-divnvscrt", max_size=60))
 def test_html_never_crashes(s):
     assert isinstance(html_extract.extract(s, []), str)
