@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .isbn_ranges import ISBN_RANGES
+
 #: The characters of a CODEN check, by the weighted sum modulo 34, and its weights (fixed values).
 CODEN_CHECK = "9ABCDEFGHIJKLMNOPQRSTUVWXYZ2345678"
 CODEN_WEIGHTS = (11, 7, 5, 3, 1)
-#: First and last registrant prefixes of some registration groups, in table order (fixed values); give
-#: hyphenate a fuller list where one is needed.
-ISBN_RANGES: list[tuple[str, str]] = [
-    ("0-00", "0-19"), ("0-200", "0-699"), ("0-7000", "0-8499"), ("0-85000", "0-89999"), ("0-900000", "0-949999"), ("0-9500000", "0-9999999"),
-    ("1-00", "1-09"), ("1-100", "1-399"), ("1-4000", "1-5499"), ("1-55000", "1-86979"), ("1-869800", "1-998999"),
-    ("2-00", "2-19"), ("2-200", "2-349"), ("2-400", "2-699"), ("2-7000", "2-8399"), ("2-84000", "2-89999"), ("2-900000", "2-949999"), ("2-9500000", "2-9999999"),
-    ("3-00", "3-02"), ("3-04", "3-19"), ("3-200", "3-699"), ("3-7000", "3-8499"), ("3-85000", "3-89999"), ("3-900000", "3-949999"), ("3-9500000", "3-9539999"),
-    ("4-00", "4-19"), ("4-200", "4-699"), ("4-7000", "4-8499"), ("4-85000", "4-89999"), ("4-900000", "4-949999"), ("4-9500000", "4-9999999"),
-    ("5-00", "5-19"), ("5-200", "5-420"), ("5-4300", "5-4309"), ("5-440", "5-440"), ("5-450", "5-699"), ("5-7000", "5-8499"), ("5-85000", "5-89999"), ("5-900000", "5-909999"), ("5-91000", "5-91999"), ("5-9200", "5-9299"), ("5-93000", "5-94999"), ("5-9500", "5-9799"), ("5-98000", "5-98999"), ("5-9900000", "5-9909999"), ("5-9910", "5-9999"),
-    ("7-00", "7-09"), ("7-100", "7-499"), ("7-5000", "7-7999"), ("7-80000", "7-89999"), ("7-900000", "7-999999"),
-]
 
 
 def _at(s: Column, k: Column | int) -> Column:
@@ -72,15 +65,14 @@ def coden_verdict(value: Column) -> Column:
 
 def hyphenate_isbn(value: Column, ranges: list[tuple[str, str]] | None = None) -> Column:
     """An ISBN of 10 or 13 digits with hyphens after group, registrant and title; others stay. The ranges are
-    tried in order, as a literal array, so no join is needed; at most some thousand ranges exist."""
+    tried in order, those that the first three digits allow, in a literal array by these digits, so no join is needed."""
     s = squeeze(value)
     ten = F.when(F.length(s) == 13, F.substring(s, 4, 10)).otherwise(s)
-    table = F.array(
-        *(
-            F.struct(F.lit(b.replace("-", "")).alias("low"), F.lit(e.replace("-", "")).alias("high"), F.lit(len(b.split("-")[0])).alias("g"), F.lit(len(b) - 1).alias("n"))
-            for b, e in (ISBN_RANGES if ranges is None else ranges)
-        )
-    )
+    rows = [{"low": b.replace("-", ""), "high": e.replace("-", ""), "g": len(b.split("-")[0]), "n": len(b) - 1} for b, e in (ISBN_RANGES if ranges is None else ranges)]
+    by_digits = [[r for r in rows if r["low"][:3] <= f"{k:03}"[: r["n"]] <= r["high"][:3]] for k in range(1000)]
+    # the last has all, for what is no number
+    tables = F.from_json(F.lit(json.dumps([*by_digits, rows])), "array<array<struct<low:string,high:string,g:int,n:int>>>")
+    table = F.element_at(tables, F.coalesce(F.substring(ten, 1, 3).try_cast("int"), F.lit(1000)) + 1)
     prefix = F.substring  # of the ten digits, as long as a range's bounds
     inside = lambda r: (prefix(ten, F.lit(1), r.n) >= r.low) & (prefix(ten, F.lit(1), r.n) <= r.high)
     cut = lambda r: F.concat_ws("-", prefix(ten, F.lit(1), r.g), prefix(ten, r.g + 1, r.n - r.g), prefix(ten, r.n + 1, 9 - r.n), prefix(ten, 10, 1))

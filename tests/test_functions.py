@@ -25,6 +25,16 @@ def test_identifiers(spark):
     assert values(spark, identifiers.roman_to_int, "iiii", "iv", "iiix", "MCMXCIV", "xq", "") == [4, 4, 11, 1994, 10, 0]
 
 
+def test_all_isbn_ranges(spark):
+    """The reference's whole table: its size, its later groups, and the same hyphens from both versions."""
+    assert len(identifiers.ISBN_RANGES) == 993
+    want = {"6001191251": "600-119-125-1", "9979300000": "9979-3-0000-0", "8000000000": "80-00-00000-0", "9990100000": "99901-00-00-0", "3030000000": "3-030-00000-0", "1999000000": "1-9990000-0-0"}
+    want |= {f"{k * 7919 % 10**9:09}0": None for k in range(3000)}
+    got = values(spark, identifiers.hyphenate_isbn, *want)
+    assert got == [checking.hyphenate(s) or s for s in want] and all(w is None or w == g for w, g in zip(want.values(), got, strict=True))
+
+
+
 def test_column_and_scalar_rules_agree(spark):
     rows = ["0098-3500", "12345678", "1018-9367", "2434561X"]
     assert values(spark, identifiers.issn_valid, *rows) == [checking.issn_ok(re.sub("-", "", r)) for r in rows]
