@@ -2,7 +2,7 @@
 and ranges confirm them, context words nearby adjust a score.
 
 Kinds: ``email``, ``ip``, ``card`` (16 to 19 digits, Luhn), ``phone`` (8 to 15 digits) and, beyond these, ``iban``
-(ISO 7064 mod 97). Offsets are code points, ends exclusive. Positions come from ``split`` and
+(ISO 7064 mod 97; in one run or in groups of four with single spaces). Offsets are code points, ends exclusive. Positions come from ``split`` and
 ``regexp_extract_all`` by one expression: the lengths of gaps and hits add up. Expressions are possessive and
 guarded, ``\\G`` or no member of the first class before the hit, which changes no match of a leftmost
 search (a shorter start inside a run fails where its whole run fails) but keeps each scan linear in the text.
@@ -20,6 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of the account numbers of countries (fixed values); spaced numbers of others end with their last group.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _spaced_ibans() -> str:
+    """Numbers in groups of four, of their country's size, so that none takes in the word or number after it."""
+    groups = lambda n: rf"[0-9]{{2}}(?:\x20[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = [f"(?:{c.replace(' ', '|')}){groups(n)}" for n, c in IBAN_SIZES.items()]
+    other = rf"(?!{'|'.join(IBAN_SIZES.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20[A-Z0-9]{{4}}){{2,7}}(?:\x20[A-Z0-9]{{1,3}})?"
+    return "|".join([*known, other])
+
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
 #: Patterns of the kinds (fixed values).
@@ -28,10 +43,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_spaced_ibans()})(?![A-Za-z0-9])",
 }
 #: A text without a hit of this holds no span of the kind.
-GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){16}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"}
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){16}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11}|\x20[A-Z0-9]{4}\x20[A-Z0-9]{3})"}
 SCORES = {"email": 0.6, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8}
 CONTEXT = {
     "email": "mail|contact|write to|reply",
@@ -78,7 +93,7 @@ def _ok(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(hit)).between(8, 15)
     if kind == "iban":
-        return mod97(hit)
+        return mod97(F.replace(hit, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 

@@ -459,6 +459,15 @@ def test_pii_base(spark):
         assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [len(b[k]) for k in pii.BASE_KINDS] and (got[i]["spans"] or "").startswith(text)
 
 
+def test_pii_spaced_ibans(spark):
+    """Account numbers as printed, also before capitals, numbers and one another; not with a wrong digit or other gaps."""
+    de, es, gb = "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"pay {de}.", f"{es} 2024 AB12", f"{gb} {es} {de} X", de.replace(" ", ""), "DE88 3704 0044 0532 0130 00", de.replace(" ", "  "), f"x{gb}"]
+    want = ["pay [IBAN].", "[IBAN] 2024 AB12", "[IBAN] [IBAN] [IBAN] X", "[IBAN]"]
+    got = [r["text"] for r in pii.redact_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[:4] == want and not any("[IBAN]" in t for t in got[4:])
+
+
 def test_pii_score_and_redaction(spark, odd):
     df = frame(spark, [(1, "call +49 30 1234567 or é a@b.cd.", "s"), (2, "IBAN GB82WEST12345698765432", "s"), (3, None, "s")])
     r = {x["doc_id"]: x for x in pii.digest(pii.find_pii(df)).collect()}
