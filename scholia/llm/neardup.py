@@ -22,8 +22,8 @@ Long paths say little of small sets: one of fewer tokens than the path meets onl
 shingles are first joined exactly, by the subsets that two of them may have in common (small_links).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
-than a shingle is one shingle; rows that repeat a doc_id share a component_id, the smallest of all their sets' ones
-being kept for each row's own set; extra columns are ignored; an empty table gives no rows.
+than a shingle is one shingle; rows that repeat a doc_id each have the component_id of their own set, and keep_one keeps or drops each by
+it, so exactly repeated rows stay or go together; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, mix64, shingle_set, text_slices, word_hashes
 
@@ -453,6 +454,11 @@ def _merged(comps: DataFrame | None, links: DataFrame, bound: int) -> DataFrame
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row. Links are pairs with
     100 * intersection >= percent * union; percent is at least 50."""
+    return _found(docs, width, percent, id_col, text_col, levels).drop("cid")
+
+
+def _found(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
+    """The rows of near_duplicates, with cid."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level, trees = levels[0]
     sigs = materialize(signatures(docs, width, level, trees), "neardup-sigs")
@@ -513,14 +519,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     single = classes.select("cid", "rep").join(sigs.groupBy("cid").agg(F.count("*").alias("c")).filter("c > 1"), "cid", "left_semi").join(named.select("cid"), "cid", "left_anti").toDF("cid", "component_id")
     names = materialize(linked.union(single), "neardup-names")
     out = sigs.select("doc_id", "n_shingles", "cid").join(names, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cid")
+
+
+def _with_class(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """docs with the class of each row's text."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cids = []
+            for _, offs, raw in text_slices(b.column(at), b.column(at)):
+                words, starts = word_hashes(offs, raw)
+                sets = [shingle_set(words[x:y], width) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+                cids += [class_id(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.int64())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; all columns stay."""
-    found = near_duplicates(docs, width, percent)
-    gone = materialize(found.filter("not kept").select("doc_id").distinct(), "neardup-gone")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the rows whose group has a smaller doc_id; all columns stay."""
+    found = _found(docs, width, percent)
+    gone = materialize(found.filter("not kept").select("doc_id", F.col("cid").alias("__cid")).distinct(), "neardup-gone")
+    ids = materialize(gone.select("doc_id").distinct(), "neardup-gone-ids")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(small_or_shuffled(ids), "doc_id", "left_anti").select(*columns)
+    # ids that repeat with another text that stays
+    both = materialize(found.filter("kept").select("doc_id").join(small_or_shuffled(ids), "doc_id", "left_semi").distinct(), "neardup-both")
+    if both.isEmpty():
+        return kept
+    rows = _with_class(docs.join(small_or_shuffled(both), "doc_id", "left_semi").select(*columns), width, "__cid")
+    return kept.union(rows.join(small_or_shuffled(gone), ["doc_id", "__cid"], "left_anti").select(*columns))
 
 
 #: The rows of near_duplicates(documents, width=4).

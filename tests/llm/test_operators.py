@@ -416,6 +416,15 @@ def test_near_duplicates_odd(spark, odd):
     assert kept.columns == odd.columns and kept.count() == 7
 
 
+def test_keep_one_decides_by_row(spark):
+    """A unique text stays though another text of its doc_id is a copy."""
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    df = frame(spark, [(1, a, "s"), (2, a + " end", "s"), (2, b, "s"), (3, b, "s"), (4, c, "s"), (5, None, "s"), (5, a, "s")])
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(1, a), (2, b), (4, c), (5, "")])
+
+
 def test_common_counts():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)] + [np.zeros(0, np.uint64)]
