@@ -3,6 +3,7 @@ cluster's shared folder, and vectorised word and shingle hashing over Arrow stri
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,10 +84,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Masks of the first 0 to 8 bytes of a lane, and bytes up to which a word is hashed by lanes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LANE_BYTES = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,19 +99,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, b in enumerate((_BASE, _INV)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _POW[k] = np.multiply.accumulate(p)
-    return _POW[0], _POW[1]
-
-
 def word_hashes(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without ASCII white space, A-Z lowered) and, for each
-    row, the index of its first word (one more at the end)."""
+    row, the index of its first word (one more at the end). Eight bytes at a time are mixed in, for longer words
+    BLAKE2b is taken."""
     n = len(raw)
     word = ~_SPACE[raw]
     start, end = word.copy(), word.copy()
@@ -121,10 +112,17 @@ def word_hashes(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
         start[1:] &= ~word[:-1] | edge[1:-1]
         end[:-1] &= ~word[1:] | edge[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    pow_, inv = _powers(n + 1)
-    pre = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * pow_[:n], out=pre[1:])
-    return mix64((pre[e] - pre[s]) * inv[s] + (e - s).astype(np.uint64)), np.searchsorted(s, offs)
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    lanes = np.ndarray((n + 1,), "<u8", low, 0, (1,))  # the eight bytes from each place on
+    size = e - s
+    h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for k in range(0, min(int(size.max(initial=0)), LANE_BYTES), 8):
+        at = np.flatnonzero(size > k)
+        h[at] = mix64(h[at] ^ (lanes[s[at] + k] & _FIRST[np.minimum(size[at] - k, 8)])) + np.uint64(k + 1)
+    for i in np.flatnonzero(size > LANE_BYTES):
+        h[i] = int.from_bytes(hashlib.blake2b(low[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(s, offs)
 
 
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)

@@ -6,19 +6,22 @@ of all shingles, a class descends along its minwise tokens, and classes with the
 ``level`` tokens share a node. Two sets of similarity J meet in a node with probability near J**level, so
 independent trees are repeated until the chance that a pair at the threshold meets nowhere is below 1e-6.
 
-Nodes are compared exhaustively in their task, and a node only emits what joins components, never its pairs. So groups
-of any size stay linear:
+Nodes are compared exhaustively, and only emit what joins components, never their pairs. So groups of any size stay
+linear:
 
 1. every class is confirmed against the node pivot that it meets most often, which joins big groups as stars;
-2. a class that is still outside its node's largest component is confirmed against the classes of other components that
-   256-byte sketches call most alike, over all its trees;
-3. where sketches, with a margin of five standard deviations, leave pairs of different components possible, the full
-   sets of those classes meet in the node's task and are compared exactly.
-
-In step 3 a node with few classes outside its largest component is cut into blocks that each get those few. Other big nodes
-branch deeper, with more trees, and at the last level are compared in pairs of blocks. Nothing is dropped.
-
-Long paths say little of small sets: one of fewer tokens than the path meets only equal sets. So the classes of deferred nodes with up to SMALL
+2. where a big node still has many classes outside its largest component, these are first confirmed with the ones that 256-byte
+   sketches call most alike in blocks of them;
+3. a node of up to NODE_MAX classes is a part. Of a bigger one the classes outside its largest component are compared in pairs of blocks, or, where
+   they are more than GRID_NODES times NODE_MAX, branch deeper, with more trees. The largest component's own classes are not repeated in its
+   nodes: each class outside is set against the whole component once, however many nodes they share, by blocks of both;
+4. in every part each class is confirmed with the most alike of other components; where sketches leave more links between components
+   possible, the words of those classes meet in the part's task and are compared exactly.
+
+At the last level pairs of blocks take nodes of any size. Sketches rule a pair out where they are five standard deviations below
+the threshold, a chance below 1e-6 a pair. Links are confirmed on the shingles themselves, not on their hashes.
+
+Long paths say little of small sets: one of fewer tokens than the path meets only equal sets. So the classes that branch deeper with up to SMALL
 shingles are first joined exactly, by the subsets that two of them may have in common (small_links).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
@@ -28,6 +31,7 @@ it, so exactly repeated rows stay or go together; extra columns are ignored; an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -42,8 +46,10 @@ from .common import materialize, mix64, shingle_set, text_slices, word_hashes
 
 #: (tokens on a path, trees), by depth of branching.
 LEVELS = ((2, 16), (4, 32), (6, 64))
-#: Most classes that a node compares in one task.
-NODE_MAX = 256
+#: Most classes that a node compares in one task, classes of a side of a block of a grid, and how many times NODE_MAX a grid of a node takes.
+NODE_MAX, GRID, GRID_NODES = 256, 512, 8
+#: Classes of a star that one task confirms.
+STAR_PART = 64
 SKETCH = 256
 #: Shingles of the largest set that, at similarity 0.8, a deeper level of LEVELS may miss with a chance above 1e-6 (12 shared of 15).
 SMALL = 15
@@ -122,46 +128,62 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _own(width: int):
-    """Rows (cid, text) whose text has that set, as rows that repeat a doc_id may hold another, with the set."""
+def word_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The set of a text as words, not hashes."""
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return set(zip(*(w[k:] for k in range(min(width, len(w)))), strict=False)) if w else set()
+
+
+def _own(width: int, schema: str, at: int):
+    """Of rows with a class, cid, and at column at a text, those whose text has that set, as rows that repeat a doc_id may hold another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for ids, offs, raw in text_slices(b.column(0), b.column(1)):
+            row, cids = 0, b.column(b.schema.get_field_index("cid"))
+            for _, offs, raw in text_slices(cids, b.column(at)):
                 words, starts = word_hashes(offs, raw)
                 sets = [shingle_set(words[x:y], width) for x, y in zip(starts[:-1], starts[1:], strict=True)]
-                keep = [len(s) > 0 and class_id(s) == c.as_py() for s, c in zip(sets, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, b.column(1).slice(at, len(ids)), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "text", "tokens"]).filter(pa.array(keep, pa.bool_()))
-                at += len(ids)
+                keep = [len(t) > 0 and class_id(t) == c.as_py() for t, c in zip(sets, cids.slice(row, len(sets)), strict=True)]
+                yield b.slice(row, len(sets)).filter(pa.array(keep, pa.bool_()))
+                row += len(sets)
 
-    return run
+    return run, schema
 
 
-def confirm(pairs: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """Those of the n distinct pairs (a, b) of classes that are similar on their full sets; written."""
-    ids = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep"), "cid"), f"{label}-ids", 2 * n)
+def texts_of(docs: DataFrame, ids: DataFrame, n: int, width: int) -> DataFrame:
+    """(cid, text) of the classes (cid, rep), of which there are n at most; rows that repeat a document repeat."""
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(*_own(width, "cid bigint, text string", 1))
 
-    texts = docs.join(small_or_shuffled(ids), docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "text")
-    texts = materialize(texts, f"{label}-texts")
-    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
 
-    def sets_of(texts: pa.Array) -> list[np.ndarray]:
-        got = []
-        for _, offs, raw in text_slices(texts, texts):
-            words, at = word_hashes(offs, raw)
-            got += [shingle_set(words[x:y], width) for x, y in zip(at[:-1], at[1:], strict=True)]
-        return got
+def confirm(pairs: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """Those of the n distinct pairs (a, b) of classes that are similar on their full sets of words; written. The classes paired
+    with one a are dealt in parts of STAR_PART, each with a's text."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_PART).alias("parts")).filter("parts > 1")
+    hot = materialize(hot, f"{label}-hot", n)
+    dealt = pairs.join(small_or_shuffled(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    need = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("cid")).union(dealt.select("a", "part", F.lit(0), F.col("a").alias("cid")).distinct())
+    need = need.join(classes.select("cid", "rep"), "cid")
+    need = F.broadcast(need) if 2 * n <= BROADCAST_IDS else need
+    rows = docs.join(need, docs["doc_id"] == need["rep"]).select("a", "part", "role", "cid", "text")
+    rows = rows.mapInArrow(*_own(width, "a bigint, part bigint, role int, cid bigint, text string", 4))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, set()
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                ok = [_similar(x, y, percent) for x, y in zip(sets_of(part.column(1)), sets_of(part.column(3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
+            out = []
+            for a, part, role, cid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if role == 0:
+                    if at != (a, part):
+                        at, first = (a, part), word_shingles(text, width)
+                    continue
+                mine = word_shingles(text, width)
+                both = len(first & mine) if at == (a, part) else 0
+                if both and 100 * both >= percent * (len(first) + len(mine) - both):
+                    out.append((a, cid))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    joined = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return materialize(joined.mapInArrow(test, "a bigint, b bigint"), f"{label}-links")
 
 
@@ -316,30 +338,32 @@ def _possible(percent: int, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.n
                 yield i, other[ok], same[ok] / either[ok]
 
 
-def _best(percent: int):
-    """(cid, other, alike): for each class outside its part's largest component the most alike of other components."""
-
-    def handle(t: pa.Table):
-        cid, out = t["cid"].to_numpy(), []
-        for i, other, alike in _possible(percent, t):
-            k = int(np.lexsort((cid[other], -alike))[0])
-            out.append((cid[i], cid[other[k]], alike[k]))
-        return [np.array([x[k] for x in out], d) for k, d in enumerate((np.int64, np.int64, float))]
-
-    return _by_part(pa.schema([("cid", pa.int64()), ("other", pa.int64()), ("alike", pa.float64())]), handle)
+#: What a part's comparison returns: kind 0 is the most alike (cid, other) of another component, kind 1 a class with a possible link to one.
+FOUND = "kind int, key bigint, part bigint, cid bigint, comp bigint, role int, other bigint, alike double"
 
 
-def _involved(percent: int):
-    """(key, part, cid, comp, role) of the classes with a possible link to another component."""
+def _compare(percent: int):
+    """Rows of FOUND of a part."""
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in FOUND.split(", ")])
 
     def handle(t: pa.Table):
+        cid, comp, _, role = _columns(t)
         some: set[int] = set()
-        for i, other, _ in _possible(percent, t):
+        mine, best, alike = [], [], []
+        for i, other, est in _possible(percent, t):
+            k = int(np.lexsort((cid[other], -est))[0])
+            mine.append(i)
+            best.append(cid[other[k]])
+            alike.append(est[k])
             some.update((i, *other.tolist()))
-        at = np.array(sorted(some), np.int64)
-        return [t[c].to_numpy()[at] for c in ("key", "part", "cid", "comp", "role")]
+        at = np.array(mine + sorted(some), np.int64)
+        kind = np.repeat([0, 1], [len(mine), len(some)])
+        fill = [0] * len(some)
+        key, part = (np.full(len(at), t[c][0].as_py()) for c in ("key", "part"))
+        return [kind, key, part, cid[at], comp[at], role[at], np.array(best + fill, np.int64), np.array(alike + fill, float)]
 
-    return _by_part(pa.schema([("key", pa.int64()), ("part", pa.int64()), ("cid", pa.int64()), ("comp", pa.int64()), ("role", pa.int32())]), handle)
+    return _by_part(schema, handle)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -362,12 +386,13 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _exact(percent: int):
-    """(a, b): links of a part on full sets, as many as join its components."""
+def _exact(percent: int, width: int):
+    """(a, b): links of a part on its words, as many as join its components."""
 
     def handle(t: pa.Table):
         cid, comp, role = (t[c].to_numpy() for c in ("cid", "comp", "role"))
-        sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
+        number: dict[tuple[bytes, ...], int] = {}
+        sets = [np.array([number.setdefault(g, len(number)) for g in word_shingles(x, width)], np.int64) for x in t["text"].to_pylist()]
         n = np.array([len(x) for x in sets])
         both = common_counts(sets)
         ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & ((role[:, None] == 0) | (role[None, :] == 0))
@@ -398,38 +423,77 @@ def _members(classes: DataFrame, label: str) -> tuple[DataFrame, int]:
     return materialize(nodes.join(multi.select("key", "pivot"), "key"), f"{label}-members", n), n
 
 
-def _blocks(rows: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Nodes in parts of about NODE_MAX classes, each class in one: (key, part, role, cid, comp); role 0 for the classes
-    outside the largest component."""
-    rows = rows.join(mixed, "key")
-    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / NODE_MAX))
-    return rows.select("key", part.cast("long").alias("part"), F.when(F.col("comp") == F.col("giant"), 1).otherwise(0).alias("role"), "cid", "comp")
+_PART = ("key", "part", "role", "cid", "comp")
+
+
+def _one_of(n: Column, size: int, of: str = "cid") -> Column:
+    """The block of a row, where n rows make blocks of about size."""
+    return F.pmod(F.xxhash64(of), F.ceil(n / size)).cast("long")
+
+
+def _outside_blocks(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """Classes outside the largest component of big nodes in blocks of NODE_MAX, each in one."""
+    rows = rows.join(big, "key").filter("comp <> giant")
+    return rows.select("key", _one_of(F.col("n") - F.col("largest"), NODE_MAX).alias("part"), F.lit(0).alias("role"), "cid", "comp")
 
 
 def _parts(rows: DataFrame, mixed: DataFrame, last: bool) -> DataFrame:
-    """Cuts nodes into parts of a bounded size: (key, part, role, cid, comp). Classes with role 0
-    are compared with all of their part, those with role 1 with role 0 only."""
+    """The parts of nodes: a small node whole; of a big one what is outside its largest component, in one part or a grid of
+    blocks. Classes with role 0 are compared with all of their part, those with role 1 with
+    role 0 only."""
     rows = rows.join(mixed, "key")
-    blocks = F.ceil((F.col("n") if last else F.col("largest")) / NODE_MAX).cast("int")
-    block = F.pmod(F.xxhash64("cid"), F.greatest(blocks, F.lit(1))).cast("int")
     outside = F.col("comp") != F.col("giant")
-    small = F.col("n") <= NODE_MAX
-    few = F.col("n") - F.col("largest") <= NODE_MAX
-    star = F.when(outside, F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), lambda k: F.struct(k.cast("long").alias("part"), F.lit(0).alias("role")))).otherwise(F.array(F.struct(block.cast("long").alias("part"), F.lit(1).alias("role"))))
+    role = F.when(outside, 0).otherwise(1)
+    zero = F.lit(0).cast("long")
+    rows = rows.filter((F.col("n") <= NODE_MAX) | outside)
+    outs = F.col("n") - F.col("largest")
+    few = rows.filter((F.col("n") <= NODE_MAX) | (outs <= NODE_MAX)).select("key", zero.alias("part"), role.alias("role"), "cid", "comp")
+    rows = rows.filter((F.col("n") > NODE_MAX) & (outs > NODE_MAX) & (F.lit(last) | (outs <= GRID_NODES * NODE_MAX)))
+    blocks = F.ceil((F.col("n") - F.col("largest")) / GRID)
+    mine = _one_of(F.col("n") - F.col("largest"), GRID)
 
     def pair(k: Column) -> Column:
-        lo, hi = F.least(k, block).cast("long"), F.greatest(k, block).cast("long")
-        return F.struct((lo * blocks + hi).alias("part"), F.when((k == block) | (block == lo), 0).otherwise(1).alias("role"))
-
-    grid = F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), pair)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).alias("role")))
-    return rows.select("key", "cid", "comp", F.explode(F.when(small, whole).when(few, star).otherwise(grid)).alias("p")).select("key", "p.part", "p.role", "cid", "comp")
+        return F.struct((F.least(k, mine) * blocks + F.greatest(k, mine)).alias("part"), F.when(k >= mine, 0).otherwise(1).alias("role"))
+
+    grid = rows.select("key", "cid", "comp", F.explode(F.transform(F.sequence(zero, blocks - 1), pair)).alias("p"))
+    return few.union(grid.select("key", "p.part", "p.role", "cid", "comp"))
+
+
+def _against(rows: DataFrame, big: DataFrame, comps: DataFrame | None, bound: int) -> DataFrame:
+    """Parts of the largest components of big nodes with what stands outside in any of them: a grid of blocks of both."""
+    out = rows.join(big.select("key", "giant"), "key").filter("comp <> giant").select("giant", "cid", "comp").distinct()
+    out = materialize(out, "neardup-out", bound)
+    n_out = out.groupBy("giant").agg(F.count("*").alias("n_out"))
+    all_ = n_out.select("giant", F.col("giant").alias("cid"))  # the component's name is its least class
+    if comps is not None:
+        all_ = all_.union(comps.join(n_out.select(F.col("giant").alias("comp")), "comp", "left_semi").select("comp", "cid"))
+    all_ = materialize(all_.distinct(), "neardup-giants", bound)
+    sizes = n_out.join(all_.groupBy("giant").agg(F.count("*").alias("n_in")), "giant")
+    n_in, n_out = F.col("n_in"), F.col("n_out")
+    zero = F.lit(0).cast("long")
+    key = F.xxhash64(F.lit("component"), F.col("giant")).alias("key")
+    inside = all_.join(sizes, "giant").withColumn("block", _one_of(n_in, GRID)).withColumn("other", F.explode(F.sequence(zero, F.ceil(n_out / GRID) - 1)))
+    inside = inside.select(key, (F.col("block") * F.ceil(n_out / GRID) + F.col("other")).alias("part"), F.lit(1).alias("role"), "cid", F.col("giant").alias("comp"))
+    outside = out.join(sizes, "giant").withColumn("block", _one_of(n_out, GRID)).withColumn("other", F.explode(F.sequence(zero, F.ceil(n_in / GRID) - 1)))
+    return inside.union(outside.select(key, (F.col("other") * F.ceil(n_out / GRID) + F.col("block")).alias("part"), F.lit(0).alias("role"), "cid", "comp"))
 
 
 def _sorted(parts: DataFrame) -> DataFrame:
     return parts.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of texts, the sorted shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, offs, raw in text_slices(b.column(0), b.column(1)):
+                words, at = word_hashes(offs, raw)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(words[x:y], width).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["cid", "tokens"])
+
+    return texts.mapInArrow(run, "cid bigint, tokens binary")
+
+
 def _mixed(members: DataFrame, n: int, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, cid, comp) of the nodes, and (key, n, largest, giant) of those with more than one component."""
     rows = materialize(_labelled(members.select("key", "cid"), comps), "neardup-rows", n)
@@ -440,12 +504,16 @@ def _mixed(members: DataFrame, n: int, comps: DataFrame | None) -> tuple[DataFra
 
 def _merged(comps: DataFrame | None, links: DataFrame, bound: int) -> DataFrame | None:
     """Components with the links (a, b) of classes added; at most bound classes."""
-    if links.isEmpty():
+    n = links.count()
+    if not n:
         return comps
+    if comps is None:
+        return connected(links, "neardup-merge")
+    if n + comps.count() <= EDGES_OF_TASK:
+        both = links.select("a", "b").union(comps.select("cid", "comp"))
+        return materialize(both.coalesce(1).mapInArrow(_join_all, "cid bigint, comp bigint"), "neardup-comps", bound)
     named = _labelled(_labelled(links.withColumnRenamed("a", "cid"), comps).select(F.col("comp").alias("ca"), F.col("b").alias("cid")), comps)
     merged = connected(named.select(F.col("ca").alias("a"), F.col("comp").alias("b")), "neardup-merge")
-    if comps is None:
-        return merged
     over = merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
     old = comps.join(over, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp"))
     return materialize(old.union(merged.join(comps.select("cid"), "cid", "left_anti")), "neardup-comps", bound)
@@ -476,35 +544,54 @@ def _found(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", te
         stars = confirm(best, n_best, classes, docs, width, percent, "neardup-star")
         comps = None if stars.isEmpty() else connected(stars, "neardup-roots")
     bound = 2 * n_best
-    for k in range(len(levels)):
-        last = k == len(levels) - 1
-        rows, mixed = _mixed(members, n_members, comps)
-        sketched = _sorted(_blocks(rows, mixed).join(classes.select("cid", "n_shingles", "sketch"), "cid"))
-        near = sketched.mapInArrow(_best(percent), "cid bigint, other bigint, alike double").distinct()
-        near = near.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "other")), False), 1, BEST).alias("best"))  # at most one for each of the class's trees
+    sketches = classes.select("cid", "n_shingles", "sketch")
+
+    def compared(parts: DataFrame) -> DataFrame:
+        """What the parts' sketches say, after each class was confirmed with the most alike ones."""
+        nonlocal comps, bound
+        found = materialize(_sorted(parts.join(sketches, "cid")).mapInArrow(_compare(percent), FOUND), "neardup-found")
+        near = found.filter("kind = 0").groupBy("cid", "other").agg(F.max("alike").alias("alike"))
+        near = near.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "other")), False), 1, BEST).alias("best"))  # at most one for each of the class's parts
         near = near.select("cid", F.explode("best.other").alias("other")).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         near = materialize(near, "neardup-near", n_members)
         if n_near := near.count():
-            comps = _merged(comps, confirm(near, n_near, classes, docs, width, percent, "neardup-near"), bound := bound + 2 * n_near)
+            bound += 2 * n_near
+            comps = _merged(comps, confirm(near, n_near, classes, docs, width, percent, "neardup-near"), bound)
+        return found.filter("kind = 1").select(*_PART)
+
+    for k in range(len(levels)):
+        last = k == len(levels) - 1
+        outs = F.col("n") - F.col("largest")
+        big, many = F.col("n") > NODE_MAX, outs > GRID_NODES * NODE_MAX
+        rows, mixed = _mixed(members, n_members, comps)
+        blocks = mixed.filter(big & (outs > NODE_MAX))
+        if k == 0 and not blocks.isEmpty():
+            compared(_outside_blocks(rows, blocks))
             rows, mixed = _mixed(members, n_members, comps)
-        # exactly what is left; big nodes with many outside wait for the next level
-        deeper = (F.col("n") - F.col("largest") > NODE_MAX) & (F.col("n") > NODE_MAX)
-        parts = _parts(rows, mixed if last else mixed.filter(~deeper), last)
-        some = _sorted(parts.join(classes.select("cid", "n_shingles", "sketch"), "cid")).mapInArrow(_involved(percent), "key bigint, part bigint, cid bigint, comp bigint, role int")
-        some = materialize(some, "neardup-involved")
-        if not some.isEmpty():
-            ids = materialize(some.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "neardup-ids", n_members)
-            sets = docs.join(small_or_shuffled(ids), docs["doc_id"] == ids["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "tokens").dropDuplicates(["cid"])
-            links = _sorted(some.join(sets, "cid")).mapInArrow(_exact(percent), "a bigint, b bigint").distinct()
-            comps = _merged(comps, materialize(links, "neardup-links", n_members), bound := bound + 2 * n_members)
-        if last or mixed.filter(deeper).isEmpty():
+        parts = _parts(rows, mixed, last)
+        if not mixed.filter(big).isEmpty():
+            parts = parts.union(_against(rows, mixed.filter(big), comps, n_members))
+        some = compared(parts)
+        # exactly what is left: parts that still have classes of more than one component
+        some = _labelled(some.drop("comp"), comps)
+        left = some.groupBy("key", "part").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("key", "part")
+        some = materialize(some.join(left, ["key", "part"], "left_semi"), "neardup-involved")
+        if n_some := some.count():
+            ids = some.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
+            words = texts_of(docs, ids, n_some, width).dropDuplicates(["cid"])
+            links = _sorted(some.join(words, "cid")).mapInArrow(_exact(percent, width), "a bigint, b bigint").distinct()
+            bound += 2 * n_members
+            comps = _merged(comps, materialize(links, "neardup-links", n_members), bound)
+        deferred = mixed.filter(big & many)
+        if last or deferred.isEmpty():
             break
-        deep = materialize(rows.join(mixed.filter(deeper).select("key"), "key").select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "neardup-deep", n_members)
+        deep = rows.join(deferred.select("key", "giant"), "key").filter("comp <> giant").select("cid").distinct()
+        deep = materialize(deep.join(classes.select("cid", "rep", "n_shingles"), "cid"), "neardup-deep", n_members)
         if k == 0:  # what is deferred later was deferred here
-            few = materialize(deep.join(classes.filter(F.col("n_shingles") <= SMALL).select("cid"), "cid", "left_semi"), "neardup-few", n_members)
+            few = materialize(deep.filter(F.col("n_shingles") <= SMALL).select("cid", "rep"), "neardup-few", n_members)
             if n_few := few.count():
-                sets = docs.join(small_or_shuffled(few), docs["doc_id"] == few["rep"]).select("cid", "text").mapInArrow(_own(width), "cid bigint, text string, tokens binary").select("cid", "tokens").dropDuplicates(["cid"])
-                comps = _merged(comps, small_links(sets, percent, "neardup-few"), bound := bound + 2 * n_few)
+                bound += 2 * n_few
+                comps = _merged(comps, small_links(_tokens(texts_of(docs, few, n_few, width), width).dropDuplicates(["cid"]), percent, "neardup-few"), bound)
         level, trees = levels[k + 1]
         sub = docs.join(small_or_shuffled(deep.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
         paths = signatures(sub, width, level, trees, sketches=False).filter("cid is not null").select("cid", "paths").dropDuplicates(["cid"])
