@@ -10,8 +10,8 @@ Nodes are compared exhaustively, and only emit what joins components, never thei
 linear:
 
 1. every class is confirmed against the node pivot that it meets most often, which joins big groups as stars;
-2. where a big node still has many classes outside its largest component, these are first confirmed with the ones that 256-byte
-   sketches call most alike in blocks of them;
+2. where a big node still has many classes outside its largest component, all its classes meet once each, in blocks dealt anew in each of a few
+   rounds, and the pairs that 256-byte sketches call similar are confirmed as far as they would join components of the block;
 3. a node of up to NODE_MAX classes is a part. Of a bigger one the classes outside its largest component are compared in pairs of blocks, or, where
    they are more than GRID_NODES times NODE_MAX, branch deeper, with more trees. The largest component's own classes are not repeated in its
    nodes: each class outside is set against the whole component once, however many nodes they share, by blocks of both;
@@ -48,6 +48,8 @@ from .common import materialize, mix64, shingle_set, text_slices, word_hashes
 LEVELS = ((2, 16), (4, 32), (6, 64))
 #: Most classes that a node compares in one task, classes of a side of a block of a grid, and how many times NODE_MAX a grid of a node takes.
 NODE_MAX, GRID, GRID_NODES = 256, 512, 8
+#: Rounds of step 2, and the share of joined classes below which there is no other round.
+ROUNDS, GAIN = 4, 0.05
 #: Classes of a star that one task confirms.
 STAR_PART = 64
 SKETCH = 256
@@ -242,19 +244,11 @@ def small_links(sets: DataFrame, percent: int, label: str) -> DataFrame:
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, comp) of all edges (hi, lo) in one task."""
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while (up := root.setdefault(c, c)) != c:
-            root[c] = root[up]
-            c = up
-        return c
-
+    forest = Forest()
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = find(x), find(y)
-            root[max(x, y)] = min(x, y)
-    every = [(c, find(c)) for c in list(root)]
+            forest.join(x, y)
+    every = [(c, forest.find(c)) for c in list(forest.root)]
     yield pa.RecordBatch.from_arrays([pa.array([c for c, r in every if c != r], pa.int64()), pa.array([r for c, r in every if c != r], pa.int64())], ["cid", "comp"])
 
 
@@ -344,8 +338,6 @@ FOUND = "kind int, key bigint, part bigint, cid bigint, comp bigint, role int, o
 
 def _compare(percent: int):
     """Rows of FOUND of a part."""
-    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
-    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in FOUND.split(", ")])
 
     def handle(t: pa.Table):
         cid, comp, _, role = _columns(t)
@@ -363,7 +355,49 @@ def _compare(percent: int):
         key, part = (np.full(len(at), t[c][0].as_py()) for c in ("key", "part"))
         return [kind, key, part, cid[at], comp[at], role[at], np.array(best + fill, np.int64), np.array(alike + fill, float)]
 
-    return _by_part(schema, handle)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    return _by_part(pa.schema([(c.split()[0], types[c.split()[1]]) for c in FOUND.split(", ")]), handle)
+
+
+class Forest:
+    """Disjoint sets."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        root = self.root
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = root[up]
+            c = up
+        return c
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _spanning(percent: int):
+    """(a, b): pairs that sketches call similar, the most alike first, as many as would join a part's components."""
+
+    def handle(t: pa.Table):
+        cid, comp, _, role = _columns(t)
+        a, b, est = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, other, alike in _possible(percent, t):
+            ok = ((other > i) | (role[other] == 1)) & (alike >= percent / 100)
+            a.append(np.full(int(ok.sum()), i))
+            b.append(other[ok])
+            est.append(alike[ok])
+        a, b, est = (np.concatenate(x) for x in (a, b, est))
+        forest, out = Forest(), []
+        for k in np.lexsort((b, a, -est)).tolist():
+            if forest.join(int(comp[a[k]]), int(comp[b[k]])):
+                out.append(sorted((int(cid[a[k]]), int(cid[b[k]]))))
+        return [np.array([x[k] for x in out], np.int64) for k in (0, 1)]
+
+    return _by_part(pa.schema([("a", pa.int64()), ("b", pa.int64())]), handle)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -396,19 +430,9 @@ def _exact(percent: int, width: int):
         n = np.array([len(x) for x in sets])
         both = common_counts(sets)
         ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & ((role[:, None] == 0) | (role[None, :] == 0))
-        root = {c: c for c in comp.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        out = []
+        forest, out = Forest(), []
         for i, k in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-            x, y = find(int(comp[i])), find(int(comp[k]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
+            if forest.join(int(comp[i]), int(comp[k])):
                 out.append((min(cid[i], cid[k]), max(cid[i], cid[k])))
         return [np.array([x[k] for x in out], np.int64) for k in (0, 1)]
 
@@ -431,10 +455,12 @@ def _one_of(n: Column, size: int, of: str = "cid") -> Column:
     return F.pmod(F.xxhash64(of), F.ceil(n / size)).cast("long")
 
 
-def _outside_blocks(rows: DataFrame, big: DataFrame) -> DataFrame:
-    """Classes outside the largest component of big nodes in blocks of NODE_MAX, each in one."""
-    rows = rows.join(big, "key").filter("comp <> giant")
-    return rows.select("key", _one_of(F.col("n") - F.col("largest"), NODE_MAX).alias("part"), F.lit(0).alias("role"), "cid", "comp")
+def _blocks(rows: DataFrame, crowded: DataFrame, turn: int) -> DataFrame:
+    """The classes of crowded nodes, each in one block of NODE_MAX of the biggest such node."""
+    rows = rows.join(crowded, "key").select("cid", "comp", F.struct("n", "key", "giant").alias("node"))
+    rows = rows.groupBy("cid", "comp").agg(F.max("node").alias("node"))
+    part = F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("node.n") / NODE_MAX)).cast("long")
+    return rows.select(F.col("node.key").alias("key"), part.alias("part"), F.when(F.col("comp") == F.col("node.giant"), 1).otherwise(0).alias("role"), "cid", "comp")
 
 
 def _parts(rows: DataFrame, mixed: DataFrame, last: bool) -> DataFrame:
@@ -564,10 +590,20 @@ def _found(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", te
         outs = F.col("n") - F.col("largest")
         big, many = F.col("n") > NODE_MAX, outs > GRID_NODES * NODE_MAX
         rows, mixed = _mixed(members, n_members, comps)
-        blocks = mixed.filter(big & (outs > NODE_MAX))
-        if k == 0 and not blocks.isEmpty():
-            compared(_outside_blocks(rows, blocks))
+        crowded = big & (outs > NODE_MAX)
+        for turn in range(ROUNDS if k == 0 else 0):
+            if mixed.filter(crowded).isEmpty():
+                break
+            blocks = materialize(_blocks(rows, mixed.filter(crowded), turn), "neardup-blocks", n_members)
+            near = _sorted(blocks.join(sketches, "cid")).mapInArrow(_spanning(percent), "a bigint, b bigint")
+            near = materialize(near, "neardup-near", n_members)
+            n_near = near.count()
+            bound += 2 * n_near
+            links = confirm(near, n_near, classes, docs, width, percent, "neardup-near")
+            comps = _merged(comps, links, bound)
             rows, mixed = _mixed(members, n_members, comps)
+            if links.count() < GAIN * blocks.count():
+                break
         parts = _parts(rows, mixed, last)
         if not mixed.filter(big).isEmpty():
             parts = parts.union(_against(rows, mixed.filter(big), comps, n_members))

@@ -373,6 +373,85 @@ def test_near_duplicates_of_short_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def thue_morse(n, swap=0):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    """Thue-Morse words collide under any polynomial modulo 2**64; texts with them share no shingle."""
+    rows = [(1, thue_morse(1024) + " x y z", "s"), (2, thue_morse(1024, 1) + " x y z", "s"), (3, thue_morse(64) + " p q r", "s"), (4, thue_morse(64, 1) + " p q r", "s")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows), width=4).collect()}
+    assert got == {k: k for k in got}
+
+
+def test_links_are_confirmed_on_words(spark):
+    """Equal hashes of other words do not link."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "other words than these are here")], "doc_id long, text string")
+    sigs = neardup.signatures(docs, 4, 2, 2)
+    classes = sigs.select("cid", F.col("doc_id").alias("rep"))
+    cid = {r["rep"]: r["cid"] for r in classes.collect()}
+    pairs = spark.createDataFrame([(cid[1], cid[2]), (cid[1], cid[3])], "a long, b long")
+    assert [tuple(r) for r in neardup.confirm(pairs, 2, classes, docs, 4, 75, "t").collect()] == [(cid[1], cid[2])]
+
+
+def test_big_group_stays_linear(spark, monkeypatch):
+    """20,000 near copies of one text and 500 texts that share its passage: rows compared grow with the rows, not with pairs."""
+    rng = random.Random(16)
+    base = prose(rng, 60).split()
+    rows = []
+    for k in range(20_000):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{k}"
+        rows.append((k, " ".join(w), "s"))
+    rows += [(30_000 + k, " ".join(base[:25]) + " " + prose(rng, 40), "s") for k in range(500)]
+    seen, sort = [], neardup._sorted
+
+    def counted(parts):
+        seen.append(parts.count())
+        return sort(parts)
+
+    monkeypatch.setattr(neardup, "_sorted", counted)
+    got = collections.Counter(r["component_id"] for r in neardup.near_duplicates(frame(spark, rows).repartition(8), width=4).collect())
+    assert got[0] == 20_000 and len(got) == 501
+    assert sum(seen) < 8 * len(rows), seen
+
+
+@pytest.mark.parametrize("grid", [1, 8])
+def test_big_nodes_branch_deeper(spark, monkeypatch, grid):
+    """Components of unlike texts with a common passage, by deeper levels or by a grid of blocks."""
+    rng = random.Random(17)
+    shared = prose(rng, 30).split()
+    rows = []
+    for g in range(70):
+        w = shared + prose(rng, 20).split()
+        for _ in range(rng.randint(1, 3)):
+            x = list(w)
+            x[rng.randrange(30, 50)] = f"e{len(rows)}"
+            rows.append((len(rows), " ".join(x), "s"))
+    monkeypatch.setattr(neardup, "NODE_MAX", 4)
+    monkeypatch.setattr(neardup, "GRID", 8)
+    monkeypatch.setattr(neardup, "GRID_NODES", grid)
+    got = neardup.near_duplicates(frame(spark, rows), width=4).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity from 0.80 to 0.85, 600 of them: at least 0.99 are found (the trees miss 1e-6)."""
+    rng = random.Random(18)
+    rows, pairs = [], 0
+    while pairs < 600:
+        w = prose(rng, 70).split()
+        x = list(w)
+        for at in rng.sample(range(0, 70, 8), rng.choice((1, 2))):
+            x[at] = "changed"
+        a, b = ({tuple(t[i : i + 4]) for i in range(67)} for t in (w, x))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * pairs, " ".join(w), "s"), (2 * pairs + 1, " ".join(x), "s")]
+            pairs += 1
+    got = neardup.near_duplicates(frame(spark, rows), width=4).collect()
+    assert sum(r["component_id"] == r["doc_id"] - 1 for r in got if r["doc_id"] % 2) >= 0.99 * pairs
+
+
 def test_small_links(spark):
     """Components of small sets equal those of all pairs."""
     rng = np.random.default_rng(11)
