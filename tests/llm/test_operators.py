@@ -440,11 +440,11 @@ def test_recall_at_the_threshold(spark):
     rng = random.Random(18)
     rows, pairs = [], 0
     while pairs < 600:
-        w = prose(rng, 70).split()
+        w = prose(rng, 80).split()
         x = list(w)
-        for at in rng.sample(range(0, 70, 8), rng.choice((1, 2))):
+        for at in rng.sample(range(80), 2):
             x[at] = "changed"
-        a, b = ({tuple(t[i : i + 4]) for i in range(67)} for t in (w, x))
+        a, b = ({tuple(t[i : i + 4]) for i in range(77)} for t in (w, x))
         if 0.8 <= len(a & b) / len(a | b) <= 0.85:
             rows += [(2 * pairs, " ".join(w), "s"), (2 * pairs + 1, " ".join(x), "s")]
             pairs += 1
