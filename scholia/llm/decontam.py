@@ -32,6 +32,8 @@ MASKS = ("1111011", "110001111")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 WINDOW, MIN_WORDS, PERCENT = 13, 5, 80
 BLOCK_WORDS = 1_000_000
+#: Pairs of equal seeds that a task holds at a time.
+PAIRS_AT_ONCE = 1_000_000
 _BITS = 22
 
 _PLACES = np.random.Generator(np.random.PCG64(977)).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -57,6 +59,16 @@ def _best(same: np.ndarray, window: int) -> int:
     return int((c[window:] - c[:-window]).max())
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to about most."""
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, z
+        a = z
+
+
 class Block:
     """Seeds of some benchmark items."""
 
@@ -76,17 +88,26 @@ class Block:
     def find(self, words: np.ndarray, at: np.ndarray, only_first: bool = False) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, word offset in the text, in the item, overlap, agreeing words): the best
         verified alignment of each row and item. words: of all rows; at: where each row begins."""
-        spots: set[tuple[int, int, int]] = set()  # row, item, difference of positions
+        at = np.asarray(at, np.int64)
+        long = max((len(w) for _, w in self.items), default=0)
+        span = len(words) + long + 1
+        spots = np.zeros(0, np.int64)  # (row, item, difference of positions + long) as one number
         for mask, flags, keys, item, place in self.tables:
             h = seeds(words, mask)
             hit = np.flatnonzero(flags[h >> np.uint64(64 - _BITS)])
             lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-            for p, a, z in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                row = int(np.searchsorted(at, p, "right")) - 1
-                if p + len(mask) <= at[row + 1]:  # a window never spans two texts
-                    spots.update((row, int(item[x]), int(p - at[row]) - int(place[x])) for x in range(a, z))
+            row = np.searchsorted(at, hit, "right") - 1
+            ok = (hi > lo) & (hit + len(mask) <= at[row + 1])  # a window never spans two texts
+            hit, lo, hi, row = hit[ok], lo[ok], hi[ok], row[ok]
+            # a line repeated in both meets itself at every pair of places, on few diagonals: pairs are made some at a time
+            for a, z in _runs(hi - lo, PAIRS_AT_ONCE):
+                n = hi[a:z] - lo[a:z]
+                which = np.repeat(np.arange(a, z), n)
+                x = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+                spots = np.unique(np.concatenate([spots, (row[which] * len(self.items) + item[x]) * span + hit[which] - at[row[which]] - place[x] + long]))
         best: dict[tuple[int, int], tuple] = {}
-        for row, k, diff in sorted(spots):
+        for spot in spots.tolist():
+            (row, k), diff = divmod(spot // span, len(self.items)), spot % span - long
             name, w = self.items[k]
             text = words[at[row] : at[row + 1]]
             a, z = max(0, -diff), min(len(w), len(text) - diff)

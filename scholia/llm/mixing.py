@@ -12,7 +12,8 @@ The place where the order is cut is found by three rounds of 256 bins for each s
 documents. Only tables with one row for each source are joined, salted so that a hot source is spread.
 
 Defined cases: a null text has size 0; documents of size 0 are taken 0 words of; a null source is one source, after
-all others; rows that repeat a doc_id are taken alike; an empty table gives no rows; extra columns are ignored.
+all others; equal rows (doc_id, source and size) are numbered and ranked each by
+its number, so that repeats don't move a source off its target; of documents whose rank or fit is equal the one of smaller doc_id, size and number goes first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WEIGHTS, MAX_COPIES, SEED = (5, 2, 1), 3.0, 7
+#: Numbers of equal rows that are made in one array.
+COPIES_AT_ONCE = 100_000
 #: Size classes per halving of the expected copies.
 SLOPE = 16.0
 #: A table of sources is broadcast up to so many rows of under 100 bytes; a larger one is joined salted.
@@ -96,7 +99,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
     name = F.col(source_col).cast("string")
     # skey orders sources by code point, null last
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), name.alias("source"), F.when(name.isNull(), "n").otherwise(F.concat(F.lit("="), name)).alias("skey"), words.alias("size")), "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), name.alias("source"), F.when(name.isNull(), "n").otherwise(F.concat(F.lit("="), name)).alias("skey"), words.alias("size"))
+    # equal rows are counted, then numbered
+    rows = rows.groupBy("doc_id", "source", "skey", "size").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + COPIES_AT_ONCE, F.col("n")) - 1)))
+    rows = materialize(rows.drop("n", "from"), "mix-sizes")
     sized = rows.withColumn("k", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     by_class = materialize(sized.groupBy("skey", "k").agg(F.sum("size").alias("w")), "mix-classes")
     sources = targets(by_class.groupBy("skey").agg(F.sum("w").alias("source_size")), weights, max_copies)
@@ -104,12 +112,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float
     factors = full.select("skey", "target", "classes").mapInPandas(_solve(max_copies), "skey string, c double")
     sources = materialize(sources.join(factors, "skey"), "mix-targets")
     copies = F.least(F.col("c") * F.pow(F.lit(2.0), -F.col("k") / SLOPE), F.lit(float(max_copies)))
-    u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
+    u = (F.when(F.col("copy") == 0, F.xxhash64(F.lit(seed), "doc_id")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "copy")).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     drawn = _join(sized, sources).withColumn("copies", copies).withColumn("whole", F.floor(F.col("copies") + 1e-9))
     p = F.greatest(F.col("copies") - F.col("whole"), F.lit(0.0))
     drawn = drawn.withColumn("rank", F.when((p > 1e-9) & (F.col("size") > 0), inclusion_rank(u, p)))
     # words that the certain copies leave open, then the bin of each round in which they are reached
-    drawn = materialize(drawn.select("doc_id", "source", "skey", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "rank"), "mix-drawn")
+    drawn = materialize(drawn.select("doc_id", "copy", "source", "skey", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "rank"), "mix-drawn")
     cut = drawn.groupBy("skey").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("open")).withColumn("prefix", F.lit(0))
     cut = materialize(cut.filter(F.col("open") > 0), "mix-open")
     for shift in (16, 8, 0):
@@ -121,12 +129,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float
         hist = hist.filter((F.col("upto") - F.col("w") < F.col("open")) & ((F.col("upto") >= F.col("open")) | F.col("later").isNull()))
         cut = materialize(hist.select("skey", (F.col("open") - F.col("upto") + F.col("w")).alias("open"), F.col("bin").alias("prefix")), "mix-cut")
     # what the order leaves open is closed by the one later document whose size fits best, if any fits
-    open_ = _join(drawn.filter("rank is not null and size > 0").select("doc_id", "skey", "size", "rank"), cut).filter("rank >= prefix")
+    open_ = _join(drawn.filter("rank is not null and size > 0").select("doc_id", "copy", "skey", "size", "rank"), cut).filter("rank >= prefix")
     miss = F.abs(F.col("size") - F.col("open"))
-    fit = open_.filter(miss < F.col("open")).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id")).alias("fit"))
-    last = cut.select("skey", F.col("prefix").alias("below")).join(fit.select("skey", F.col("fit.rank").alias("fit_rank"), F.col("fit.doc_id").alias("fit_id")), "skey", "left")
+    fit = open_.filter(miss < F.col("open")).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id", "size", "copy")).alias("fit"))
+    last = cut.select("skey", F.col("prefix").alias("below")).join(fit.select("skey", F.col("fit.rank").alias("fit_rank"), F.col("fit.doc_id").alias("fit_id"), F.col("fit.size").alias("fit_size"), F.col("fit.copy").alias("fit_copy")), "skey", "left")
     out = _join(drawn, materialize(sources.select("skey").join(last, "skey", "left"), "mix-last"))
-    more = (F.col("rank") < F.col("below")) | ((F.col("rank") == F.col("fit_rank")) & F.col("doc_id").eqNullSafe(F.col("fit_id")))
+    fits = (F.col("rank") == F.col("fit_rank")) & F.col("doc_id").eqNullSafe(F.col("fit_id")) & (F.col("size") == F.col("fit_size")) & (F.col("copy") == F.col("fit_copy"))
+    more = (F.col("rank") < F.col("below")) | fits
     taken = F.col("size") * (F.col("whole") + F.when(more, 1).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 

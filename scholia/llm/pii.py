@@ -11,7 +11,8 @@ A span's score is 0.6 when its pattern only is known (email, ip, phone), 0.8 whe
 plus 0.2 where a context word of its kind stands within 40 code points before or after it.
 
 Defined cases: null and empty texts have no spans; a null text stays null when redacted; overlapping
-spans of different kinds are all returned, and redacted as one under the name of the leftmost; repeated rows
+spans of different kinds are all returned, and redacted as one under the name of the leftmost, of equal starts the one that
+ends first, then the kind first by name; texts of any length take time in proportion to them; repeated rows
 each give a row; extra columns stay where ``redact_pii`` is used; an empty table gives no rows.
 """
 
@@ -100,46 +101,88 @@ def _ok(kind: str, hit: Column) -> Column:
 _SPAN = "struct<kind:string,start:bigint,end:bigint,hit:string>"
 
 
-def _placed(kind: str, text: Column, gaps: Column, hits: Column) -> Column:
+#: Elements of a running total that are copied together, and code points of a text's blocks.
+CHUNK, BLOCK = 64, 1024
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, add) -> Column:
+    """The totals of array<bigint> up to each element, from 0; by chunks, as an array that grows is copied at every step."""
+    zero = F.lit(0).cast("bigint")
+    empty = F.array().cast("array<bigint>")
+    grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+
+    def whole(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / CHUNK).cast("int")
+        return F.when(F.size(v) > 0, _let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * CHUNK + 1, CHUNK)), of_chunks)).otherwise(empty)
+
+    def of_chunks(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, add))
+        bases = F.slice(F.aggregate(totals, F.array(zero), grow), 1, F.size(chunks))
+        return F.flatten(F.zip_with(chunks, bases, lambda c, b: F.slice(F.aggregate(c, F.array(b), grow), 2, CHUNK)))
+
+    return _let(values, whole)
+
+
+def _placed(kind: str, gaps: Column, hits: Column) -> Column:
     """Confirmed spans from the gaps between hits and the hits."""
     empty = F.array().cast(f"array<{_SPAN}>")
+    long = lambda c: F.length(c).cast("bigint")
+    widths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: long(g) + long(h))
+    placed = F.zip_with(hits, _running(widths, lambda a, b: a + b), lambda h, e: F.struct(F.lit(kind).alias("kind"), (e - long(h)).alias("start"), e.alias("end"), h.alias("hit")).cast(_SPAN))
+    return F.when(F.size(hits) > 0, F.filter(placed, lambda s: _ok(kind, s.hit))).otherwise(empty)
 
-    def add(acc: Column, i: Column) -> Column:
-        hit = F.element_at(hits, i)
-        at = acc.at + F.length(F.element_at(gaps, i))
-        to = at + F.length(hit)
-        span = F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("start"), to.cast("bigint").alias("end"), hit.alias("hit"))
-        return F.struct(to.cast("bigint").alias("at"), F.concat(acc.spans, F.array(span.cast(_SPAN))).alias("spans"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
-    placed = F.aggregate(F.sequence(F.lit(1), F.size(hits)), start, add, lambda acc: acc.spans)
-    return F.when(F.size(hits) > 0, F.filter(placed, lambda s: _ok(kind, s.hit))).otherwise(empty)
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a place is reached without walking from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end, which may lie beyond the text."""
+    first = F.floor(start / BLOCK).cast("int")
+    whole = F.array_join(F.slice(blocks, first + 1, F.greatest(F.ceil(end / BLOCK).cast("int") - first, F.lit(1))), "")
+    return F.substring(whole, (start - first * BLOCK + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", into: str = "pii", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """docs with a column array<struct<kind,start,end,score>> by kind as listed, then start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tmp = {k: (f"__{into}_{k}_gaps", f"__{into}_{k}_hits") for k in kinds}
+    tmp = {k: (_unused(docs, f"__{into}_{k}_gaps"), _unused(docs, f"__{into}_{k}_hits")) for k in kinds}
+    every = _unused(docs, f"__{into}_all")
     step = {}
     for k, (gaps, hits) in tmp.items():
         gate = F.contains(text, F.lit("@")) if k == "email" else text.rlike(GATES[k])
         step[hits] = F.when(gate, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumns(step)
     out = out.withColumns({gaps: F.when(F.size(F.col(hits)) > 0, F.split(text, PATTERNS[k], -1)) for k, (gaps, hits) in tmp.items()})
-    out = out.withColumn(f"__{into}_all", F.concat(*(_placed(k, text, F.col(gaps), F.col(hits)) for k, (gaps, hits) in tmp.items())))
+    out = out.withColumn(every, F.concat(*(_placed(k, F.col(gaps), F.col(hits)) for k, (gaps, hits) in tmp.items())))
+    scored_type = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
-    def scored(s: Column) -> Column:
-        low = F.greatest(s.start - CONTEXT_REACH, F.lit(0))
-        near = F.lower(F.concat_ws(" ", F.substring(text, (low + 1).cast("int"), (s.start - low).cast("int")), F.substring(text, (s.end + 1).cast("int"), F.lit(CONTEXT_REACH))))
+    def scored(blocks: Column, s: Column) -> Column:
+        near = F.lower(F.concat_ws(" ", _cut(blocks, F.greatest(s.start - CONTEXT_REACH, F.lit(0)), s.start), _cut(blocks, s.end, s.end + CONTEXT_REACH)))
         base, hit = F.lit(None).cast("double"), F.lit(False)
         for k in kinds:
             base = F.when(s.kind == k, F.lit(SCORES[k])).otherwise(base)
             hit = F.when(s.kind == k, near.rlike(CONTEXT[k])).otherwise(hit)
         return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), (base + F.when(hit, F.lit(CONTEXT_BONUS)).otherwise(0.0)).alias("score"))
 
-    found = F.col(f"__{into}_all")
-    out = out.withColumn(into, F.when(F.size(found) > 0, F.transform(found, scored)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")))
-    return out.drop(f"__{into}_all", *(c for pair in tmp.values() for c in pair))
+    found = F.col(every)
+    with_context = _let(_blocks(text), lambda b: F.transform(found, lambda s: scored(b, s)))
+    out = out.withColumn(into, F.when(F.size(found) > 0, with_context).otherwise(F.array().cast(scored_type)))
+    return out.drop(every, *(c for pair in tmp.values() for c in pair))
 
 
 def digest(found: DataFrame, into: str = "pii", id_col: str = "doc_id") -> DataFrame:
@@ -153,22 +196,21 @@ def digest(found: DataFrame, into: str = "pii", id_col: str = "doc_id") -> DataF
 def redact_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """docs with every span of at least min_score replaced by its kind in brackets, as [EMAIL]."""
     names = docs.columns
-    out = find_pii(docs, text_col, "__pii")
+    pii, spans = _unused(docs, "__pii"), _unused(docs, "__spans")
+    out = find_pii(docs, text_col, pii)
     text = F.col(text_col)
-    order = F.array_sort(F.transform(F.filter("__pii", lambda s: s.score >= min_score), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    out = out.withColumn("__spans", order)
-
-    def add(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int"))
-        fresh = s.start >= acc.at
-        return F.struct(
-            F.greatest(acc.at, s.end).alias("at"),
-            F.when(fresh, F.concat(acc.parts, F.array(between, F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))).otherwise(acc.parts).alias("parts"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.aggregate("__spans", start, add, lambda acc: F.concat(F.array_join(acc.parts, ""), F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(text)).select(*(F.col(f"`{c}`") for c in names))
+    order = F.array_sort(F.transform(F.filter(pii, lambda s: s.score >= min_score), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    out = out.withColumn(spans, order)
+
+    def pieces(blocks: Column, upto: Column) -> Column:
+        """The text before each span that begins beyond all spans before it, and the span's name; then the rest."""
+        before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(upto, 1, F.size(upto) - 1))
+        named = F.zip_with(F.col(spans), before, lambda s, b: F.when(s.start >= b, F.concat(_cut(blocks, b, s.start), F.lit("["), F.upper(s.kind), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(named, ""), _cut(blocks, F.element_at(upto, -1), F.size(blocks).cast("bigint") * BLOCK))
+
+    ends = _running(F.transform(spans, lambda s: s.end), lambda a, b: F.greatest(a, b))
+    whole = _let(_blocks(text), lambda b: _let(ends, lambda e: pieces(b, e)))
+    return out.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(*(F.col(f"`{c}`") for c in names))
 
 
 def brute_base(text: str) -> dict[str, list[tuple[int, int]]]:

@@ -2,7 +2,7 @@
 
 A text of up to ``chunk_bytes`` is encoded at once. A longer one is encoded in overlapping
 chunks whose tokens carry byte offsets; neighbouring chunks are spliced at a position that is
-a token boundary in both and that is *stable*: a non-space character before it, a space or line feed
+a token boundary in both and that is *stable*: a character that is no white space (of Unicode) before it, a space or line feed
 after it. The byte-level pattern of the vocabulary never matches across such a place, whatever
 stands around it, and the special token's own string holds no white space, so the tokens left
 of it depend on the left text alone and those right of it on the right text alone. Where an overlap
@@ -11,7 +11,8 @@ chunks are encoded as one.
 
 The vocabulary is that of the ``.json`` file; its merges as byte ranks give the same tokens
 several times faster, so the ranks file of the same vocabulary is used where there is one
-beside the ``.json`` file (tests compare both over every code point), else the ``.json`` file itself.
+beside the ``.json`` file (tests compare both over every code point), else the ``.json`` file itself; it is also taken for
+what the ranks' encoder refuses, as it does very long runs of white space.
 
 Defined cases: null and empty texts count 0 bytes and 0 tokens; repeated rows each give a
 row; extra columns are ignored; an empty table gives no rows.
@@ -35,6 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPECIAL = {"<|endoftext|>": 50256}
 
 _STABLE = re.compile(rb"(?<=[^\s])[ \n]")
+#: White space beyond ASCII in UTF-8 (fixed values), after which no place is stable.
+_WIDE_SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -42,6 +45,7 @@ class Encoder:
     """Token ids and byte offsets of a text."""
 
     def __init__(self, path: str):
+        self.path, self.lib = path, None
         ranks = re.sub(r"\.json$", ".tiktoken", path)
         self.fast = ranks != path and os.path.exists(ranks)
         if self.fast:
@@ -53,23 +57,33 @@ class Encoder:
             self.lens = np.zeros(max([*merges.values(), *SPECIAL.values()]) + 1, np.int64)
             for k, v in [*merges.items(), *((s.encode(), i) for s, i in SPECIAL.items())]:
                 self.lens[v] = len(k)
-        else:
+
+    def library(self):
+        """The .json file's own encoder."""
+        if not self.lib:
             from tokenizers import Tokenizer
 
-            self.enc = Tokenizer.from_file(path)
+            self.lib = Tokenizer.from_file(self.path)
+        return self.lib
 
     def count(self, text: str) -> int:
         if self.fast:
-            return len(self.enc.encode(text, allowed_special="all"))
-        return len(self.enc.encode(text, add_special_tokens=False).ids)
+            try:
+                return len(self.enc.encode(text, allowed_special="all"))
+            except ValueError:  # its regular expression gives up
+                pass
+        return len(self.library().encode(text, add_special_tokens=False).ids)
 
     def ends(self, text: str) -> np.ndarray:
         """Byte offset at which each token ends, in order."""
         if self.fast:
-            return np.cumsum(self.lens[np.array(self.enc.encode(text, allowed_special="all"), np.int64)])
+            try:
+                return np.cumsum(self.lens[np.array(self.enc.encode(text, allowed_special="all"), np.int64)])
+            except ValueError:
+                pass
         at = np.zeros(len(text) + 1, np.int64)
         np.cumsum([len(c.encode()) for c in text], out=at[1:])
-        return at[[e for _, e in self.enc.encode(text, add_special_tokens=False).offsets]]
+        return at[[e for _, e in self.library().encode(text, add_special_tokens=False).offsets]]
 
 
 def encoder(path: str) -> Encoder:
@@ -89,6 +103,9 @@ def count_spliced(raw: bytes, enc: Encoder, chunk_bytes: int = CHUNK_BYTES, over
     total, start, begin = 0, 0, 0  # start: where the left chunk starts; begin: its first byte that still counts
     stop = _char_start(raw, min(len(raw), chunk_bytes))
     while True:
+        if stop < len(raw) and not _STABLE.search(raw, begin + 1, stop):  # nothing to splice at: take more
+            stop = _char_start(raw, min(len(raw), stop + max(chunk_bytes, stop - start)))
+            continue
         ends = enc.ends(raw[start:stop].decode()) + start
         first = int(np.searchsorted(ends, begin, "right"))
         if stop >= len(raw):
@@ -100,7 +117,7 @@ def count_spliced(raw: bytes, enc: Encoder, chunk_bytes: int = CHUNK_BYTES, over
             if low <= begin:
                 break
             right = enc.ends(raw[low:right_stop].decode()) + low
-            stable = [m.start() for m in _STABLE.finditer(raw, low + 1, stop)]
+            stable = [p for m in _STABLE.finditer(raw, low + 1, stop) if not raw.endswith(_WIDE_SPACES, 0, p := m.start())]
             both = np.intersect1d(np.intersect1d(ends, right), np.array(stable, np.int64))
             both = both[both > begin]
             if len(both):
