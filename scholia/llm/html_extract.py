@@ -5,14 +5,15 @@ element deeper half, less what is link text. The page votes for the path of its
 down from the root with digits generalised, with the container's share of all scores; a container inside an article stands for the
 whole article, any other for the smallest one around it, below the body, that holds more text. Spark adds up the votes of each host and path.
 A page is then extracted again from the elements whose path won at its host, or from those of the
-next path that it has, or, where it has none of them or they hold much less than its own article, from its own best container.
+next path that it has, or, where it has none of them or they hold much less than its own article, from its own best container. A host's PATHS_OF_HOST paths
+with the most votes are looked up; a page that has none of these is left with the container that it voted for itself.
 
 Menus, headers outside the article, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 known by tag, role, or class and id names, and are neither scored nor extracted; names do not drop what is around the article. Character references are decoded, white space inside a
 block becomes one space, blocks join by an empty line.
 
-Hosts may be any size: votes are partially aggregated, and the paths of a host are broadcast while they are
-few, else joined with a salt.
+Hosts may be any size: votes are partially aggregated, and the paths of all hosts are broadcast up to BROADCAST_BYTES, else
+joined with a salt.
 
 Defined cases: null and empty pages give an empty text; a null URL is a host of its own; unclosed and crossed tags close
 as their context asks; text without a tag is one block; equal scores go to the first element, equal votes to the
@@ -38,7 +39,7 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP_TAGS = frozenset("nav footer aside form button menu dialog head fieldset".split()) | RAW
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
-CLOSES_P = BLOCK
+PAIRED = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|newsletter|subscribe|signup|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|header|masthead|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])",
@@ -46,12 +47,15 @@ DROP_NAMES = re.compile(
 )
 #: Words of a class or id that say what an element has, not what it is.
 MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
-HEADER_NAME = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+#: Words that, inside an article, name a place in it.
+PLACE_NAME = re.compile(r"(?<![^\s_-])(?:header|side|foot)(?![^\s_-])", re.I)
 #: Names of parts that may be longer than the article, or hold articles of their own.
 OTHER_TEXT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-PATHS_OF_HOST = 5
-BROADCAST_HOSTS, SALTS = 200_000, 32
+#: Paths of a host that its pages look up.
+PATHS_OF_HOST = 16
+#: Bytes of all hosts' paths that are broadcast at most.
+BROADCAST_BYTES, SALTS = 16_000_000, 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
@@ -60,10 +64,16 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Elements and text blocks of a page. Elements: parent, path, tag; blocks: element, text, link characters."""
+    """Elements and text blocks of a page. Elements: parent, path (by number), tag; blocks: element, text, link characters. Time and memory
+    are linear in the page, however tags nest or stay open."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.tag = [-1], [""], [""]
+        self.parent, self.tag = [-1], [""]
+        self.paths: dict[tuple[int, str], int] = {}  # a tree of paths: of the path above and a label
+        self.above: list[tuple[int, str]] = [(-1, "")]
+        self.path = [0]
+        self.in_article = [False]  # by tags or names
+        self.block, self.container = [0], [0]  # the nearest from the element up
         self.dropped = [False]
         self.named: dict[int, bool] = {}  # blocks dropped by a name, and whether it is of OTHER_TEXT
         self.blocks: list[tuple[int, str, int]] = []
@@ -72,9 +82,12 @@ class Page:
 
     def _parse(self, s: str) -> None:
         stack, pos, n = [0], 0, len(s)
+        last_end = s.rfind(">")
         text: list[str] = []
         linked, in_link, owner = 0, 0, 0
         low_cache: str | None = None
+        opened: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+        block_at = [0]  # where in the stack blocks are open, and the root
 
         def flush() -> None:
             nonlocal text, linked
@@ -86,13 +99,18 @@ class Page:
 
         def pop_to(k: int) -> None:
             nonlocal owner, in_link
-            for e in stack[k:]:
+            for e in reversed(stack[k:]):
+                opened[self.tag[e]].pop()
                 if self.tag[e] in BLOCK:
                     flush()
+                    block_at.pop()
                 if self.tag[e] == "a":
                     in_link = max(0, in_link - 1)
             del stack[k:]
-            owner = next((e for e in reversed(stack) if self.tag[e] in BLOCK or e == 0), 0)
+            owner = stack[block_at[-1]]
+
+        def last(tags) -> int:
+            return max((opened[t][-1] for t in tags if opened[t]), default=0)
 
         while pos < n:
             at = s.find("<", pos)
@@ -107,7 +125,8 @@ class Page:
                         linked += len(run.strip())
                 pos = at
                 continue
-            m = _TOKEN.match(s, at) or _LOOSE.match(s, at)
+            # beyond the last ">" only a comment can still begin
+            m = (_TOKEN.match(s, at) or _LOOSE.match(s, at)) if at < last_end or s.startswith("<!--", at) else None
             if m is None:  # a bare "<" is text
                 if not self.dropped[stack[-1]]:
                     text.append("<")
@@ -122,12 +141,9 @@ class Page:
                     if tag == "br" and not self.dropped[stack[-1]]:
                         text.append(" ")
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        pop_to(k)
-                        break
-                    if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
-                        break  # a stray end of an inline element
+                k = last((tag,))
+                if k and (tag in BLOCK or k > block_at[-1]):  # else a stray end
+                    pop_to(k)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -147,28 +163,20 @@ class Page:
                 close = s.find(">", end) if end >= 0 else -1
                 pos = n if end < 0 else (n if close < 0 else close + 1)
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == "p":
-                        pop_to(k)
-                        break
-                    if t in BLOCK:
-                        break
+            if tag in BLOCK and self.tag[stack[block_at[-1]]] == "p":
+                pop_to(block_at[-1])
             if tag in SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == tag or (t, tag) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
-                        pop_to(k)
-                        break
-                    if t in SAME[tag]:
-                        break
+                k = last((tag, *PAIRED.get(tag, ())))
+                if k > last(SAME[tag]):
+                    pop_to(k)
             if tag in BLOCK:
                 flush()
             self._open(tag, m[3], stack)
+            opened[tag].append(len(stack) - 1)
             if tag == "a":
                 in_link += 1
             if tag in BLOCK:
+                block_at.append(len(stack) - 1)
                 owner = stack[-1]
         pop_to(1)
         flush()
@@ -181,17 +189,16 @@ class Page:
                 if name in ("class", "id"):
                     names += " " + value
                 if name == "class" and (cls := ".".join(sorted(set(_DIGITS.sub("#", value.lower()).split())))):
-                    path = f"{tag}.{cls}"
+                    path = f"{tag}.{cls}".replace(">", "")
                 elif name == "role":
                     role = value.lower()
                 elif name == "style":
                     hidden = "display:none" in value.replace(" ", "").lower()
-        inside = self.path[up]
-        article = "article" in inside or "main" in inside
+        article = self.in_article[up]
         drop = self.dropped[up] or tag in DROP_TAGS or (tag == "header" and not article) or role in DROP_ROLES or hidden
         if names and not drop and tag not in ("html", "body", "article", "main"):
             names = MODIFIERS.sub("", names)
-            if DROP_NAMES.search(HEADER_NAME.sub("", names) if article else names):
+            if DROP_NAMES.search(PLACE_NAME.sub("", names) if article else names):
                 if tag in BLOCK:  # what it holds decides
                     self.named[len(self.tag)] = bool(OTHER_TEXT.search(names))
                 else:
@@ -199,7 +206,14 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         # inline elements never hold a container, so their names would only split the votes
-        self.path.append(f"{inside}>{path}" if tag in BLOCK else inside)
+        label, e = (self.path[up], path), len(self.tag) - 1
+        if tag in BLOCK and label not in self.paths:
+            self.paths[label] = len(self.above)
+            self.above.append(label)
+        self.path.append(self.paths[label] if tag in BLOCK else self.path[up])
+        self.in_article.append(article or (tag in BLOCK and ("article" in path or "main" in path)))
+        self.block.append(e if tag in BLOCK else self.block[up])
+        self.container.append(e if tag in CONTAINERS else self.container[up])
         self.dropped.append(drop)
         stack.append(len(self.tag) - 1)
 
@@ -224,12 +238,30 @@ class Page:
                 up = not (mains[e] or ((most and every) if self.named[e] else (most or every)))
             self.dropped[e] = self.dropped[e] or up
 
-    def _block_chain(self, e: int) -> Iterator[int]:
-        while e >= 0:
-            if self.tag[e] in BLOCK or e == 0:
-                yield e
+    def _chain(self, e: int, nearest: list[int]) -> Iterator[int]:
+        """The blocks or containers from an element up, the root last."""
+        while True:
+            e = nearest[e]
+            yield e
+            if e == 0:
+                return
             e = self.parent[e]
 
+    def path_text(self, e: int) -> str:
+        labels, at = [], self.path[e]
+        while at:
+            at, label = self.above[at]
+            labels.append(label)
+        return "".join(f">{x}" for x in reversed(labels))
+
+    def with_path(self, path: str) -> set[int]:
+        """The blocks, not dropped, that have a path."""
+        at = 0
+        for label in path.split(">")[1:]:
+            if (at := self.paths.get((at, label), -1)) < 0:
+                return set()
+        return {e for e, p in enumerate(self.path) if p == at and (self.tag[e] in BLOCK or e == 0) and not self.dropped[e]}
+
     def scores(self) -> dict[int, float]:
         """Scores of the containers."""
         out: dict[int, float] = defaultdict(float)
@@ -237,12 +269,11 @@ class Page:
             if self.dropped[e]:
                 continue
             size, weight = max(0, len(text) - linked), 1.0
-            for c in self._block_chain(e):
-                if self.tag[c] in CONTAINERS or c == 0:
-                    out[c] += weight * size * (1.25 if self.tag[c] in ("article", "main") else 1.0)
-                    weight /= 2
-                    if weight < 0.2:
-                        break
+            for c in self._chain(e, self.container):
+                out[c] += weight * size * (1.25 if self.tag[c] in ("article", "main") else 1.0)
+                weight /= 2
+                if weight < 0.2:
+                    break
         return out
 
     def best(self) -> tuple[int, float] | None:
@@ -255,7 +286,7 @@ class Page:
 
     def _lifted(self, top: int) -> int:
         """The article or main around a container; without one the smallest container around it, below the body, that holds other text."""
-        around = [e for e in self._block_chain(top) if self.tag[e] in CONTAINERS and self.tag[e] not in ("body", "html")]
+        around = [e for e in self._chain(top, self.container) if e and self.tag[e] not in ("body", "html")]
         for tag in ("article", "main"):
             if (e := next((e for e in around if self.tag[e] == tag), None)) is not None:
                 return e
@@ -305,7 +336,7 @@ def vote(source: str | None) -> tuple[str, float] | None:
     """The path that a page votes for, and the weight of its vote."""
     page = Page(source or "")
     best = page.best()
-    return (page.path[best[0]], best[1]) if best else None
+    return (page.path_text(best[0]), best[1]) if best else None
 
 
 def extract(source: str | None, paths: list[str]) -> str:
@@ -314,7 +345,7 @@ def extract(source: str | None, paths: list[str]) -> str:
     page = Page(source or "")
     best = page.best()
     for path in paths:
-        mine = {e for e, p in enumerate(page.path) if p == path and (page.tag[e] in BLOCK or e == 0) and not page.dropped[e]}
+        mine = page.with_path(path)
         if mine and (text := page.text_of(mine)):
             own = best[0] if best else 0
             if best and (page.tag[own] in ("article", "main") or page._around(own, mine)) and page._size(page._within({own})) > 2 * page._size(page._within(mine)):
@@ -350,7 +381,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, n_chars) of every row."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     won = materialize(host_paths(pages), "html-paths")
-    if won.count() <= BROADCAST_HOSTS:
+    size = won.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 16 * F.size("paths") + 40)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         both = pages.join(F.broadcast(won), "host", "left")
     else:
         salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
