@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,28 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     if rows is not None:
         df = df.coalesce(-(-rows // ROWS_OF_TASK) or 1)
     df.write.parquet(path)
+    for made in _SCOPES:
+        made[label] = path
+        made.setdefault("", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[dict] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Deletes the scratch tables made inside, but the last ones of some labels, which the result still reads."""
+    made: dict = {}
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in set(made.get("", [])) - {made.get(x) for x in kept}:
+            drop_scratch(spark, path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, mix64, shingle_set, text_slices, word_hashes
+from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, word_hashes
 
 #: (tokens on a path, trees), by depth of branching.
 LEVELS = ((2, 16), (4, 32), (6, 64))
@@ -553,6 +553,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def _found(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """The rows of near_duplicates, with cid."""
+    with scratch_scope(docs.sparkSession, "neardup-sigs", "neardup-names"):
+        return _joined(docs, width, percent, id_col, text_col, levels)
+
+
+def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, levels: tuple[tuple[int, int], ...]) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level, trees = levels[0]
     sigs = materialize(signatures(docs, width, level, trees), "neardup-sigs")

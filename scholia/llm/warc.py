@@ -31,8 +31,10 @@ from .common import materialize, scratch_path
 CRLF, RECORD_END = "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Rows of a file at most, so that a file fits an executor when it is read.
-FILE_ROWS = 20_000
+#: Rows of a file, and inflated bytes by the mean size of a record, so that a file fits an executor when it is read.
+FILE_ROWS, FILE_BYTES = 20_000, 1 << 27
+#: Records of one digest that are joined under one key.
+HOT_ROWS = 100_000
 #: Revisits, some 100 bytes each, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_REVISITS = 200_000
 
@@ -80,8 +82,11 @@ def _render(record_id: Column, kind: Column, page_id: Column, url: Column, diges
     )
 
 
-def _save(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+def _save(records: DataFrame, path: str, sizes: DataFrame) -> None:
+    """Writes records; sizes has their payloads' bytes, n_bytes."""
+    mean = sizes.agg(F.coalesce(F.avg("n_bytes"), F.lit(0.0))).first()[0] + 700  # of headers
+    rows = max(1, min(FILE_ROWS, int(FILE_BYTES / mean)))
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -89,7 +94,7 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     page, url, html = F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(page.alias("page"), url.alias("url"), html.alias("html"), digest32(html.cast("binary")).alias("digest"))
     null = F.lit(None).cast("string")
-    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path)
+    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path, pages.select(F.octet_length(html).alias("n_bytes")))
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
@@ -179,12 +184,16 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(file, offset, refers_to, refers_id) of the records that must be revisits. Headers are pre-aggregated by
-    digest, so a digest that a third of all records share weighs no more than any other."""
+    digest, and a digest of more than HOT_ROWS records is salted, so one that a third of all records share weighs no more than any other."""
     order = F.struct(F.col("record_type") == "response", "page_id", "file", "offset", "record_id")
     known = headers.filter(F.col("payload_digest").isNotNull() & (F.col("payload_bytes") >= min_bytes))
     best = known.groupBy("payload_digest", "payload_bytes").agg(F.max(order).alias("best"), F.count("*").alias("n")).filter("n > 1 and best.col1")
-    best = materialize(best.select("payload_digest", "payload_bytes", F.col("best.page_id").alias("to"), F.col("best.record_id").alias("to_id"), F.col("best.file").alias("f"), F.col("best.offset").alias("o")), "warc-best")
-    return known.join(best, ["payload_digest", "payload_bytes"]).filter("not (file <=> f and offset <=> o)").select("file", "offset", F.col("to").alias("refers_to"), F.col("to_id").alias("refers_id"))
+    best = materialize(best.select("payload_digest", "payload_bytes", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"), F.col("best.page_id").alias("to"), F.col("best.record_id").alias("to_id"), F.col("best.file").alias("f"), F.col("best.offset").alias("o")), "warc-best")
+    digest = ["payload_digest", "payload_bytes"]
+    hot = F.broadcast(best.filter("salts > 1").select(*digest, "salts"))  # of n headers at most n / HOT_ROWS
+    known = known.join(hot, digest, "left").withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return known.join(best, [*digest, "salt"]).filter("not (file <=> f and offset <=> o)").select("file", "offset", F.col("to").alias("refers_to"), F.col("to_id").alias("refers_id"))
 
 
 def rewrite(spark: SparkSession, source: str, target: str, date: str = "2024-01-02T00:00:00Z", min_bytes: int = 0) -> None:
@@ -199,7 +208,7 @@ def rewrite(spark: SparkSession, source: str, target: str, date: str = "2024-01-
     dup = F.col("to_id").isNotNull()
     kind = F.when(dup, "revisit").otherwise(F.col("record_type"))
     to, to_id = F.when(dup, F.col("to")).otherwise(F.col("refers_to")), F.when(dup, fresh(F.col("to_id"))).otherwise(F.col("refers_id"))
-    _save(rows.select(_render(fresh(F.col("record_id")), kind, F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.coalesce("payload", F.lit("")), to, to_id, date).alias("value")), target)
+    _save(rows.select(_render(fresh(F.col("record_id")), kind, F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.coalesce("payload", F.lit("")), to, to_id, date).alias("value")), target, headers.select(F.col("payload_bytes").alias("n_bytes")))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
