@@ -5,6 +5,11 @@ redacted, and what is left is mixed to target weights.
 Each stage takes (spark, docs, sf_dir), with docs the rows that the stage before it kept, and returns a
 DataFrame: the columns of documents, or, from the last stage, the mixture (doc_id, size, source_size, target, taken, source).
 ``run`` writes each stage's result as Parquet to the shared folder and reads it again.
+
+Defined cases of every stage: null and empty texts are clean, link with nothing, hold no passage and no personal data, and have size
+0; texts may be of any length; rows that repeat a doc_id are decided each by its own text, equal rows alike (all stay or all go) until the mixture, which
+ranks each on its own; ties go as the operators say; columns beyond those of documents stay up to the mixture; empty
+tables, of documents, labels or benchmark, give no rows, no model and no passages.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import decontam, mixing, neardup, pii, toxicity
-from scholia.llm.common import materialize, table
+from scholia.llm.common import materialize, scratch_scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch_scope(spark, f"pipeline-{STAGES[-1][0]}"):
+        for name, stage in STAGES:
+            with scratch_scope(spark, f"pipeline-{name}"):
+                docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
