@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -256,9 +257,63 @@ def test_secrets(spark, odd):
     assert secret_scan.scan_secrets(odd.limit(0)).count() == 0
 
 
+def in_seconds(most, f, *args):
+    start = time.perf_counter()
+    out = f(*args)
+    assert time.perf_counter() - start < most
+    return out
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 340_000, "eyJ." * 250_000, "password" * 125_000, "token" + " " * 1_000_000, "f" * 1_000_000])
+def test_secrets_in_hostile_texts(text):
+    assert len(in_seconds(5, secret_scan.scan, text, secret_scan.automaton())) == (text[0] == "f")
+
+
+def test_secrets_nested_header():
+    """A header nested too deep for the JSON parser is no token."""
+    import base64
+
+    head = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+    assert head.startswith("eyJ") and secret_scan.scan(head + ".e30.abc", secret_scan.automaton()) == []
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "x" * 1_000_000, "\u00a0 " * 330_000, "\n" * 1_000_000, "a\u00a0 \u00a0" * 50_000])
+def test_tokens_of_hostile_texts(text):
+    enc = tokens.encoder(tokenizer_path())
+    assert in_seconds(10, tokens.count_text, text, enc)[1] == len(enc.library().encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("page", ["<b><p>x</p>" * 90_000, "<div>" * 90_000 + "x", "<div><td>a</td>" * 60_000, '<p a="' * 150_000, "<" * 1_000_000, "<a href=x>y" * 80_000, "<dl><dt>a<dd>b" * 60_000])
+def test_html_of_hostile_pages(page):
+    assert len(in_seconds(10, html_extract.extract, page, [">html>body>div"])) > 0
+
+
+def test_html_generated_sites(spark):
+    """Pages of random templates hold exactly the article's blocks."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for host in range(6):
+        box = rng.choice(["<div class='post-{n} entry'>%s</div>", "<article id=a{n}>%s</article>", "<main><section class=text>%s</section></main>", "<div class=page><div class=story>%s</div></div>"])
+        for n in range(8):
+            i = host * 100 + n
+            blocks = [prose(rng, rng.randint(20, 60)) for _ in range(rng.randint(3, 6))]
+            body = box.replace("{n}", str(i)) % "".join(f"<p>{b}</p>\n" for b in blocks)
+            around = ["<nav><a href=/>%s</a></nav>" % prose(rng, 5), body, "<div class=sidebar><p>%s</p></div>" % prose(rng, 12), "<div id=comments><p>%s</p></div>" % prose(rng, 30), "<footer>%s</footer>" % prose(rng, 8)]
+            rows.append((i, f"http://h{host}/{n}", f"<html><head><title>t</title></head><body>{''.join(around)}</body></html>"))
+            want[i] = "\n\n".join(blocks)
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 # 6 decontamination
 
 
+def test_decontamination_of_repeated_lines():
+    """Alignments of a line repeated in both are counted, not listed one by one."""
+    words = decontam.item_words("one two three four five six seven eight " * 600)
+    assert in_seconds(5, decontam.Block([(1, words)]).find, words, np.array([0, len(words)])) == [(0, 1, 0, 0, 4800, 4800)]
+
+
 def test_masks_cover_what_is_promised():
     for length in range(decontam.MIN_WORDS, 20):
         w = min(length, decontam.WINDOW)
@@ -567,6 +622,20 @@ def test_pii_score_and_redaction(spark, odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_of_hostile_texts(spark):
+    """8,000 and 100,000 addresses in a text."""
+    df = spark.createDataFrame([(1, "a@b.cc " * 8000), (2, "é x@y.zz;" * 100_000), (3, "+4111 1111 1111 1111")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in in_seconds(60, lambda: pii.digest(pii.find_pii(df)).collect())}
+    assert got[1]["spans"] == ",".join(f"email:{7 * k}:{7 * k + 6}" for k in range(8000)) and got[2]["n_email"] == 100_000
+    text = {r["doc_id"]: r["text"] for r in in_seconds(60, lambda: pii.redact_pii(df).collect())}
+    assert text[1] == "[EMAIL] " * 8000 and text[2] == "é [EMAIL];" * 100_000 and text[3] == "+[CARD]"
+
+
+def test_pii_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", "x", "y", "z")], "doc_id long, text string, __pii string, __spans string, ____pii_all string")
+    assert tuple(pii.redact_pii(df).first()) == (1, "[EMAIL]", "x", "y", "z")
+
+
 # 9 fingerprints
 
 
@@ -634,6 +703,17 @@ def test_mixture_inclusion(spark):
     assert mean == pytest.approx(target["target"] / target["source_size"], rel=0.02)
 
 
+def test_mixture_of_repeated_rows(spark):
+    """Rows that repeat a doc_id don't move a source off its target."""
+    rows = [(1, "w " * 10, "a")] * 300 + [(k, "w " * 10, "b") for k in range(2, 402)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    taken, target = collections.Counter(), {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert len(got) == 700 and all(abs(taken[s] - target[s]) <= 10 for s in target)
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
 def test_mixture_odd(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == 8 and all(r["taken"] == 0 for r in got if r["size"] == 0) and {r["size"] for r in got if r["doc_id"] == 5} == {30_000}

@@ -74,3 +74,17 @@ def test_sql(spark):
 def test_stages_use_the_operators():
     assert corpus_pipeline.toxicity is toxicity and corpus_pipeline.neardup is neardup and corpus_pipeline.decontam is decontam and corpus_pipeline.mixing is mixing
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "mixing"]
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, null, empty, repeated and long texts, and an extra column through every stage."""
+    rows = [(1, None, "en", "a", 0, "x"), (2, "", "en", "a", 0, "x"), (3, "one", None, None, 3, "x"), (3, "one", None, None, 3, "x"), (4, "word " * 30_000, "en", "b", 5, "x"), (None, "é 😀", "en", "b", 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, cid string")
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert out.count() == 6, name
+        assert name == "mixing" or out.columns == docs.columns
