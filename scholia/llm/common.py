@@ -69,7 +69,7 @@ def scratch_scope(spark: SparkSession, *kept: str) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.pop()
         for path in set(made.get("", [])) - {made.get(x) for x in kept}:
             drop_scratch(spark, path)
 
