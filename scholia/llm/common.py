@@ -3,11 +3,13 @@ cluster's shared folder, and vectorised word and shingle hashing over Arrow stri
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,26 @@ def scratch_scope(spark: SparkSession, *kept: str) -> Iterator[None]:
             drop_scratch(spark, path)
 
 
+@cache
+def _trim():
+    """The C library's function that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def tidy(run):
+    """A function of batches that gives freed memory back when it ends, as the worker process stays for later stages."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_slices, word_hashes
+from .common import mix64, text_slices, tidy, word_hashes
 
 #: Seeds for items of WINDOW words or more, and for shorter ones (fixed values).
 MASKS = ("1111011", "110001111")
@@ -144,6 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
     for block in _blocks(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)), window, percent):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "item_id", "doc_word", "item_word", "overlap", "agreeing"]
             for b in batches:
@@ -163,6 +164,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
         held = docs.sparkSession.sparkContext.broadcast(block)
         at = docs.columns.index(text_col)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep, row = np.ones(b.num_rows, bool), 0

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, word_hashes
+from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, tidy, word_hashes
 
 #: (tokens on a path, trees), by depth of branching.
 LEVELS = ((2, 16), (4, 32), (6, 64))
@@ -64,6 +64,7 @@ BEST = 2
 #: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _EDGES = (np.arange(SKETCH, dtype=np.uint64) << np.uint64(56)).astype(np.uint64)
 
 
@@ -104,6 +105,7 @@ def class_id(tokens: np.ndarray) -> int:
 def signatures(docs: DataFrame, width: int, level: int, trees: int, id_col: str = "doc_id", text_col: str = "text", sketches: bool = True) -> DataFrame:
     """(doc_id, n_shingles, cid, paths, sketch) of every row; cid is null without shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, offs, raw in text_slices(b.column(0), b.column(1)):
@@ -132,13 +134,31 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def word_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
     """The set of a text as words, not hashes."""
-    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    w = _WORD.findall(text.encode().lower())
     return set(zip(*(w[k:] for k in range(min(width, len(w)))), strict=False)) if w else set()
 
 
+def numbered_shingles(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
+    """The sets of some texts, a number for each distinct shingle of words."""
+    number: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        w = [number.setdefault(x, len(number) + 1) for x in _WORD.findall(text.as_py().encode().lower())]
+        rows.append(np.array(w + [0] * (width - len(w)) if w else [], np.int64))  # 0 is no word
+    n = [max(0, len(r) - width + 1) for r in rows]
+    if not sum(n):
+        return [np.zeros(0, np.int64) for _ in rows]
+    windows = [np.concatenate([r[k : k + m] for r, m in zip(rows, n, strict=True)]) for k in range(width)]
+    ids = windows[0]
+    for k in range(1, width):  # pairs of numbers below 2**31 fit a number each
+        ids = np.unique(ids << 32 | windows[k], return_inverse=True)[1]
+    return [np.unique(x) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def _own(width: int, schema: str, at: int):
     """Of rows with a class, cid, and at column at a text, those whose text has that set, as rows that repeat a doc_id may hold another."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, cids = 0, b.column(b.schema.get_field_index("cid"))
@@ -170,11 +190,13 @@ def confirm(pairs: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width
     rows = docs.join(need, docs["doc_id"] == need["rep"]).select("a", "part", "role", "cid", "text")
     rows = rows.mapInArrow(*_own(width, "a bigint, part bigint, role int, cid bigint, text string", 4))
 
+    @tidy
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, set()
         for b in batches:
             out = []
-            for a, part, role, cid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for a, part, role, cid, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
+                text = text.as_py()
                 if role == 0:
                     if at != (a, part):
                         at, first = (a, part), word_shingles(text, width)
@@ -215,6 +237,7 @@ def small_links(sets: DataFrame, percent: int, label: str) -> DataFrame:
     as c with d and e more, d + e <= common_slack(c). Where d is the least at c, each other linked with any there
     is linked with that one too, so a star holds all of c's components."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "cid", "d", "slack"]
 
@@ -242,6 +265,7 @@ def small_links(sets: DataFrame, percent: int, label: str) -> DataFrame:
     return materialize(links.select("a", F.col("cid").alias("b")).distinct(), f"{label}-links")
 
 
+@tidy
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, comp) of all edges (hi, lo) in one task."""
     forest = Forest()
@@ -283,6 +307,7 @@ def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 def _by_part(schema: pa.Schema, handle):
     """Calls handle for each node part of sorted rows; it returns lists of columns."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -425,8 +450,7 @@ def _exact(percent: int, width: int):
 
     def handle(t: pa.Table):
         cid, comp, role = (t[c].to_numpy() for c in ("cid", "comp", "role"))
-        number: dict[tuple[bytes, ...], int] = {}
-        sets = [np.array([number.setdefault(g, len(number)) for g in word_shingles(x, width)], np.int64) for x in t["text"].to_pylist()]
+        sets = numbered_shingles(t["text"], width)
         n = np.array([len(x) for x in sets])
         both = common_counts(sets)
         ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]) & ((role[:, None] == 0) | (role[None, :] == 0))
@@ -511,6 +535,7 @@ def _sorted(parts: DataFrame) -> DataFrame:
 def _tokens(texts: DataFrame, width: int) -> DataFrame:
     """(cid, tokens) of texts, the sorted shingle hashes as bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, offs, raw in text_slices(b.column(0), b.column(1)):
@@ -654,6 +679,7 @@ def _with_class(docs: DataFrame, width: int, name: str) -> DataFrame:
     """docs with the class of each row's text."""
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cids = []

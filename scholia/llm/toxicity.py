@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Bounds of the sample: examples of each class, and terms of the vector space.
 EXAMPLES, TERMS = 4000, 2048
@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
     picked = materialize(picked[0].union(picked[1]), "toxic-picked")
     sample = materialize(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")  # at most 2 * EXAMPLES rows
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
         for b in batches:
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
     numbers = Terms(chosen)
     held = docs.sparkSession.sparkContext.broadcast(numbers)
 
+    @tidy
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(held.value) + 1, np.int64)
         for b in batches:
@@ -246,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
     idf = np.log1p(max(df[0], 1) / np.maximum(df, 1))
     weight = {y: there[y] / got[y] for y in got}
 
+    @tidy
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [sorted(held.value.features(t.as_py()).items()) for t in b.column(1)]
@@ -261,6 +264,7 @@ def score(docs: DataFrame, model: Index | float) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
@@ -276,6 +280,7 @@ def keep_clean(docs: DataFrame, model: Index | float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:

@@ -559,6 +559,16 @@ def test_keep_one_decides_by_row(spark):
     assert kept.columns == df.columns and sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(1, a), (2, b), (4, c), (5, "")])
 
 
+@given(st.lists(st.text("ab \tA", max_size=14), min_size=1, max_size=8), st.integers(1, 5))
+def test_numbered_shingles(texts, width):
+    import pyarrow as pa
+
+    got = neardup.numbered_shingles(pa.chunked_array([texts], pa.string()), width)
+    want = [neardup.word_shingles(t, width) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
 def test_common_counts():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)] + [np.zeros(0, np.uint64)]
