@@ -30,9 +30,9 @@ def url_codes(value: Column) -> Column:
     return F.array_compact(
         F.array(
             F.when(none, "url_protocol_missing"),
-            F.when(~none & ~scheme.isin(*SCHEMES), "url_protocol_unexpected"),
-            F.when(F.contains(low, F.lit("//dx.doi.org/")), "url_is_doi"),
-            F.when(~F.contains(low, F.lit("//dx.doi.org/")) & low.rlike(r"\.(?:com|edu|net|org)/.*?10\.") & low.rlike(r"/10\."), "url_maybe_doi"),
+            F.when(~none & ~scheme.rlike(f"(?:{'|'.join(SCHEMES)})$"), "url_protocol_unexpected"),
+            F.when(~none & F.contains(low, F.lit("//dx.doi.org/")), "url_is_doi"),
+            F.when(~none & low.rlike(r"\.(?:com|edu|net|org)/10\."), "url_maybe_doi"),
         )
     )
 

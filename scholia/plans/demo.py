@@ -372,7 +372,10 @@ FROM i LEFT JOIN m ON i.o_orderkey = m.o_orderkey LEFT JOIN {_ranges_sql()} ON r
         "q_year_check": """WITH y AS (SELECT o_orderkey, '"' || CASE o_orderkey % 5 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 1454 WHEN 2 THEN 1455 WHEN 3 THEN 2099 ELSE 2100 END || CASE WHEN o_orderkey % 2 = 0 THEN ', 1999' ELSE '' END || '"' AS year FROM orders)
 SELECT o_orderkey, year, CAST(len(list_filter(regexp_extract_all(year, '[0-9]+'), lambda v: CAST(v AS BIGINT) NOT BETWEEN 1455 AND 2099)) AS BIGINT) AS suspicious FROM y""",
         "q_url_check": """WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'gopher://host/' || page_id WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN 'http://dx.doi.org/10.1000/' || page_id ELSE 'https://www.example.com/10.' || page_id END AS value FROM pages)
-SELECT page_id, value, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'url_protocol_unexpected' WHEN 2 THEN 'url_protocol_missing' WHEN 3 THEN 'url_is_doi' ELSE 'url_maybe_doi' END AS codes FROM v""",
+SELECT page_id, value, concat_ws(',', CASE WHEN value NOT LIKE '%://%' THEN 'url_protocol_missing' END,
+  CASE WHEN value LIKE '%://%' AND NOT regexp_matches(split_part(value, '://', 1), '(ftp|http|https)$') THEN 'url_protocol_unexpected' END,
+  CASE WHEN value LIKE '%://%' AND contains(lower(value), '//dx.doi.org/') THEN 'url_is_doi' END,
+  CASE WHEN value LIKE '%://%' AND regexp_matches(lower(value), '[.](com|edu|net|org)/10[.]') THEN 'url_maybe_doi' END) AS codes FROM v""",
         "q_doi_check": "WITH v AS (SELECT p_partkey, '10.' || (p_partkey % 9000 + 1000) || CASE p_partkey % 7 WHEN 0 THEN '/a b' WHEN 1 THEN '/x,y' WHEN 2 THEN '/p;q' ELSE '/v' END || p_partkey AS doi FROM part) SELECT p_partkey, doi, regexp_matches(doi, '[ ,;]') AS separators FROM v",
         "q_length_check": "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 10000",
         "q_pattern_volume": _chosen_sql(VOLUMES, (1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 1, 0)),

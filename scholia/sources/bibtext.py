@@ -95,7 +95,7 @@ def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
         c = text[k]
         if c == " ":
             end = k + 1
-            while end < n and text[end] not in SPACE:
+            while end < n and text[end] not in SPACE and text[end] not in (LINEBREAK, PARBREAK):
                 end += 1
             word = end - k - 1 + (end == n)
             if len(page.cur) + 1 + word > page.width:

@@ -51,7 +51,7 @@ def test_isbn_detects_one_changed_digit(nine, at, by):
 
 def test_checks(spark):
     assert values(spark, checks.suspicious_years, '"1989"', '"1454, 2100"', '"99"') == [0, 2, 1]
-    assert values(spark, checks.url_codes, "http://a.b/c", "a.b/c", "gopher://x", "http://dx.doi.org/10.1/x", "https://x.com/10.1/y") == [[], ["url_protocol_missing"], ["url_protocol_unexpected"], ["url_is_doi"], ["url_maybe_doi"]]
+    assert values(spark, checks.url_codes, "http://a.b/c", "a.b/c", "gopher://x", "http://dx.doi.org/10.1/x", "https://x.com/10.1/y") == [[], ["url_protocol_missing"], ["url_protocol_unexpected"], ["url_is_doi", "url_maybe_doi"], ["url_maybe_doi"]]
     assert values(spark, checks.doi_has_separators, "10.1/a", "10.1/a b", "10.1/a;b") == [False, True, True]
 
 
