@@ -33,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Rows of a file, and inflated bytes by the mean size of a record, so that a file fits an executor when it is read.
 FILE_ROWS, FILE_BYTES = 20_000, 1 << 27
+#: How much larger than its files a table of pages is taken to be.
+INFLATION = 8
 #: Records of one digest that are joined under one key.
 HOT_ROWS = 100_000
 #: Revisits, some 100 bytes each, that are broadcast at most; more are joined by a shuffle.
@@ -82,10 +84,19 @@ def _render(record_id: Column, kind: Column, page_id: Column, url: Column, diges
     )
 
 
-def _save(records: DataFrame, path: str, sizes: DataFrame) -> None:
-    """Writes records; sizes has their payloads' bytes, n_bytes."""
-    mean = sizes.agg(F.coalesce(F.avg("n_bytes"), F.lit(0.0))).first()[0] + 700  # of headers
-    rows = max(1, min(FILE_ROWS, int(FILE_BYTES / mean)))
+def _mean_bytes(sizes: DataFrame) -> float:
+    return sizes.agg(F.coalesce(F.avg("n_bytes"), F.lit(0.0))).first()[0]
+
+
+def _mean_row(pages: DataFrame) -> float | None:
+    """Bytes of a row of a table in files, by the files' sizes and the count in their footers; None for other tables."""
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size * INFLATION / max(1, pages.count()) if size < 1 << 60 else None
+
+
+def _save(records: DataFrame, path: str, mean: float) -> None:
+    """Writes records, whose payloads have so many bytes on average."""
+    rows = max(1, min(FILE_ROWS, int(FILE_BYTES / (mean + 700))))  # with headers
     records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
@@ -94,7 +105,7 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     page, url, html = F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(page.alias("page"), url.alias("url"), html.alias("html"), digest32(html.cast("binary")).alias("digest"))
     null = F.lit(None).cast("string")
-    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path, pages.select(F.octet_length(html).alias("n_bytes")))
+    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path, _mean_row(pages) or _mean_bytes(pages.select(F.octet_length(html).alias("n_bytes"))))
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
@@ -208,7 +219,7 @@ def rewrite(spark: SparkSession, source: str, target: str, date: str = "2024-01-
     dup = F.col("to_id").isNotNull()
     kind = F.when(dup, "revisit").otherwise(F.col("record_type"))
     to, to_id = F.when(dup, F.col("to")).otherwise(F.col("refers_to")), F.when(dup, fresh(F.col("to_id"))).otherwise(F.col("refers_id"))
-    _save(rows.select(_render(fresh(F.col("record_id")), kind, F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.coalesce("payload", F.lit("")), to, to_id, date).alias("value")), target, headers.select(F.col("payload_bytes").alias("n_bytes")))
+    _save(rows.select(_render(fresh(F.col("record_id")), kind, F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.coalesce("payload", F.lit("")), to, to_id, date).alias("value")), target, _mean_bytes(headers.select(F.col("payload_bytes").alias("n_bytes"))))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
