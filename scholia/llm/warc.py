@@ -90,7 +90,7 @@ def _mean_bytes(sizes: DataFrame) -> float:
 
 def _mean_row(pages: DataFrame) -> float | None:
     """Bytes of a row of a table in files, by the files' sizes and the count in their footers; None for other tables."""
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size * INFLATION / max(1, pages.count()) if size < 1 << 60 else None
 
 
