@@ -11,7 +11,7 @@ example stands for; a logistic curve fitted on votes that leave the example out
 neighbours come along as evidence.
 
 Defined cases: null and empty texts are scored as texts without terms; an id labelled more than once is toxic if any
-label is; null labels and labels of unknown ids teach nothing; without labels of both classes every score is the only class's
+label is, and teaches by the least of its texts; null labels and labels of unknown ids teach nothing; without labels of both classes every score is the only class's
 share (0 without any); ties of cosine go to the block, then the example that comes first; repeated rows score alike;
 extra columns are ignored, or stay where ``keep_clean`` is used; an empty table gives no rows.
 """
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | float:
         return float(1 in there)
     picked = [train.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for y in (0, 1)]
     picked = materialize(picked[0].union(picked[1]), "toxic-picked")
-    sample = materialize(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")  # at most 2 * EXAMPLES rows
+    sample = materialize(docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")  # at most 2 * EXAMPLES rows
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
