@@ -58,6 +58,7 @@ class Page:
     def __init__(self, width: int):
         self.lines: list[str] = []
         self.cur = ""
+        self.uncounted = 0  # characters of cur before a line end that was taken back: the column starts after them
         self.width = width
 
     def put(self, text: str) -> None:
@@ -65,18 +66,19 @@ class Page:
         self.cur += first
         for piece in rest:
             self.lines.append(self.cur.rstrip(" \t"))
-            self.cur = piece
+            self.cur, self.uncounted = piece, 0
 
     def spaces(self, n: int) -> None:
         self.cur += " " * n
 
     def to_column(self, n: int) -> None:
-        self.spaces(n - len(self.cur))
+        self.spaces(n - len(self.cur) + self.uncounted)
 
     def rstrip(self) -> None:
         self.cur = self.cur.rstrip(SPACE)
         while not self.cur and self.lines:
             self.cur = self.lines.pop().rstrip(SPACE)
+            self.uncounted = len(self.cur)
         if "%" in self.cur:  # a comment needs its line end
             self.put("\n")
 
@@ -439,8 +441,9 @@ class Parser:
         self.i = m.end()
         name = raw if in_string else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in raw)
         if not in_string:
-            name = self.keywords.get(name, name)
-            name = "OPT" + name[3:] if name.startswith("opt") else name
+            opt = name.startswith("opt") and len(name) > 3
+            name = "OPT" + self.keywords.get(name[3:], name[3:]) if opt else self.keywords.get(name, name)
+            name = "OPT" if name == "opt" else name
         self.field = Field(raw, name, self.line(start))
         self.value_line = self.field.line
         if self.o.prettyprint:
@@ -509,7 +512,8 @@ class Parser:
         body = self.s[start + 1 : self.i - 1]
         self.entry.body = body
         if self.o.prettyprint:
-            self.page.put("{" + body.rstrip(SPACE) + "}")
+            body = body.rstrip(SPACE)
+            self.page.put("{" + body + ("\n}" if "%" in body.rpartition("\n")[2] else "}"))
         else:
             self.emit("LITERAL", "{" + body + "}")
 
