@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions import checks, fixes, identifiers, patterns, text
+from scholia.functions import checks, identifiers, patterns, text
 from scholia.operators import bibliography as B
 from scholia.options import Options
+from scholia.plans import generated
 
 FLAGSHIP = "q_prettyprint"
 
@@ -95,12 +96,13 @@ def q_isbn_hyphenate(spark, d):
 
 
 def q_isbn_range_join(spark, d):
-    """How many numbers fall into each range: a range lookup by an equi join. Ranges are spread over the prefixes
-    of their own length, at most 1000 for each first digit and length, so the join is hashed, never nested."""
-    rows = [(k, b.replace("-", ""), e.replace("-", "")) for k, (b, e) in enumerate(identifiers.ISBN_RANGES)]
-    ranges = spark.createDataFrame([(k, lo, hi, len(lo), lo[0]) for k, lo, hi in rows], "ord int, low string, high string, n int, g string")
-    isbn = _isbn10(_t(spark, d, "orders")).withColumn("g", F.substring("isbn", 1, 1))
-    hit = isbn.join(F.broadcast(ranges), "g").filter((F.expr("substring(isbn, 1, n)") >= F.col("low")) & (F.expr("substring(isbn, 1, n)") <= F.col("high")))
+    """How many numbers fall into each range: an equi join on the first three digits. A range stands once for each
+    three-digit prefix that it touches (at most 1000 for all of its length), so a number meets only the ranges of its prefix."""
+    bare = [(k, b.replace("-", ""), e.replace("-", "")) for k, (b, e) in enumerate(identifiers.ISBN_RANGES)]
+    rows = [(k, lo, hi, len(lo), f"{p:03}") for k, lo, hi in bare for p in range(int(f"{lo:0<3}"[:3]), int(f"{hi:9<3}"[:3]) + 1)]
+    ranges = spark.createDataFrame(rows, "ord int, low string, high string, n int, prefix string")
+    isbn = _isbn10(_t(spark, d, "orders")).withColumn("prefix", F.substring("isbn", 1, 3))
+    hit = isbn.join(F.broadcast(ranges), "prefix").filter((F.expr("substring(isbn, 1, n)") >= F.col("low")) & (F.expr("substring(isbn, 1, n)") <= F.col("high")))
     return hit.groupBy("ord", "low", "high").agg(F.count("*").alias("n_isbn"))
 
 
@@ -300,37 +302,6 @@ def q_diagnostics(spark, d):
     return _diagnosed(spark, d).select("file", "cite_key", "severity", "code", B.message_line(F.col("severity"), F.col("file"), F.lit(0), F.col("message")).alias("message"))
 
 
-# fixes of structure: stated inputs and results by region
-
-FIXED = {
-    "q_title_fix": ("title", ("$R$$^3$", "Signal {G} proteins", "The crystal", "On {\\em E. coli}", "Erd\\H os"), ("{$R^3$}", "Signal {G} proteins", "The crystal", "On {{\\em E. coli}}", "Erd{\\H{o}}s"), Options()),
-    "q_accent_fix": ("author", ("Erd\\H os", "Ren\\'e", "\\'{E}lie", "Stra\\ss e", "{\\'a}"), ("Erd{\\H{o}}s", "Ren{\\'e}", "{\\'E}lie", "Stra{\\ss}e", "{\\'a}"), Options(fix_accents=True)),
-    "q_brace_fix": ("author", ("{E}x{C}e{L}e{N}t", "non{E}nglish", "{A}{B}", "{ }x", "{\\em y}"), ("{ExCeLeNt}", "{nonEnglish}", "{AB}", "{ }x", "{\\em y}"), Options(fix_braces=True)),
-    "q_math_fix": ("note", ("$x=f   ( y+z/d   )$", "$a:b:c$", "$H$", "$_3$", "$r=f(a,b,c;x)$"), ("$ x = f (y + z / d) $", "$ a : b : c $", "$H$", "$_3$", "$ r = f(a, b, c; x) $"), Options(fix_math=True)),
-    "q_font_fix": ("title", ("in {\\it Dicty}", "{{\\bf x}}", "plain", "{\\em a} b", "{G}"), ("in {{\\it Dicty}}", "{{\\bf x}}", "plain", "{{\\em a}} b", "{G}"), Options(fix_font_changes=True)),
-    "q_name_order": ("author", ("Jones, Jr., William", "von Beethoven, Ludwig", "Smith, J.K.", "Charles XIII, King", "{Steele Jr.}, Guy L."), ("William {Jones, Jr.}", "Ludwig von Beethoven", "J. K. Smith", "King {Charles XIII}", "Guy L. {Steele Jr.}"), Options()),
-}
-
-
-def _fixed(name: str):
-    field, given, _, o = FIXED[name]
-
-    def query(spark, d):
-        raw = F.element_at(F.array(*(F.lit(f'"{g}"') for g in given)), (F.col("r_regionkey") % 5 + 1).cast("int"))
-        fix = F.udf(lambda v: fixes.fix(field, v, o, lambda *_: None), "string", useArrow=True)
-        return _t(spark, d, "region").select("r_regionkey", raw.alias("raw")).withColumn("fixed", fix("raw"))
-
-    query.__name__ = name
-    return query
-
-
-def _fixed_sql(name: str) -> str:
-    _, given, result, _ = FIXED[name]
-    q = lambda s: "'\"" + s.replace("'", "''") + "\"'"
-    rows = ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(zip(given, result, strict=True)))
-    return f"SELECT r_regionkey, v.raw, v.fixed FROM region JOIN (VALUES {rows}) AS v(k, raw, fixed) ON r_regionkey % 5 = v.k"
-
-
 _PARSED_SQL = """WITH p AS (SELECT *, printf('part%05d.bib', CAST(floor(p_partkey / 100) AS BIGINT)) AS file FROM part)
 SELECT file, 'P' || p_partkey AS cite_key, 'Article' AS entry_name, CAST(seq AS BIGINT) AS seq, name, value FROM p,
 LATERAL (VALUES (0, 'author', '"' || p_brand || '"'), (1, 'title', '"' || p_name || ' ' || p_type || '"'), (2, 'ISBN', '"0-387-09823-2"'),
@@ -351,7 +322,7 @@ def queries() -> dict:
         q_pages_fix, q_names_fix, q_squeeze_space, q_delete_empty, q_remove_opt, q_field_case_map, q_keyword_upsert, q_tokenize, q_duplicate_keys, q_sorted_keys, q_like_search, q_error_count, q_parse_entries, q_prettyprint,
         q_lex, q_scribe, q_diagnostics,
     )
-    return {f.__name__: f for f in plain} | {n: _fixed(n) for n in FIXED}
+    return {f.__name__: f for f in plain} | generated.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -402,4 +373,4 @@ SELECT v.token_name, v.n FROM n, LATERAL (VALUES ('AT', e), ('ENTRY', e), ('LBRA
         "q_scribe": """SELECT 'S' || s_suppkey AS cite_key, CAST(seq AS BIGINT) AS seq, name, value FROM supplier,
 LATERAL (VALUES (0, 'key', '"' || s_name || '"'), (1, 'title', '"' || s_name || '"'), (2, 'year', '"' || (s_suppkey % 90 + 1900) || '"')) AS v(seq, name, value)""",
         "q_diagnostics": f"""WITH {_DIAG_SQL} SELECT file, 'P' || p_partkey AS cite_key, 'warning' AS severity, code, '%% ' || file || ':0:' || head || ' ``year = "' || y || '"''''.' AS message FROM d WHERE code = 'suspicious_year' OR y < 1800""",
-    } | {n: _fixed_sql(n) for n in FIXED}
+    } | generated.oracle_sql()
