@@ -20,7 +20,7 @@ PART = "struct<type:string,text:string>"
 FIELD = f"struct<seq:int,name_raw:string,name:string,line:bigint,parts:array<{PART}>,value:string>"
 ENTRIES = f"file string, entry_seq int, kind string, entry_name string, cite_key string, open_delim string, line bigint, fields array<{FIELD}>, body string"
 TOKENS = "file string, tok_seq bigint, line bigint, token_type int, token_name string, text string"
-DIAGNOSTICS = "file string, diag_seq bigint, line bigint, severity string, code string, entry_name string, cite_key string, field string, value string, message string"
+DIAGNOSTICS = "file string, diag_seq bigint, line bigint, severity string, code string, entry_name string, cite_key string, field string, value string, message string, position string"
 OUTPUT = "file string, text string"
 
 

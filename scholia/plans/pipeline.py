@@ -40,5 +40,5 @@ def run(spark: SparkSession, files: list[str], start: C.Config | None = None) ->
 
     lost = spark.createDataFrame([(m, f"Cannot open input file ``{m}''") for m in missing], "file string, message string")
     empty = F.lit("")
-    lost = lost.select("file", F.lit(0).cast("long").alias("diag_seq"), F.lit(0).cast("long").alias("line"), F.lit("error").alias("severity"), F.lit("missing_file").alias("code"), *(empty.alias(c) for c in ("entry_name", "cite_key", "field", "value")), "message")
+    lost = lost.select("file", F.lit(0).cast("long").alias("diag_seq"), F.lit(0).cast("long").alias("line"), F.lit("error").alias("severity"), F.lit("missing_file").alias("code"), *(empty.alias(c) for c in ("entry_name", "cite_key", "field", "value")), "message", empty.alias("position"))
     return Results(every(B.entries, B.ENTRIES), every(B.tokens, B.TOKENS), every(B.diagnostics, B.DIAGNOSTICS).unionByName(lost), every(B.prettyprint, B.OUTPUT))

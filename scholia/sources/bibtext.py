@@ -58,6 +58,7 @@ class Page:
     def __init__(self, width: int):
         self.lines: list[str] = []
         self.cur = ""
+        self.done = 0  # characters of lines with their ends
         self.uncounted = 0  # characters of cur before a line end that was taken back: the column starts after them
         self.width = width
 
@@ -65,8 +66,17 @@ class Page:
         first, *rest = text.split("\n")
         self.cur += first
         for piece in rest:
-            self.lines.append(self.cur.rstrip(" \t"))
-            self.cur, self.uncounted = piece, 0
+            self.end_line(self.cur.rstrip(" \t"))
+            self.cur = piece
+
+    def end_line(self, text: str) -> None:
+        self.lines.append(text)
+        self.done += len(text) + 1
+        self.cur, self.uncounted = "", 0
+
+    def place(self) -> tuple[int, int, int]:
+        """Byte, line and column of what comes next."""
+        return self.done + len(self.cur), len(self.lines) + 1, len(self.cur)
 
     def spaces(self, n: int) -> None:
         self.cur += " " * n
@@ -77,6 +87,7 @@ class Page:
     def rstrip(self) -> None:
         self.cur = self.cur.rstrip(SPACE)
         while not self.cur and self.lines:
+            self.done -= len(self.lines[-1]) + 1
             self.cur = self.lines.pop().rstrip(SPACE)
             self.uncounted = len(self.cur)
         if "%" in self.cur:  # a comment needs its line end
@@ -139,6 +150,7 @@ class Parser:
         self.entry = Entry("other", 1)
         self.field = Field("", "", 1)
         self.value_line = 1
+        self.marks: dict[str, tuple[int, ...]] = {}
         self._lines = [m.start() for m in re.finditer("\n", text)]
         self.verbatim = False
 
@@ -161,17 +173,36 @@ class Parser:
         if severity == "warning" and not self.o.warnings:
             return
         text = self.expand(message)
-        self.diagnostics.append({"line": self.value_line if line is None and severity == "warning" else (line or self.line()), "severity": severity, "code": code, "entry_name": self.entry.entry_name, "cite_key": self.entry.cite_key, "field": self.field.name, "value": self.field.value, "message": text})
+        where = "\n".join(self.positions()) if self.o.file_position else ""
+        self.diagnostics.append({"position": where, "line": self.value_line if line is None and severity == "warning" else (line or self.line()), "severity": severity, "code": code, "entry_name": self.entry.entry_name, "cite_key": self.entry.cite_key, "field": self.field.name, "value": self.field.value, "message": text})
 
     def warn(self, code: str, message: str) -> None:
         self.report("warning", code, message)
 
+    def here(self) -> tuple[int, ...]:
+        """Byte, line and column of input and output."""
+        line = self.line()
+        begin = self._lines[line - 2] + 1 if line > 1 else 0
+        return (self.i, line, self.i - begin, *self.page.place())
+
+    def mark(self, what: str) -> None:
+        if self.o.file_position:
+            self.marks[what] = self.here()
+
+    def positions(self) -> list[str]:
+        """Where the entry, the value and the reader are."""
+        rows = [(what, self.marks.get(what, (0,) * 6)) for what in ("Entry", "Value")] + [("Current", self.here())]
+        return [f"  File positions:  input [{self.file}]  output [stdout]", *("  {:<7} input byte={} line={} column={:2} output byte={} line={} column={:2}".format(what, *at) for what, at in rows)]
+
     def error(self, code: str, message: str) -> None:
-        self.report("error", code, message, self.line())
+        """Reports at the line of the value, and in the output text, below what is written so far."""
+        self.report("error", code, message, self.value_line)
         if self.o.prettyprint:
-            if self.page.cur:
-                self.page.put("\n")
-            self.page.put(f'?? "{self.file}", line {self.line()}: {self.expand(message)}.\n')
+            where = self.positions() if self.o.file_position else []
+            self.page.end_line(self.page.cur)
+            for line in (f" {self.expand(message)}.", *where):
+                wrap_into(self.page, "??" + line, False)
+                self.page.end_line(self.page.cur)
 
     def lost(self, code: str, message: str, text: str = "") -> Lost:
         self.emit("LITERAL", text) if text and not self.o.prettyprint else self.page.put(text)
@@ -263,6 +294,7 @@ class Parser:
             self.field = Field("", "", self.line())
             self.verbatim = False
             self.level = 0
+            self.value_line = self.line()
             begin = self.i
             try:
                 self.scribe_entry() if self.o.scribe else self.bibtex_entry()
@@ -324,6 +356,7 @@ class Parser:
 
     def head(self) -> None:
         self.get()
+        self.mark("Entry")
         self.out("AT", "@")
         self.tight()
         m = re.compile(r"[A-Za-z][A-Za-z0-9_-]*").match(self.s, self.i)
@@ -377,6 +410,7 @@ class Parser:
         self.i = m.end()
         self.out("KEY", m[0])
         self.value_line = self.line()
+        self.mark("Value")
         self.checker.key(self)
         self.skip()
         self.comma()
@@ -414,6 +448,7 @@ class Parser:
 
     def comma(self) -> None:
         self.value_line = self.line()
+        self.mark("Value")
         c = self.peek()
         if c == ",":
             self.get()
@@ -465,6 +500,7 @@ class Parser:
 
     def equals(self, space: bool) -> None:
         self.value_line = self.line()
+        self.mark("Value")
         c = self.peek()
         if c == "=" or (self.o.scribe and c == "/"):
             self.get()
@@ -525,6 +561,7 @@ class Parser:
             self._value_tokens()
             return
         self.value_line = self.line()
+        self.mark("Value")
         parts: list[tuple[str, str]] = []
         whole = self._part(parts)
         whole += self._hidden()
@@ -537,6 +574,7 @@ class Parser:
 
     def _value_tokens(self) -> None:
         self.value_line = self.line()
+        self.mark("Value")
         parts: list[tuple[str, str]] = []
         while True:
             text = self._part(parts)
@@ -586,12 +624,12 @@ class Parser:
         parts.append((kind, text))
         return text
 
-    def _space(self, text: str, at: int) -> str:
+    def _space(self, text: str, at: int, so_far: list[str]) -> str:
         """What a run of white space in a string becomes."""
         if "\f" in text or text.count("\n") > 1:
             if not self.o.parbreaks:
                 self.i = at + len(text)
-                raise self.lost("paragraph_break", "Unexpected paragraph break for field ``%f''")
+                raise self.lost("paragraph_break", "Unexpected paragraph break for field ``%f''", "".join(so_far) + " ")
             if self.o.keep_parbreaks and not self.o.keep_linebreaks and not self.verbatim:
                 return PARBREAK
         if "\n" in text and (self.o.keep_linebreaks or self.verbatim):
@@ -606,7 +644,7 @@ class Parser:
             if c in SPACE:
                 m = re.compile(r"[ \t\n\v\f\r]+").match(self.s, self.i)
                 self.i = m.end()
-                out.append(self._space(m[0], m.start()))
+                out.append(self._space(m[0], m.start(), out))
                 continue
             self.i += 1
             if c == "\\" and self.i < self.n:
@@ -667,7 +705,7 @@ class Parser:
             if c in SPACE:
                 m = re.compile(r"[ \t\n\v\f\r]+").match(self.s, self.i)
                 self.i = m.end()
-                out.append(self._space(m[0], m.start()))
+                out.append(self._space(m[0], m.start(), out))
                 continue
             self.i += 1
             if c == "\\" and self.s[self.i : self.i + 1] == "\\":
@@ -791,6 +829,7 @@ class Parser:
 
     def scribe_value(self) -> None:
         self.value_line = self.line()
+        self.mark("Value")
         c = self.peek()
         if c.isalnum() and c:
             m = _SCRIBE_ID.match(self.s, self.i)
@@ -822,7 +861,7 @@ class Parser:
             if c in SPACE:
                 m = re.compile(r"[ \t\n\v\f\r]+").match(self.s, self.i)
                 self.i = m.end()
-                out.append(self._space(m[0], m.start()))
+                out.append(self._space(m[0], m.start(), out))
                 continue
             self.i += 1
             if c == '"':

@@ -30,12 +30,14 @@ def run(stem: str) -> tuple[str, str] | None:
     p = B.Parser(source, opts, f"{stem}.bib", **C.Config(opts).parser_args())
     p.run()
     marks = {"warning": lambda d: f"%% {stem}.bib:{d['line']}:{d['message']}.", "error": lambda d: f'?? "{stem}.bib", line {d["line"]}: {d["message"]}.'}
-    return _bare(stem, p.page.text()), "".join(marks[d["severity"]](d) + "\n" for d in p.diagnostics)
+    lead = {"warning": "%%", "error": "??"}
+    log = [x for d in p.diagnostics for x in (marks[d["severity"]](d), *(lead[d["severity"]] + w for w in d["position"].split("\n") if w))]
+    return _bare(stem, p.page.text()), "".join(x + "\n" for x in log)
 
 
 def _bare(stem: str, text: str) -> str:
     """File names without their folders."""
-    return re.sub(rf"\S*{stem}\.(?:bib|bin)", f"{stem}.bib", text)
+    return re.sub(rf"[^\s\"\[]*{stem}\.(?:bib|bin)", f"{stem}.bib", text)
 
 
 def wanted(stem: str, kind: str) -> str | None:

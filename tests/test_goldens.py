@@ -29,8 +29,6 @@ DIFFERENT = {
     "testoptw.out": (6, "mathematics"),
     "testoptw.err": (2, "mathematics"),
     "testscr3.out": (4, "delimiters of @End"),
-    "testscr4.out": (33, "resynchronisation after errors"),
-    "testscr4.err": (18, "texts of errors"),
 }
 
 
