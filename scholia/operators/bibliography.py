@@ -22,12 +22,14 @@ ENTRIES = f"file string, entry_seq int, kind string, entry_name string, cite_key
 TOKENS = "file string, tok_seq bigint, line bigint, token_type int, token_name string, text string"
 DIAGNOSTICS = "file string, diag_seq bigint, line bigint, severity string, code string, entry_name string, cite_key string, field string, value string, message string, position string"
 OUTPUT = "file string, text string"
+#: Entries or diagnostics that a row of ``parse`` holds at most, so that rows stay small however long a file is.
+ROWS = 1000
 
 
 def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file, text) of whole files in any file system that Spark reads; a character is a byte."""
+    """(file, text) of whole files in any file system that Spark reads; a character is a byte. Local files have plain names."""
     raw = spark.read.format("binaryFile").load(paths)
-    return raw.select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
+    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def _run(texts: DataFrame, options: Options, schema: str, rows, **config) -> DataFrame:
@@ -46,19 +48,40 @@ def _run(texts: DataFrame, options: Options, schema: str, rows, **config) -> Dat
     return texts.select("file", "text").mapInArrow(run, schema)
 
 
-def entries(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
-    """A row for each entry and each stretch of text between entries, in file order."""
+def _entry_rows(file: str, p: Parser) -> list[dict]:
+    return [
+        {
+            "file": file, "entry_seq": k, "kind": e.kind, "entry_name": e.entry_name, "cite_key": e.cite_key, "open_delim": e.open_delim, "line": e.line, "body": e.body,
+            "fields": [{"seq": j, "name_raw": f.name_raw, "name": f.name, "line": f.line, "parts": [{"type": a, "text": b} for a, b in f.parts], "value": f.value} for j, f in enumerate(e.fields)],
+        }
+        for k, e in enumerate(p.entries)
+    ]
+
+
+def _diagnostic_rows(file: str, p: Parser) -> list[dict]:
+    return [{"file": file, "diag_seq": k, **d} for k, d in enumerate(p.diagnostics)]
+
+
+def parsed_schema() -> str:
+    """(file, text, entries, diagnostics): all results of a file but its tokens."""
+    struct = lambda columns: T._parse_datatype_string(columns).simpleString()
+    return f"file string, text string, entries array<{struct(ENTRIES)}>, diagnostics array<{struct(DIAGNOSTICS)}>"
+
+
+def parse(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
+    """Output text, entries and diagnostics of every file from one pass, ROWS of them in a row; the first row of a file has its text."""
 
     def rows(file, p):
-        return [
-            {
-                "file": file, "entry_seq": k, "kind": e.kind, "entry_name": e.entry_name, "cite_key": e.cite_key, "open_delim": e.open_delim, "line": e.line, "body": e.body,
-                "fields": [{"seq": j, "name_raw": f.name_raw, "name": f.name, "line": f.line, "parts": [{"type": a, "text": b} for a, b in f.parts], "value": f.value} for j, f in enumerate(e.fields)],
-            }
-            for k, e in enumerate(p.entries)
-        ]
+        e, d = _entry_rows(file, p), _diagnostic_rows(file, p)
+        starts = range(0, max(1, len(e), len(d)), ROWS)
+        return [{"file": file, "text": None if k else p.page.text(), "entries": e[k : k + ROWS], "diagnostics": d[k : k + ROWS]} for k in starts]
+
+    return _run(texts, options or Options(), parsed_schema(), rows, **config)
 
-    return _run(texts, options or Options(), ENTRIES, rows, **config)
+
+def entries(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
+    """A row for each entry and each stretch of text between entries, in file order."""
+    return _run(texts, options or Options(), ENTRIES, _entry_rows, **config)
 
 
 def tokens(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
@@ -80,7 +103,7 @@ def token_text(texts: DataFrame, options: Options | None = None, **config) -> Da
 
 def diagnostics(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
     """Warnings and errors of every file, in order."""
-    return _run(texts, options or Options(), DIAGNOSTICS, lambda file, p: [{"file": file, "diag_seq": k, **d} for k, d in enumerate(p.diagnostics)], **config)
+    return _run(texts, options or Options(), DIAGNOSTICS, _diagnostic_rows, **config)
 
 
 def prettyprint(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:

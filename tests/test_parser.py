@@ -120,3 +120,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 0 and (tmp_path / "out").read_text() == PRETTY.replace("  note =         ", "  Note =         ")
     assert "note                           \tNote" in capsys.readouterr().out
     assert main(["-nonsense"]) == 1
+
+
+def test_parse_once_equals_each_result(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 2)
+    text = "".join(f"@book{{k{n}, year = {1300 + n}}}\n" for n in range(7))
+    texts = spark.createDataFrame([("a", text), ("b", None), ("c", "")], "file string, text string")
+    got = B.parse(texts)
+    assert got.count() > 3 and got.filter("text IS NOT NULL").count() == 3
+    assert sorted(got.selectExpr("inline(entries)").collect(), key=str) == sorted(B.entries(texts).collect(), key=str)
+    assert sorted(got.selectExpr("inline(diagnostics)").collect(), key=str) == sorted(B.diagnostics(texts).collect(), key=str)
+    assert sorted(got.filter("text IS NOT NULL").select("file", "text").collect()) == sorted(B.prettyprint(texts).collect())
+
+
+def test_standard_input_and_default_files(spark, tmp_path, monkeypatch, capsys):
+    from io import BytesIO, TextIOWrapper
+
+    from scholia import __main__ as M
+
+    (tmp_path / "sys").mkdir()
+    (tmp_path / "sys" / "scholia.ini").write_text("-max-width 30\n")
+    (tmp_path / "sys" / "scholia.key").write_text("mine MINE-X\n")
+    monkeypatch.setenv("SCHOLIA_SYSTEM_PATH", f"/nowhere:{tmp_path}/sys")
+    text = b"@book{a, mine = {one two three four five}, year = 1300}"
+    for words, name, breaks in ([], "MINE-X", True), (["-no-read-init-files", "-"], "mine", False):
+        monkeypatch.setattr("sys.stdin", TextIOWrapper(BytesIO(text)))
+        assert M.main(["-trace-file-opening", "-file-position", *words]) == 0
+        out, err = capsys.readouterr()
+        assert f"  {name} = " in out and ("three\n" in out or "two\n" in out or "one two\n" in out) == breaks
+        assert ("scholia.key]" in err) == breaks and "%% stdin:1:Suspicious year" in err and "%%  Entry   input byte=1 line=1 column= 1 output byte=0 line=1 column= 0" in err
+
+
+def test_error_in_output_with_positions():
+    p = Parser("\n@book{x, title = \"a\n\nb\"}\n", Options(parbreaks=False, file_position=True), "f").run()
+    d = p.diagnostics[0]
+    assert d["code"] == "paragraph_break" and d["line"] == 2 and "  Value   input byte=18 line=2 column=17" in d["position"]
+    assert "\"a \n?? Unexpected paragraph break for field ``title''.\n??  File positions:  input [f]  output [stdout]\n" in p.page.text()
