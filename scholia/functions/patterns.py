@@ -6,6 +6,8 @@ matcher never backtracks, so every repetition is possessive.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,21 +64,66 @@ DEFAULT_PATTERNS: dict[str, list[tuple[str, str | None]]] = {
 }
 
 
-def to_regex(pattern: str) -> str:
-    """A possessive regular expression that must match a whole normalized value."""
+#: What a trace says was expected, by the letter of a pattern (fixed values).
+EXPECTED = {
+    "a": "single letter",
+    "A": "one or more letters",
+    "d": "single digit",
+    "D": "one or more digits",
+    "r": "single roman numeral",
+    "R": "one or more roman numerals",
+    "w": "one word (letters and digits)",
+    "W": "one or more space-separated words",
+    "X": "one or more special-separated words",
+    " ": "one or more whitespace characters",
+    ".": "exactly one special character",
+    ":": "one or more special characters",
+}
+
+
+def parts(pattern: str) -> list[tuple[str, int, str]]:
+    """The elements of a pattern: regular expression, place, and what it expects."""
     out, k = [], 0
     while k < len(pattern):
-        c = pattern[k]
+        c, at = pattern[k], k
         if c == "\\" and k + 1 < len(pattern):
             k += 1
             c = pattern[k]
-            out.append(c if c.isalnum() or c in " \"#" else "\\" + c)
+            rx, expected = (c if c.isalnum() or c in " \"#" else "\\" + c), ""
         elif c in ELEMENTS:
-            out.append(ELEMENTS[c])
+            rx, expected = ELEMENTS[c], EXPECTED[c]
         else:
-            out.append(c if c.isalnum() or c in "\"'<>=%&@,;`!/_~" else "\\" + c)
+            rx, expected = (c if c.isalnum() or c in "\"'<>=%&@,;`!/_~" else "\\" + c), ""
+        out.append((rx, at, expected or "anything else: exact match"))
         k += 1
-    return "".join(out)
+    return out
+
+
+def to_regex(pattern: str) -> str:
+    """A possessive regular expression that must match a whole normalized value."""
+    return "".join(rx for rx, _, _ in parts(pattern))
+
+
+def failure(pattern: str, seen: str) -> list[str]:
+    """Why a value, as patterns see it, does not match: what was expected, and how far value and pattern were read. Empty if it does."""
+    at, here = 0, len(pattern)
+    for rx, place, expected in parts(pattern):
+        m = re.compile(rx).match(seen, at)
+        if m is None:
+            here = place
+            break
+        at = m.end()
+    else:
+        if at == len(seen):
+            return []
+        expected = "end of string"
+
+    def cut(what: str, text: str, k: int) -> str:
+        left, right = text[:k], text[k:]
+        most = 25  # characters shown of each part
+        return f"{what} so far: [{'...' if len(left) > most else ''}{left[-most:] if left else ''}], remaining: [{right[:most]}{'...' if len(right) > most else ''}]"
+
+    return [f"Pattern does not match {expected}", cut("String ", seen, at), cut("Pattern", pattern, here)]
 
 
 def visible(value: Column) -> Column:

@@ -13,6 +13,7 @@ class Options:
     align_equals: bool = False
     brace_protect: bool = False
     check_values: bool = True
+    debug_match_failures: bool = False
     delete_empty_values: bool = False
     file_position: bool = False
     fix_accents: bool = False
@@ -44,7 +45,7 @@ class Options:
 
 _FLAGS = {f.name.replace("_", "-"): f.name for f in dataclasses.fields(Options) if f.name != "max_width"}
 #: Options that take a word, or print something; they belong to the caller.
-OUTSIDE = ("author", "copyleft", "copyright", "debug-match-failures", "error-log", "help", "init-file", "isbn-file", "keyword-file", "output-file", "print-isbn-table", "print-keyword-table", "print-patterns", "trace-file-opening", "version")
+OUTSIDE = ("author", "copyleft", "copyright", "error-log", "help", "init-file", "isbn-file", "keyword-file", "output-file", "print-isbn-table", "print-keyword-table", "print-patterns", "trace-file-opening", "version")
 
 
 class UnknownOption(ValueError):

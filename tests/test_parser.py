@@ -156,3 +156,20 @@ def test_error_in_output_with_positions():
     d = p.diagnostics[0]
     assert d["code"] == "paragraph_break" and d["line"] == 2 and "  Value   input byte=18 line=2 column=17" in d["position"]
     assert "\"a \n?? Unexpected paragraph break for field ``title''.\n??  File positions:  input [f]  output [stdout]\n" in p.page.text()
+
+
+def test_match_failures_are_traced():
+    p = Parser('@book{x, volume = "27%", chapter = "3"}', Options(debug_match_failures=True)).run()
+    got = [d["message"] for d in p.diagnostics if d["code"] == "match_failure"]
+    assert got[:3] == ["Pattern does not match anything else: exact match", 'String  so far: ["27], remaining: [%"]', 'Pattern so far: ["D], remaining: ["]']
+    assert len(got) % 3 == 0 and p.diagnostics[-1]["code"] == "unexpected_value"
+    assert not [d for d in Parser('@book{x, volume = "27%"}').run().diagnostics if d["code"] == "match_failure"]
+
+
+@given(st.text(st.sampled_from('aD1"x. '), max_size=12), st.sampled_from(['"D"', '"aD--aD"', '"W"', '"X"', 'aaa # " D"', '"D:D"']))
+def test_failure_agrees_with_match(seen, pattern):
+    import re
+
+    from scholia.functions import patterns
+
+    assert (patterns.failure(pattern, seen) == []) == bool(re.fullmatch(patterns.to_regex(pattern), seen))
