@@ -249,7 +249,8 @@ def q_tokenize(spark, d):
 
 
 def q_duplicate_keys(spark, d):
-    return _t(spark, d, "part").groupBy(F.lower(F.substring("p_name", 1, 6)).alias("cite_key")).agg(F.count("*").alias("n")).filter("n > 1")
+    keys = _t(spark, d, "part").select(F.lit("entry").alias("kind"), F.substring("p_name", 1, 6).alias("cite_key"))
+    return B.duplicate_keys(keys)
 
 
 def q_sorted_keys(spark, d):
