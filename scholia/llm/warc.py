@@ -44,14 +44,14 @@ RECORD = "file string, offset bigint, record_type string, record_id string, page
 
 
 def digest32(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: five hex digits make four characters."""
-    hexed = F.sha1(data)
+    """Bare upper-case base32 of the SHA-1: five hex digits make four characters. The hash is bound to a variable, as
+    an expression inside a lambda is evaluated again for each of its mentions and elements."""
 
-    def four(i: Column) -> Column:
+    def four(hexed: Column, i: Column) -> Column:
         n = F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(n, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)))
+        return F.transform(F.array(n), lambda n: F.concat(*(F.substring(F.lit(BASE32), F.shiftright(n, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0))))[0]
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    return F.transform(F.array(F.sha1(data)), lambda hexed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: four(hexed, i)), ""))[0]
 
 
 def _urn(*parts: Column) -> Column:
@@ -94,18 +94,18 @@ def _mean_row(pages: DataFrame) -> float | None:
     return size * INFLATION / max(1, pages.count()) if size < 1 << 60 else None
 
 
-def _save(records: DataFrame, path: str, mean: float) -> None:
+def _save(records: DataFrame, path: str, mean: float, level: str = "DEFAULT_COMPRESSION") -> None:
     """Writes records, whose payloads have so many bytes on average."""
     rows = max(1, min(FILE_ROWS, int(FILE_BYTES / (mean + 700))))  # with headers
-    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", rows).text(path)
 
 
-def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One response record for each row."""
+def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: str = "DEFAULT_COMPRESSION") -> None:
+    """One response record for each row, gzipped at one of Hadoop's named levels."""
     page, url, html = F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(page.alias("page"), url.alias("url"), html.alias("html"), digest32(html.cast("binary")).alias("digest"))
     null = F.lit(None).cast("string")
-    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path, _mean_row(pages) or _mean_bytes(pages.select(F.octet_length(html).alias("n_bytes"))))
+    _save(rows.select(_render(_urn(F.lit("page"), F.col("page").cast("string"), "url", "digest"), F.lit("response"), F.col("page"), F.col("url"), F.col("digest"), F.octet_length("html"), F.col("html"), null, null, date).alias("value")), path, _mean_row(pages) or _mean_bytes(pages.select(F.octet_length(html).alias("n_bytes"))), level)
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
@@ -223,9 +223,10 @@ def rewrite(spark: SparkSession, source: str, target: str, date: str = "2024-01-
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages as archives, deduplicates the archives and reads the result back."""
+    """Writes pages as archives, deduplicates the archives and reads the result back. The first archives are scratch,
+    so they are compressed at the fastest level."""
     raw, out = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc-out")
-    write_pages(pages, raw)
+    write_pages(pages, raw, level="BEST_SPEED")
     rewrite(spark, raw, out, min_bytes=min_bytes)
     return read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 

@@ -146,6 +146,24 @@ def test_warc_archives(spark, tmp_path):
     assert sorted(r["page_id"] for r in warc.read(spark, again, payloads=True).filter("length(payload) > 0").collect()) == [1, 2]
 
 
+def test_warc_digest_takes_its_data_once(spark):
+    # the data differ each time that they are asked for, so a second evaluation in a row shows in the digest
+    data = F.monotonically_increasing_id().cast("string").cast("binary")
+    got = spark.range(0, 5, 1, 1).select(warc.digest32(data).alias("digest")).collect()
+    assert [r["digest"] for r in got] == [warc.brute_digest(str(i)) for i in range(5)]
+
+
+def test_warc_levels(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", " ".join(random.Random(i).choices(WORDS, k=300))) for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    made = {}
+    for level in ("DEFAULT_COMPRESSION", "BEST_SPEED"):
+        warc.write_pages(pages, f"file://{tmp_path}/{level}", level=level)
+        (file,) = (tmp_path / level).glob("part-*")
+        made[level] = file.read_bytes()
+    fast, usual = made["BEST_SPEED"], made["DEFAULT_COMPRESSION"]
+    assert len(fast) > len(usual) and list(warc.parse(fast)) == list(warc.parse(usual)) and gzip.decompress(fast) == gzip.decompress(usual)
+
+
 # 3 tokens
 
 
