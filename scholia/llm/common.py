@@ -186,3 +186,29 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(window_hashes(words, min(width, len(words))) ^ np.uint64(min(width, len(words))))
+
+
+def byte_class(pattern: str) -> np.ndarray:
+    """Which bytes a class of a regular expression over bytes takes."""
+    import re
+
+    return np.array([re.fullmatch(pattern.encode(), bytes([b]), re.S) is not None for b in range(256)])
+
+
+def split_words(offs: np.ndarray, raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of bytes of a class: their bytes one after another, where each begins in these (and the end), and, for each row, the
+    index of its first run (and one more at the end)."""
+    word = inside[raw]
+    start = word.copy()
+    if len(raw):
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offs] = True
+        start[1:] &= ~word[:-1] | edge[1:-1]
+    begin = np.flatnonzero(start)
+    before = np.concatenate([[0], np.cumsum(word)])
+    return raw[word], np.append(before[begin], before[-1]), np.searchsorted(begin, offs)
+
+
+def binary_array(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Consecutive stretches of bytes as an Arrow array."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, html_extract, mixing, neardup, pii, secret_scan, tokens, toxicity, warc
+from . import decontam, fingerprints, html_extract, importance, linededup, mixing, neardup, pii, secret_scan, tandem, tokens, toxicity, warc
 from .common import table
 
 
@@ -60,8 +60,21 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.digest(tandem.find_runs(tandem.plant_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_warc_revisits, op3_token_counts, op4_html_text, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_fingerprints, op10_mixture)
+    for f in (op1_toxicity, op2_warc_revisits, op3_token_counts, op4_html_text, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_fingerprints, op10_mixture, op11_runs, op12_line_dedup, op13_importance)
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_near_duplicates": neardup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op12_line_dedup": linededup.ORACLE}
