@@ -34,7 +34,12 @@ IGNORED = r"\\(?:[A-Za-z]+|[^A-Za-z])[ \t\n\x0B\f\r]*|[{}]|\x01[^\x01]*\x01"
 DEFAULT_PATTERNS: dict[str, list[tuple[str, str | None]]] = {
     field: [(p, m) for p, m in rows]
     for field, rows in {
-        "bibdate": [(f'"aaa aaa {d} dd:dd:dd {rest}"', None) for d, rest in (("d", "19dd"), ("dd", "19dd"), ("d", "20dd"), ("d", "aaa 20dd"), ("dd", "20dd"), ("dd", "aaa 19dd"), ("dd", "aaa 20dd"))],
+        "bibdate": [
+            (p, None)
+            for p in (
+                '"aaa aaa d dd:dd:dd 19dd"', '"aaa aaa dd dd:dd:dd 19dd"', '"aaa aaa d dd:dd:dd 20dd"', '"aaa aaa d dd:dd:dd aaa 20dd"', '"aaa aaa dd dd:dd:dd 20dd"', '"aaa aaa dd dd:dd:dd aaa 19dd"', '"aaa aaa dd dd:dd:dd aaa 20dd"',
+            )
+        ],
         "chapter": [(p, None) for p in ('"D"', '"D-D"', '"D\\.D"')],
         "month": [(p, None) for p in ("aaa", 'aaa # " D"', 'aaa # " D--D"', '"D " # aaa', '"D--D " # aaa', 'aaa # "" # aaa', 'aaa # "--" # aaa', 'aaa # " -- " # aaa', 'aaa # "/" # aaa', 'aaa # " A " # aaa')],
         "number": [

@@ -62,6 +62,10 @@ def _diagnostic_rows(file: str, p: Parser) -> list[dict]:
     return [{"file": file, "diag_seq": k, **d} for k, d in enumerate(p.diagnostics)]
 
 
+def _token_rows(file: str, p: Parser) -> list[dict]:
+    return [{"file": file, "tok_seq": k, "line": line, "token_type": n, "token_name": name, "text": t} for k, (line, n, name, t) in enumerate(p.tokens)]
+
+
 def parsed_schema() -> str:
     """(file, text, entries, diagnostics): all results of a file but its tokens."""
     struct = lambda columns: T._parse_datatype_string(columns).simpleString()
@@ -88,10 +92,7 @@ def tokens(texts: DataFrame, options: Options | None = None, **config) -> DataFr
     """The token stream of every file."""
     from dataclasses import replace
 
-    def rows(file, p):
-        return [{"file": file, "tok_seq": k, "line": line, "token_type": n, "token_name": name, "text": t} for k, (line, n, name, t) in enumerate(p.tokens)]
-
-    return _run(texts, replace(options or Options(), prettyprint=False), TOKENS, rows, **config)
+    return _run(texts, replace(options or Options(), prettyprint=False), TOKENS, _token_rows, **config)
 
 
 def token_text(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:

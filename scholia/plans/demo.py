@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scholia.functions import checks, identifiers, patterns, text
 from scholia.operators import bibliography as B
 from scholia.options import Options
-from scholia.plans import generated
+from scholia.plans import generated, onefile
 
 FLAGSHIP = "q_prettyprint"
 
@@ -323,7 +323,7 @@ def queries() -> dict:
         q_pages_fix, q_names_fix, q_squeeze_space, q_delete_empty, q_remove_opt, q_field_case_map, q_keyword_upsert, q_tokenize, q_duplicate_keys, q_sorted_keys, q_like_search, q_error_count, q_parse_entries, q_prettyprint,
         q_lex, q_scribe, q_diagnostics,
     )
-    return {f.__name__: f for f in plain} | generated.queries()
+    return {f.__name__: f for f in plain} | generated.queries() | onefile.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -374,4 +374,4 @@ SELECT v.token_name, v.n FROM n, LATERAL (VALUES ('AT', e), ('ENTRY', e), ('LBRA
         "q_scribe": """SELECT 'S' || s_suppkey AS cite_key, CAST(seq AS BIGINT) AS seq, name, value FROM supplier,
 LATERAL (VALUES (0, 'key', '"' || s_name || '"'), (1, 'title', '"' || s_name || '"'), (2, 'year', '"' || (s_suppkey % 90 + 1900) || '"')) AS v(seq, name, value)""",
         "q_diagnostics": f"""WITH {_DIAG_SQL} SELECT file, 'P' || p_partkey AS cite_key, 'warning' AS severity, code, '%% ' || file || ':0:' || head || ' ``year = "' || y || '"''''.' AS message FROM d WHERE code = 'suspicious_year' OR y < 1800""",
-    } | generated.oracle_sql()
+    } | generated.oracle_sql() | onefile.oracle_sql()

@@ -1,8 +1,8 @@
 """Parser and prettyprinter of bibliography text in two dialects.
 
 One pass over a file's text gives its entries, diagnostics, tokens and the prettyprinted text. The text is decoded as
-ISO-8859-1, so that a character is a byte. A file is one task's work, as strings may hold what looks like
-the start of an entry; files are processed in parallel.
+ISO-8859-1, so that a character is a byte. The text may be a part of a file that begins with an entry at the start of a line; what
+``chunks`` says about where entries begin must hold here.
 """
 
 from __future__ import annotations
@@ -135,8 +135,13 @@ def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
 class Parser:
     """Cleans one file. Results: entries, diagnostics, tokens, page."""
 
-    def __init__(self, text: str, options: Options | None = None, file: str = "stdin", patterns=None, keywords=None, isbn_ranges=None):
+    def __init__(self, text: str, options: Options | None = None, file: str = "stdin", patterns=None, keywords=None, isbn_ranges=None, first_line: int = 1, more: bool = False):
+        """first_line is the line of the text's start in its file; more says that the file goes on with another entry, whose @ is
+        seen, but not passed."""
+        self.stop = len(text)
+        text += "@" * more
         self.s, self.n, self.i = text, len(text), 0
+        self.first_line, self.more = first_line, more
         self.o = options or Options()
         self.file = file
         self.keywords = FIELD_NAMES if keywords is None else keywords
@@ -147,9 +152,9 @@ class Parser:
         self.tokens: list[tuple[int, int, str, str]] = []
         self.level = 0
         self.close = "}"
-        self.entry = Entry("other", 1)
-        self.field = Field("", "", 1)
-        self.value_line = 1
+        self.entry = Entry("other", first_line)
+        self.field = Field("", "", first_line)
+        self.value_line = first_line
         self.marks: dict[str, tuple[int, ...]] = {}
         self._lines = [m.start() for m in re.finditer("\n", text)]
         self.verbatim = False
@@ -159,7 +164,7 @@ class Parser:
     def line(self, at: int | None = None) -> int:
         import bisect
 
-        return bisect.bisect_left(self._lines, self.i if at is None else at) + 1
+        return bisect.bisect_left(self._lines, self.i if at is None else at) + self.first_line
 
     def expand(self, message: str) -> str:
         """%e, %f, %k, %v and %% stand for entry, field, key, value and a percent sign; any other
@@ -182,7 +187,8 @@ class Parser:
     def here(self) -> tuple[int, ...]:
         """Byte, line and column of input and output."""
         line = self.line()
-        begin = self._lines[line - 2] + 1 if line > 1 else 0
+        before = line - self.first_line
+        begin = self._lines[before - 1] + 1 if before else 0
         return (self.i, line, self.i - begin, *self.page.place())
 
     def mark(self, what: str) -> None:
@@ -285,14 +291,14 @@ class Parser:
     # the file
 
     def run(self) -> Parser:
-        while self.i < self.n:
+        while self.i < self.stop:
             self.skip()
             self.other()
-            if self.i >= self.n:
+            if self.i >= self.stop:
                 break
             self.entry = Entry("entry", self.line())
             self.field = Field("", "", self.line())
-            self.verbatim = False
+            self.verbatim = self.drop_comma = False
             self.level = 0
             self.value_line = self.line()
             begin = self.i
@@ -305,6 +311,8 @@ class Parser:
                 self.entry.body = self.s[begin : self.i]
                 self.entries.append(self.entry)
             self.verbatim = False
+        if self.more:
+            return self
         if self.o.prettyprint:
             self.page.rstrip()
             self.page.put("\n")
@@ -608,7 +616,7 @@ class Parser:
             kind, text = "braced", self.braced()
         elif c == '"':
             kind, text = "quoted", self.quoted()
-        elif c.isdigit():
+        elif "0" <= c <= "9":
             m = re.compile("[0-9]+").match(self.s, self.i)
             self.i = m.end()
             kind, text = "digits", f'"{m[0]}"'
