@@ -7,6 +7,7 @@ ISO-8859-1, so that a character is a byte. The text may be a part of a file that
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -26,6 +27,11 @@ GERMAN = "\"-<>AEIOU'`acefilmnopstu|"
 _ID = re.compile(r"[!$&*+\-./0-9:;<>?@A-Z\[\\\]^_`a-z|~\x80-\xff]*")
 _SCRIBE_ID = re.compile(r"[A-Za-z0-9.#&%]*")
 _BLANKS = re.compile(r"[ \t\v\f\r]+")
+_SPACES = re.compile(r"[ \t\n\v\f\r]+")
+#: Characters of a braced and of a quoted string that stand for themselves, a word of a value, and what is written at once.
+_BRACED, _QUOTED = re.compile(r"(?:[^ \t\n\v\f\r\\{}]++| (?![ \t\n\v\f\r]))+"), re.compile(r'(?:[^ \t\n\v\f\r\\{}"]++| (?![ \t\n\v\f\r]))+')
+_OTHER_SPACE = re.compile(r"[\t\n\v\f\r\x02\x03]")
+_WORD, _STRETCH = re.compile(r"[^ \t\n\v\f\r\x02\x03]*"), re.compile(r"[^ \x02\x03]*")
 
 
 class Lost(Exception):
@@ -100,16 +106,32 @@ class Page:
         return "\n".join([*self.lines, self.cur])
 
 
+def first_on_line(text: str, at: int) -> bool:
+    """Whether only white space precedes on the line; looks back no further than that."""
+    while at and text[at - 1] in " \t\v\f\r":
+        at -= 1
+    return not at or text[at - 1] == "\n"
+
+
 def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
     """Writes a value, breaking at a space where the word after it would pass the page's width; the last word counts one
     more, for the comma to come."""
+    if not _OTHER_SPACE.search(text):
+        cur, *words = text.split(" ")
+        cur, last = page.cur + cur, len(words) - 1
+        for k, word in enumerate(words):
+            if len(cur) + 1 + len(word) + (k == last) > page.width:
+                page.end_line(cur.rstrip(" \t"))
+                cur = " " * VALUE_INDENT + word
+            else:
+                cur += " " + word
+        page.cur = cur
+        return
     k, n = 0, len(text)
     while k < n:
         c = text[k]
         if c == " ":
-            end = k + 1
-            while end < n and text[end] not in SPACE and text[end] not in (LINEBREAK, PARBREAK):
-                end += 1
+            end = _WORD.match(text, k + 1).end()
             word = end - k - 1 + (end == n)
             if len(page.cur) + 1 + word > page.width:
                 page.put("\n")
@@ -125,9 +147,7 @@ def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
             while c == LINEBREAK and not keep_spaces and k < n and text[k] == " ":
                 k += 1
         else:
-            end = k
-            while end < n and text[end] not in (" ", LINEBREAK, PARBREAK):
-                end += 1
+            end = _STRETCH.match(text, k).end()
             page.put(text[k:end])
             k = end
 
@@ -162,8 +182,6 @@ class Parser:
     # positions and messages
 
     def line(self, at: int | None = None) -> int:
-        import bisect
-
         return bisect.bisect_left(self._lines, self.i if at is None else at) + self.first_line
 
     def expand(self, message: str) -> str:
@@ -230,7 +248,7 @@ class Parser:
         return c
 
     def first_on_line(self, at: int) -> bool:
-        return not self.s[self.s.rfind("\n", 0, at) + 1 : at].strip(SPACE)
+        return first_on_line(self.s, at)
 
     def emit(self, kind: str, text: str, line: int | None = None) -> None:
         if text:
@@ -648,11 +666,15 @@ class Parser:
         """A braced string as a quoted one."""
         start, depth, out = self.i, 0, []
         while self.i < self.n:
+            if m := _BRACED.match(self.s, self.i):
+                self.i = m.end()
+                out.append(m[0])
+                continue
             c = self.s[self.i]
             if c in SPACE:
-                m = re.compile(r"[ \t\n\v\f\r]+").match(self.s, self.i)
+                m = _SPACES.match(self.s, self.i)
                 self.i = m.end()
-                out.append(self._space(m[0], m.start(), out))
+                out.append(" " if m[0] == " " else self._space(m[0], m.start(), out))
                 continue
             self.i += 1
             if c == "\\" and self.i < self.n:
@@ -676,6 +698,8 @@ class Parser:
 
     def _quotes(self, body: str) -> str:
         """Quotes at the outer level of a braced string go into braces."""
+        if '"' not in body:
+            return body
         out, depth, k = [], 0, 0
         while k < len(body):
             c = body[k]
@@ -709,11 +733,15 @@ class Parser:
         self.i += 1
         depth, out = 0, ['"']
         while self.i < self.n:
+            if m := _QUOTED.match(self.s, self.i):
+                self.i = m.end()
+                out.append(m[0])
+                continue
             c = self.s[self.i]
             if c in SPACE:
-                m = re.compile(r"[ \t\n\v\f\r]+").match(self.s, self.i)
+                m = _SPACES.match(self.s, self.i)
                 self.i = m.end()
-                out.append(self._space(m[0], m.start(), out))
+                out.append(" " if m[0] == " " else self._space(m[0], m.start(), out))
                 continue
             self.i += 1
             if c == "\\" and self.s[self.i : self.i + 1] == "\\":

@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from scholia.sources.bibtext import _ID
+from scholia.sources.bibtext import _ID, first_on_line
 
 #: Depths of braces, inside a braced string, that a map holds one by one; a chunk that closes no more of them needs no others.
 DEPTHS = 64
@@ -38,7 +38,6 @@ PLAIN = (
 )
 
 _SKIP = re.compile(r"(?:[ \t\n\v\f\r]++|%[^\n]*+\n?+)*+")
-_LINE_AT = re.compile(r"^[ \t\v\f\r]*@", re.M)
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 _KEY = re.compile(r"[^,\s]*")
 _BRACES = re.compile(r"[{}]")
@@ -48,12 +47,28 @@ _PAIRS = {"{": re.compile(r"[{}]"), "(": re.compile(r"[()]")}
 
 def next_entry(text: str, i: int) -> int:
     """The next @ from i on that only white space precedes on its line; -1 without one."""
-    at = text.rfind("\n", 0, i) + 1
-    while m := _LINE_AT.search(text, at):
-        if m.end() > i:
-            return m.end() - 1
-        at = m.end()
-    return -1
+    at = text.find("@", i)
+    while at >= 0 and not first_on_line(text, at):
+        at = text.find("@", at + 1)
+    return at
+
+
+def end_of_quoted(text: str, i: int, depth: int) -> tuple[int, int]:
+    """Behind the quote that ends a string, at depth 0; or -1 and the depth at the end of the text."""
+    n = len(text)
+    while m := _QUOTED.search(text, i):
+        t, i = m[0], m.end()
+        if t == '"':
+            if not depth:
+                return i, 0
+        elif t == '\\"':
+            if not depth:
+                if i == n:
+                    break
+                i += 1  # a quote after a backslash takes the next character with it
+        elif t != "\\\\":
+            depth += 1 if t == "{" else -1
+    return -1, depth
 
 
 def follow(text: str, i: int, state: State) -> tuple[int, State]:
@@ -73,21 +88,8 @@ def follow(text: str, i: int, state: State) -> tuple[int, State]:
                 return -1, State("braced", kind, depth)
             i, mode = m.end(), "more"
         elif mode == "quoted":
-            while m := _QUOTED.search(text, i):
-                t, i = m[0], m.end()
-                if t == '\\"':
-                    if not depth:
-                        if i < n:
-                            i += 1  # a quote after a backslash takes the next character with it
-                        else:
-                            m = None
-                            break
-                elif t == '"':
-                    if not depth:
-                        break
-                elif t != "\\\\":
-                    depth += 1 if t == "{" else -1
-            if m is None:
+            i, depth = end_of_quoted(text, i, depth)
+            if i < 0:
                 return -1, State("quoted", kind, depth)
             mode = "more"
         elif mode == "group":  # its kind is the opening sign
@@ -191,9 +193,9 @@ class Chunk:
                 most = -depth
                 if most <= DEPTHS:
                     out |= {State("braced", kind, most): self.enter(State("more", kind), m.end()) for kind in KINDS}
-        for depth_ in (0, 1):
-            for kind in KINDS:
-                out[State("quoted", kind, depth_)] = self.enter(State("quoted", kind, depth_))
+        for begin in (0, 1):
+            at, left = end_of_quoted(self.text, 0, begin)
+            out |= {State("quoted", kind, begin): self.enter(State("more", kind), at) if at >= 0 else Way(-1, State("quoted", kind, left)) for kind in KINDS}
         return out, most, depth
 
 
