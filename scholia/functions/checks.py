@@ -23,9 +23,9 @@ def doi_has_separators(value: Column) -> Column:
 
 def url_codes(value: Column) -> Column:
     """url_protocol_missing, url_protocol_unexpected, url_is_doi, url_maybe_doi."""
-    v = F.regexp_replace(value, '^"|"$', "")
+    v = F.regexp_replace(value, '^"+|"+$', "")
     low = F.lower(v)
-    scheme = F.regexp_extract(v, "^(.*?)://", 1)
+    scheme = F.regexp_extract(v, "(?s)^(.*?)://", 1)
     none = ~F.contains(v, F.lit("://"))
     return F.array_compact(
         F.array(

@@ -86,7 +86,8 @@ def name_order(name: str) -> str:
 def initials(name: str) -> str:
     """A space after periods between capitals outside braces."""
     d = _depths(name)
-    return "".join(c + (" " if c == "." and not d[k] and name[k - 1 : k].isupper() and name[k + 1 : k + 2].isupper() else "") for k, c in enumerate(name))
+    capital = lambda c: "A" <= c <= "Z"
+    return "".join(c + (" " if c == "." and not d[k] and capital(name[k - 1 : k]) and capital(name[k + 1 : k + 2]) else "") for k, c in enumerate(name))
 
 
 def fix_names(v: str, o: Options) -> str:
@@ -403,3 +404,15 @@ def fix(name: str, v: str, o: Options, warn: Warn) -> str:
     if n == "month":
         return fix_month(v)
     return fix_pages(v) if n == "pages" else v
+
+
+def fix_tex(name: str, v: str, o: Options, warn: Warn) -> str:
+    """Those fixes of a field that need the structure of its TeX; the others are column expressions."""
+    n = name.lower().removeprefix("opt") if name.startswith("OPT") else name.lower()
+    plain = n in ("month", "pages") or n in ("author", "editor") and not names_need_tex(o)
+    return v if plain else fix(name, v, o, warn)
+
+
+def names_need_tex(o: Options) -> bool:
+    """Whether accents or braces of names are fixed, which comes after their order."""
+    return o.fix_accents or o.fix_braces

@@ -34,26 +34,103 @@ def squeeze_space(value: Column) -> Column:
 
 def fix_pages(value: Column) -> Column:
     """Runs of hyphens, with the space around them, become an en-dash between digits, between letters, after a digit, and
-    before a question mark, else a hyphen."""
+    before a question mark, else a hyphen. (The mark in between is no character of a text whose characters are bytes.)"""
     dash = rf"{SPACES}*-(?:{SPACES}*-)*{SPACES}*"
-    mark = F.regexp_replace(value, rf"(?<=[0-9]){dash}(?=[A-Za-z0-9])|(?<=[A-Za-z]){dash}(?=[A-Za-z])|{dash}(?=\?)", "\u0001")
-    return F.regexp_replace(F.regexp_replace(mark, dash, "-"), "\u0001", "--")
+    mark = F.regexp_replace(value, rf"(?<=[0-9]){dash}(?=[A-Za-z0-9])|(?<=[A-Za-z]){dash}(?=[A-Za-z])|{dash}(?=\?)", "\ue000")
+    return F.regexp_replace(F.regexp_replace(mark, dash, "-"), "\ue000", "--")
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def outer_split(value: Column, sign: str) -> Column:
+    """The pieces of a value between those signs that stand outside braces."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        whole = F.concat(F.coalesce(F.concat(acc["open"], F.lit(sign)), F.lit("")), piece)
+        depth = acc["depth"] + F.length(F.replace(piece, F.lit("}"), F.lit(""))) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+        none = F.lit(None).cast("string")
+        return F.struct(F.when(depth == 0, F.concat(acc["done"], F.array(whole))).otherwise(acc["done"]).alias("done"), F.when(depth == 0, none).otherwise(whole).alias("open"), depth.alias("depth"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
+    return F.aggregate(F.split(value, "[" + sign + "]", -1), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
 def fix_initials(value: Column) -> Column:
-    """A period between capital letters outside braces gets a space; values with braces stay."""
-    return F.when(value.rlike("[{}]"), value).otherwise(F.regexp_replace(value, r"(?<=[A-Z])\.(?=[A-Z])", ". "))
+    """A period between capital letters outside braces gets a space."""
+
+    def join(pieces: Column) -> Column:
+        apart = lambda i: F.get(pieces, i - 1).rlike(r"[A-Z]\z") & F.get(pieces, i).rlike("^[A-Z]")
+        return F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i == 0, "").when(apart(i), ". ").otherwise("."), p)), "")
+
+    return F.when(value.rlike("[{}]"), let(outer_split(value, "."), join)).otherwise(F.regexp_replace(value, r"(?<=[A-Z])\.(?=[A-Z])", ". "))
+
+
+#: How a last part of a name begins that does not stand alone (fixed values).
+JUNIOR = r"^(?:[IVX]|(?i:Jr|Sr|SJ|S\.J\.|S\. J\.))"
+
+
+def looks_junior(last: Column) -> Column:
+    """Whether a name's last part has a comma, or a part like Jr. or a Roman number, outside braces."""
+
+    def follows(pieces: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.size(pieces)), lambda i: (i > 1) & F.array_join(F.slice(pieces, i, F.size(pieces)), " ").rlike(JUNIOR))
+
+    return (F.size(outer_split(last, ",")) > 1) | let(outer_split(F.translate(last, "\t", " "), " "), follows)
 
 
 def name_order(name: Column) -> Column:
-    """Last, First becomes First Last, for names with one comma and neither braces nor parentheses."""
-    plain = name.rlike(r"^[^,{}()]+,[^,{}()]+$")
-    return F.when(plain, F.regexp_replace(name, rf"^([^,]*?){SPACES}*,{SPACES}*(.*)$", "$2 $1")).otherwise(name)
+    """Last, First becomes First Last by the last comma outside braces; last parts that would be torn apart get braces. Names with
+    parentheses stay."""
+
+    def turn(pieces: Column) -> Column:
+        n = F.size(pieces)
+        last, first = F.array_join(F.slice(pieces, F.lit(1), n - 1), ","), F.regexp_replace(F.element_at(pieces, n), rf"^{SPACES}+", "")
+        return F.when(n > 1, F.concat(first, F.lit(" "), F.when(looks_junior(last), F.concat(F.lit("{"), last, F.lit("}"))).otherwise(last))).otherwise(name)
+
+    return F.when(F.contains(name, F.lit(",")) & ~F.contains(name, F.lit("(")), let(outer_split(name, ","), turn)).otherwise(name)
+
+
+def fix_name(name: Column, order: bool = True, initials: bool = True) -> Column:
+    """A name, ordered and with its initials apart."""
+    name = name_order(name) if order else name
+    return let(name, fix_initials) if initials else name
 
 
 def fix_names(value: Column) -> Column:
-    """Each name of a list joined by and, ordered and with its initials apart."""
-    return F.array_join(F.transform(F.split(value, " and "), lambda n: fix_initials(name_order(n))), " and ")
+    """Each name of a list joined by and, ordered and with its initials apart; names with braces stay."""
+    return F.array_join(F.transform(F.split(value, " and ", -1), lambda n: F.when(n.rlike("[{}]"), n).otherwise(fix_name(n))), " and ")
+
+
+def quoted_names(value: Column, order: bool = True, initials: bool = True, semicolons: bool = False) -> Column:
+    """Every name of a value that is one quoted string; with semicolons, these join names as well."""
+    body = F.substring(value, F.lit(2), F.length(value) - 2)
+    body = F.regexp_replace(body, rf"{SPACES}*;{SPACES}*", " and ") if semicolons else body
+    names = F.transform(F.split(body, " and ", -1), lambda n: fix_name(n, order, initials))
+    return F.when(value.rlike(r'^(?s:".*")\z'), F.concat(F.lit('"'), F.array_join(names, " and "), F.lit('"'))).otherwise(value)
+
+
+def fix_month(value: Column) -> Column:
+    """Month names inside quotes become macros, and empty strings beside them go."""
+
+    def macros(piece: Column) -> Column:
+        for macro in dict.fromkeys(MONTH_MACROS.values()):
+            names = [n for n, m in MONTH_MACROS.items() if m == macro]
+            word = "|".join(n.removesuffix(".") + (r"\." if n.endswith(".") else r"(?![A-Za-z.])") for n in names)
+            piece = F.regexp_replace(piece, rf"(?<![A-Za-z])(?i:{word})", f'" # {macro} # "')
+        return piece
+
+    whole = F.array_join(F.transform(outer_split(value, '"'), lambda p, i: F.when(i % 2 == 1, macros(p)).otherwise(p)), '"')
+
+    def join(s: Column) -> Column:
+        parts = F.regexp_extract_all(s, F.lit(r'"(?:\{(?:[^{}]|\{[^{}]*\})*\}|[^"{}])*"|[^"#]*[^"#\s]'), F.lit(0))
+        full = F.transform(F.filter(parts, lambda p: p != '""'), lambda p: F.regexp_replace(p, rf"^{SPACES}+|{SPACES}+\z", ""))
+        shorter = F.contains(s, F.lit("#")) & ~F.contains(s, F.lit("\x01")) & (F.size(full) > 0) & (F.size(full) < F.size(parts))
+        return F.when(shorter, F.array_join(full, " # ")).otherwise(s)
+
+    return let(whole, join)
 
 
 def month_macro(name: Column) -> Column:

@@ -1,7 +1,8 @@
 """Bibliography files as DataFrames: entries, fields, tokens, diagnostics, output text.
 
-A file is parsed where its row lies, in one Arrow pass without a shuffle. All results come from the same
-pass; asking for one of them parses only for that one.
+A file is scanned where its row lies, in one Arrow pass without a shuffle. What the scan finds, fields with their values, is fixed and checked by
+column expressions (``rules``); only fixes of TeX structure are made by the scan. Tokens, output text, and messages with positions or traces of
+patterns come from the parser alone; asking for one result scans only for that one.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.operators import rules
 from scholia.options import Options
 from scholia.sources.bibtext import Parser, token_lines
 
@@ -85,7 +87,10 @@ def parse(texts: DataFrame, options: Options | None = None, **config) -> DataFra
 
 def entries(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
     """A row for each entry and each stretch of text between entries, in file order."""
-    return _run(texts, options or Options(), ENTRIES, _entry_rows, **config)
+    o = options or Options()
+    if not o.prettyprint:
+        return _run(texts, o, ENTRIES, _entry_rows, **config)
+    return rules.fix_entries(_run(texts, o, ENTRIES, _entry_rows, scan=True, **config), o, config.get("isbn_ranges"))
 
 
 def tokens(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
@@ -104,7 +109,12 @@ def token_text(texts: DataFrame, options: Options | None = None, **config) -> Da
 
 def diagnostics(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
     """Warnings and errors of every file, in order."""
-    return _run(texts, options or Options(), DIAGNOSTICS, _diagnostic_rows, **config)
+    o = options or Options()
+    if not rules.by_columns(o):
+        return _run(texts, o, DIAGNOSTICS, _diagnostic_rows, **config)
+    found = rules.check(_run(texts, o, rules.SEEN, rules.seen_rows, scan=True, **config), o, config.get("patterns"), config.get("isbn_ranges"))
+    order = Window.partitionBy("file").orderBy("tick", "place")
+    return found.withColumn("diag_seq", (F.row_number().over(order) - 1).cast("long")).select(*T._parse_datatype_string(DIAGNOSTICS).names)
 
 
 def prettyprint(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
@@ -131,13 +141,7 @@ def drop_empty_fields(entry_rows: DataFrame) -> DataFrame:
 
 def remove_opt(entry_rows: DataFrame) -> DataFrame:
     """OPTname becomes name where the value is not empty."""
-
-    def bare(f: Column) -> Column:
-        name = f["name"]
-        cut = name.startswith("OPT") & (F.length(name) > 3) & (F.length(f["value"]) > 2)
-        return f.withField("name", F.when(cut, F.substring(name, F.lit(4), F.length(name))).otherwise(name))
-
-    return entry_rows.withColumn("fields", F.transform("fields", bare))
+    return entry_rows.withColumn("fields", F.transform("fields", rules.without_opt))
 
 
 def duplicate_keys(entry_rows: DataFrame) -> DataFrame:

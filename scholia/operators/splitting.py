@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.operators import bibliography as B
-from scholia.operators import scratch
+from scholia.operators import rules, scratch
 from scholia.options import Options
 from scholia.sources import chunks as K
 from scholia.sources.bibtext import Parser
@@ -212,13 +212,19 @@ def _numbered(rows: DataFrame, seq: str) -> DataFrame:
 
 def entries(parts: DataFrame, options: Options | None = None, **config) -> DataFrame:
     """A row for each entry and each stretch of text between entries."""
-    rows = scratch.write(_run(parts, _check(options or Options()), B.ENTRIES, B._entry_rows, **config), "entries")
-    return _numbered(rows, "entry_seq").select(*T._parse_datatype_string(B.ENTRIES).names)
+    o = _check(options or Options())
+    rows = scratch.write(_run(parts, o, B.ENTRIES, B._entry_rows, scan=True, **config), "entries")
+    return rules.fix_entries(_numbered(rows, "entry_seq"), o, config.get("isbn_ranges")).select(*T._parse_datatype_string(B.ENTRIES).names)
 
 
 def diagnostics(parts: DataFrame, options: Options | None = None, **config) -> DataFrame:
-    rows = scratch.write(_run(parts, _check(options or Options()), B.DIAGNOSTICS, B._diagnostic_rows, **config), "diagnostics")
-    return _numbered(rows, "diag_seq").select(*T._parse_datatype_string(B.DIAGNOSTICS).names)
+    o = _check(options or Options())
+    if not rules.by_columns(o):
+        rows = _run(parts, o, B.DIAGNOSTICS, B._diagnostic_rows, **config)
+    else:
+        found = rules.check(_run(parts, o, rules.SEEN, rules.seen_rows, scan=True, **config), o, config.get("patterns"), config.get("isbn_ranges"), "part")
+        rows = found.withColumn("diag_seq", (F.row_number().over(Window.partitionBy("file", "part").orderBy("tick", "place")) - 1).cast("long"))
+    return _numbered(scratch.write(rows, "diagnostics"), "diag_seq").select(*T._parse_datatype_string(B.DIAGNOSTICS).names)
 
 
 def tokens(parts: DataFrame, options: Options | None = None, **config) -> DataFrame:

@@ -10,6 +10,7 @@ from scholia.functions import checks, identifiers, patterns, text
 from scholia.operators import bibliography as B
 from scholia.options import Options
 from scholia.plans import generated, onefile
+from scholia.sources import config
 
 FLAGSHIP = "q_prettyprint"
 
@@ -106,6 +107,31 @@ def q_isbn_range_join(spark, d):
     return hit.groupBy("ord", "low", "high").agg(F.count("*").alias("n_isbn"))
 
 
+def _nation_ranges(spark, d) -> DataFrame:
+    """A table of ranges in which the first range of each nation's group names the nation."""
+    spans = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b")) for j, (a, b) in enumerate((("00", "19"), ("200", "699"), ("7000", "8999")))))
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name", F.explode(spans).alias("s"))
+    group = (F.col("n_nationkey") + 600).cast("string")
+    return n.select((F.col("n_nationkey") * 3 + F.col("s.j")).cast("int").alias("ord"), F.concat(group, F.lit("-"), F.col("s.a")).alias("begin"), F.concat(group, F.lit("-"), F.col("s.b")).alias("end"), F.when(F.col("s.j") == 0, F.col("n_name")).otherwise("").alias("countries"))
+
+
+def q_isbn_countries(spark, d):
+    """How many numbers fall into each country's ranges, countries carried forward in their group."""
+    k = F.col("o_orderkey")
+    numbers = _t(spark, d, "orders").select(F.concat((k % 30 + 600).cast("string"), _pad(k * 48271, 6), F.lit("0")).alias("ten"))
+    found = config.join_ranges(numbers, config.with_countries(_nation_ranges(spark, d)))
+    return found.groupBy(F.coalesce("range.begin", F.lit("")).alias("begin"), F.coalesce("range.countries", F.lit("")).alias("countries")).agg(F.count("*").alias("n"))
+
+
+def q_isbn_printed(spark, d):
+    """The table as it is printed, a country where it changes."""
+    return config.printed_ranges(config.with_countries(_nation_ranges(spark, d)))
+
+
+_NATION_RANGES_SQL = """WITH r AS (SELECT CAST(n_nationkey * 3 + v.j AS INT) AS ord, (600 + n_nationkey) || '-' || v.a AS "begin", (600 + n_nationkey) || '-' || v.b AS "end", n_name AS countries, v.j, (600 + n_nationkey) || v.a AS low, (600 + n_nationkey) || v.b AS high
+FROM nation, LATERAL (VALUES (0, '00', '19'), (1, '200', '699'), (2, '7000', '8999')) AS v(j, a, b))"""
+
+
 def _roman(n: Column) -> Column:
     out = F.lit("")
     for base, digits in ((1000, ("", "M", "MM", "MMM")), (100, ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM")), (10, ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC")), (1, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"))):
@@ -231,11 +257,9 @@ def q_field_case_map(spark, d):
 
 
 def q_keyword_upsert(spark, d):
-    from scholia.sources.config import upsert
-
     base = _t(spark, d, "nation").select(F.lower("n_name").alias("old_name"), F.col("n_name").alias("new_name"))
     changes = _t(spark, d, "nation").filter("n_nationkey % 4 = 0").select(F.lower("n_name").alias("old_name"), F.concat(F.lit("xx"), F.col("n_name")).alias("new_name"), (F.col("n_nationkey") % 8 == 0).alias("deleted"))
-    return upsert(base, changes)
+    return config.upsert(base, changes)
 
 
 # whole-text operators
@@ -319,7 +343,7 @@ LATERAL (VALUES ('unexpected_value', 'Unexpected value in', 1), ('suspicious_yea
 
 def queries() -> dict:
     plain = (
-        q_issn_check, q_isbn10_check, q_isbn13_check, q_coden_check, q_isbn_hyphenate, q_isbn_range_join, q_roman, q_year_check, q_url_check, q_doi_check, q_length_check, q_pattern_volume, q_pattern_pages, q_month_macro,
+        q_issn_check, q_isbn10_check, q_isbn13_check, q_coden_check, q_isbn_hyphenate, q_isbn_range_join, q_isbn_countries, q_isbn_printed, q_roman, q_year_check, q_url_check, q_doi_check, q_length_check, q_pattern_volume, q_pattern_pages, q_month_macro,
         q_pages_fix, q_names_fix, q_squeeze_space, q_delete_empty, q_remove_opt, q_field_case_map, q_keyword_upsert, q_tokenize, q_duplicate_keys, q_sorted_keys, q_like_search, q_error_count, q_parse_entries, q_prettyprint,
         q_lex, q_scribe, q_diagnostics,
     )
@@ -340,6 +364,9 @@ SELECT source, k, isbn, substr(isbn, 1, 3) IN ('978', '979') AND list_sum(list_t
 SELECT i.o_orderkey, i.isbn, coalesce(substr(i.isbn, 1, g) || '-' || substr(i.isbn, g + 1, length(low) - g) || '-' || substr(i.isbn, length(low) + 1, 9 - length(low)) || '-' || substr(i.isbn, 10, 1), i.isbn) AS hyphenated
 FROM i LEFT JOIN m ON i.o_orderkey = m.o_orderkey LEFT JOIN {_ranges_sql()} ON r.ord = m.ord""",
         "q_isbn_range_join": _ISBN10_SQL + f"SELECT CAST(ord AS INT) AS ord, low, high, count(*) AS n_isbn {match} GROUP BY ALL",
+        "q_isbn_countries": _NATION_RANGES_SQL + """, t AS (SELECT (o_orderkey % 30 + 600) || lpad(CAST((o_orderkey * 48271) % 1000000 AS VARCHAR), 6, '0') AS nine FROM orders)
+SELECT coalesce("begin", '') AS "begin", coalesce(countries, '') AS countries, count(*) AS n FROM t LEFT JOIN r ON substr(nine, 1, length(low)) BETWEEN low AND high GROUP BY 1, 2""",
+        "q_isbn_printed": _NATION_RANGES_SQL + """ SELECT ord, rpad("begin", 11, ' ') || chr(9) || rpad("end", 11, ' ') || CASE WHEN j = 0 THEN chr(9) || countries ELSE '' END AS line FROM r""",
         "q_roman": "SELECT p_partkey, CAST(p_size AS BIGINT) AS expected, CAST(p_size AS BIGINT) AS value FROM part",
         "q_year_check": """WITH y AS (SELECT o_orderkey, '"' || CASE o_orderkey % 5 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 1454 WHEN 2 THEN 1455 WHEN 3 THEN 2099 ELSE 2100 END || CASE WHEN o_orderkey % 2 = 0 THEN ', 1999' ELSE '' END || '"' AS year FROM orders)
 SELECT o_orderkey, year, CAST(len(list_filter(regexp_extract_all(year, '[0-9]+'), lambda v: CAST(v AS BIGINT) NOT BETWEEN 1455 AND 2099)) AS BIGINT) AS suspicious FROM y""",

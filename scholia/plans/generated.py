@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions import checking, fixes, identifiers
+from scholia.functions import checking, fixes, identifiers, text
 from scholia.operators import bibliography as B
 from scholia.options import Options, resolve
 from scholia.sources import config as C
@@ -57,6 +57,8 @@ def _fixed(name: str):
         k = F.col("c_custkey")
         template = F.element_at(F.array(*(F.lit(f'"{g}"') for g, _ in pairs)), (k % 5 + 1).cast("int"))
         rows = _t(spark, d, "customer").select(k.cast("bigint").alias("c_custkey"), _filled(template, k).alias("value"))
+        if field == "author" and not fixes.names_need_tex(options):
+            return rows.withColumn("result", text.quoted_names(F.col("value")))
         return _values(rows, "c_custkey", lambda v: fixes.fix(field, v, options, lambda *_: None))
 
     query.__name__ = name

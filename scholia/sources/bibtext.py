@@ -106,6 +106,18 @@ class Page:
         return "\n".join([*self.lines, self.cur])
 
 
+class NoPage(Page):
+    """A page that nothing is written to."""
+
+    def put(self, text: str) -> None:
+        pass
+
+    spaces = to_column = end_line = put
+
+    def rstrip(self) -> None:
+        pass
+
+
 def first_on_line(text: str, at: int) -> bool:
     """Whether only white space precedes on the line; looks back no further than that."""
     while at and text[at - 1] in " \t\v\f\r":
@@ -116,6 +128,8 @@ def first_on_line(text: str, at: int) -> bool:
 def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
     """Writes a value, breaking at a space where the word after it would pass the page's width; the last word counts one
     more, for the comma to come."""
+    if isinstance(page, NoPage):
+        return
     if not _OTHER_SPACE.search(text):
         cur, *words = text.split(" ")
         cur, last = page.cur + cur, len(words) - 1
@@ -155,8 +169,9 @@ def wrap_into(page: Page, text: str, keep_spaces: bool) -> None:
 class Parser:
     """Cleans one file. Results: entries, diagnostics, tokens, page."""
 
-    def __init__(self, text: str, options: Options | None = None, file: str = "stdin", patterns=None, keywords=None, isbn_ranges=None, first_line: int = 1, more: bool = False):
-        """first_line is the line of the text's start in its file; more says that the file goes on with another entry, whose @ is
+    def __init__(self, text: str, options: Options | None = None, file: str = "stdin", patterns=None, keywords=None, isbn_ranges=None, first_line: int = 1, more: bool = False, scan: bool = False):
+        """With scan, values get the fixes alone that need their TeX, nothing is checked or laid out, and ``seen`` has, in order, what was
+        found: fields, citation keys and what the parser itself reports. first_line is the line of the text's start in its file; more says that the file goes on with another entry, whose @ is
         seen, but not passed."""
         self.stop = len(text)
         text += "@" * more
@@ -166,7 +181,9 @@ class Parser:
         self.file = file
         self.keywords = FIELD_NAMES if keywords is None else keywords
         self.checker = checking.Checker(patterns, isbn_ranges)
-        self.page = Page(self.o.width)
+        self.scan = scan
+        self.seen: list[tuple] = []
+        self.page = NoPage(self.o.width) if scan else Page(self.o.width)
         self.entries: list[Entry] = []
         self.diagnostics: list[dict] = []
         self.tokens: list[tuple[int, int, str, str]] = []
@@ -198,6 +215,8 @@ class Parser:
         text = self.expand(message)
         where = "\n".join(self.positions()) if self.o.file_position else ""
         self.diagnostics.append({"position": where, "line": self.value_line if line is None and severity == "warning" else (line or self.line()), "severity": severity, "code": code, "entry_name": self.entry.entry_name, "cite_key": self.entry.cite_key, "field": self.field.name, "value": self.field.value, "message": text})
+        if self.scan:
+            self.seen.append(("said", self.diagnostics[-1]))
 
     def warn(self, code: str, message: str) -> None:
         self.report("warning", code, message)
@@ -437,7 +456,10 @@ class Parser:
         self.out("KEY", m[0])
         self.value_line = self.line()
         self.mark("Value")
-        self.checker.key(self)
+        if self.scan:
+            self.seen.append(("key", self.entry, self.value_line, self.line()))
+        else:
+            self.checker.key(self)
         self.skip()
         self.comma()
         self.skip()
@@ -769,6 +791,10 @@ class Parser:
         f = self.field
         f.parts, f.value = parts, checking.trim(whole)
         if self.entry.kind not in ("preamble", "string"):
+            if self.scan:
+                f.value = fixes.fix_tex(f.name, f.value, self.o, self.warn)
+                self.seen.append(("field", self.entry, f, self.value_line, self.line()))
+                return
             f.value = fixes.fix(f.name, f.value, self.o, self.warn)
             if self.o.check_values and f.value != '""':
                 self.checker.check(self)

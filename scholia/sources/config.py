@@ -8,7 +8,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.identifiers import ISBN_RANGES
@@ -16,6 +16,8 @@ from scholia.functions.patterns import DEFAULT_PATTERNS
 from scholia.functions.text import FIELD_NAMES
 from scholia.options import Options, resolve
 
+#: Rows of a table of ISBN ranges at most, so that it may be broadcast.
+MAX_RANGES = 100_000
 #: Escapes in quoted strings (fixed values).
 ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 
@@ -198,6 +200,40 @@ def isbn_frame(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame([(k, b, e, config.countries.get(b, "")) for k, (b, e) in enumerate(config.isbn_ranges)], "ord int, begin string, end string, countries string")
 
 
+def with_countries(ranges: DataFrame) -> DataFrame:
+    """Ranges (ord, begin, end, countries) with a group's countries carried forward to its later ranges that name none."""
+    group = Window.partitionBy(F.substring_index("begin", "-", 1)).orderBy("ord")
+    named = F.when(F.col("countries") != "", F.col("countries"))
+    return ranges.withColumn("countries", F.coalesce(F.last(named, ignorenulls=True).over(group), F.lit("")))
+
+
+def printed_ranges(ranges: DataFrame) -> DataFrame:
+    """(ord, line): the range table as it is printed; countries stand where they change. A table has some thousand rows, so one order is enough."""
+    shown = F.col("countries") != F.coalesce(F.lag("countries").over(Window.orderBy("ord")), F.lit(""))
+    line = F.concat(F.rpad("begin", 11, " "), F.lit("\t"), F.rpad("end", 11, " "), F.when(shown & (F.col("countries") != ""), F.concat(F.lit("\t"), F.col("countries"))).otherwise(""))
+    return ranges.select("ord", line.alias("line"))
+
+
+def range_intervals(ranges: DataFrame) -> DataFrame:
+    """(low, high, ord, begin, end, countries, prefix): ranges by the three-digit prefixes that they touch, at most 1000 for each length of range."""
+    padded = lambda c, fill: F.rpad(F.replace(c, F.lit("-"), F.lit("")), 9, fill)
+    rows = ranges.select("*", padded("begin", "0").alias("low"), padded("end", "9").alias("high"))
+    touched = F.sequence(F.substring("low", 1, 3).cast("int"), F.substring("high", 1, 3).cast("int"))
+    return rows.select("*", F.explode(touched).alias("p")).withColumn("prefix", F.lpad(F.col("p").cast("string"), 3, "0")).drop("p")
+
+
+def join_ranges(numbers: DataFrame, ranges: DataFrame, ten: str = "ten") -> DataFrame:
+    """Ten-digit numbers with the first range of the table that holds them, or nulls. The table, of ``MAX_RANGES`` rows at most, is broadcast by
+    prefix; a number meets the ranges of its prefix alone."""
+    if ranges.limit(MAX_RANGES + 1).count() > MAX_RANGES:
+        raise ValueError(f"more than {MAX_RANGES} ranges")
+    nine = F.substring(ten, 1, 9)
+    by_prefix = range_intervals(ranges).groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("ord", "low", "high", "begin", "end", "countries"))).alias("ranges"))
+    joined = numbers.withColumn("prefix", F.substring(ten, 1, 3)).join(F.broadcast(by_prefix), "prefix", "left").drop("prefix")
+    hit = F.get(F.filter("ranges", lambda r: (r["low"] <= nine) & (r["high"] >= nine)), F.lit(0))
+    return joined.withColumn("range", hit).drop("ranges")
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str = "old_name", deleted: str = "deleted") -> DataFrame:
     """base with changes by key: changed rows replace, deleted ones go, new ones come."""
     kept = base.join(F.broadcast(changes.select(key)), key, "left_anti") if changes.count() <= 10_000 else base.join(changes.select(key), key, "left_anti")
