@@ -28,6 +28,11 @@ def _depths(s: str) -> list[int]:
     return out
 
 
+def _showing(message: str, value: str) -> str:
+    """A message about what a value has become so far."""
+    return message.replace("%v", value.replace("%", "%%"))
+
+
 def squeeze(s: str) -> str:
     return re.sub(r"(\s)\s+", r"\1", s, flags=re.A)
 
@@ -109,8 +114,9 @@ def fix_accents(v: str) -> str:
     out, k, n = [], 0, len(v)
 
     def argument(k: int) -> tuple[str, int] | None:
-        m = re.compile(r"\s*(?:\{(\\[ij]|[^{}\\])\}|(\\[ij](?![A-Za-z])|[A-Za-z]))").match(v, k)
-        return (m[1] or m[2], m.end()) if m else None
+        """A letter or control word, in braces or not; white space after a bare control word goes with it."""
+        m = re.compile(r"\s*(?:\{(\\[ij]|[^{}\\])\}|(\\[ij]|\\[A-Za-z]+)\s*|([A-Za-z]))").match(v, k)
+        return (m[1] or m[2] or m[3], m.end()) if m else None
 
     while k < n:
         if v[k] != "\\":
@@ -125,7 +131,7 @@ def fix_accents(v: str) -> str:
         if name in ACCENT_SIGNS and len(name) == 1 and (arg := argument(end)):
             text, end = "\\" + name + arg[0], arg[1]
         elif name in ACCENT_LETTERS and len(name) == 1 and (arg := argument(end)):
-            text, end = "\\" + name + "{" + arg[0] + "}", arg[1]
+            text, end = "\\" + name + (arg[0] if arg[0][0] == "\\" else "{" + arg[0] + "}"), arg[1]
         elif name in LIGATURES:
             text = "\\" + name
             if bare:
@@ -149,6 +155,10 @@ def _pieces(s: str) -> list[tuple[str, str]]:
 def fix_bracing(v: str, warn: Warn) -> str:
     """Takes away inner braces that protect nothing, and widens outer ones to whole words. Groups that begin with a
     macro, arguments of macros, math, and braced spaces stay."""
+    def once(m: re.Match) -> str:
+        return "{" + m[2] + "}" if len(m[1]) == len(m[3]) else m[0]
+
+    v = re.sub(r"(?<=[A-Za-z])(\{{2,})([A-Za-z]?)(\}{2,})", once, v)  # pairs inside a word, one around the other
     out: list[str] = []
     starts: list[tuple[int, bool]] = []  # where groups begin in out, and whether they must stay
     macro = False
@@ -213,96 +223,111 @@ def _balance(s: str) -> int:
 
 
 def _capital(formula: str) -> bool:
-    """Whether a formula has a capital outside braces, or a macro that begins with one."""
-    while (inner := re.sub(r"(\\[A-Za-z]+|[_^]|^\$+)\{[^{}]*\}", r"\1", formula)) != formula:
+    """Whether a formula has a capital outside groups that are scripts, arguments or plain text, or a macro that begins with one."""
+    if re.search(r"\\[A-Z]", formula):
+        return True
+    formula = re.sub(r"\\[^A-Za-z]", "", formula)
+    while (inner := re.sub(r"(\\[A-Za-z]+|[_^])\{[^{}]*\}|\{(?!\\)[^{}]*\}", r"\1", formula)) != formula:
         formula = inner
     return bool(re.search(r"[A-Z]", re.sub(r"\\[a-z]+", "", formula)))
 
 
 _MATH_TOKEN = re.compile(r"\\[A-Za-z]+|\\.|[A-Za-z]|[0-9]+(?:\.[0-9]+)?|:=|<=|>=|\s+|.", re.S)
+#: How a token of a formula binds. Relations and operators take space on both sides if they have operands there; what opens takes none after itself.
+OPERATORS = {*"=+-/:<>*", ":=", "<=", ">="}
+OPENS, CLOSES, SEPARATES, SCRIPTS = "([{", ")]", ",;", "^_"
 
 
-def math_spacing(body: str) -> str:
-    """The inside of a formula with spaces around relations and operators, after commas, and between letters."""
-    text = body.strip()
-    text = re.sub(r"\s*([_^])\s*", r"\1", text)
+def math_tokens(body: str) -> list[str]:
+    """The tokens of a formula; white space is one blank, and none beside a script sign; a script of one character has no braces."""
+    text = re.sub(r"\s*([_^])\s*", r"\1", body.strip())
     text = re.sub(r"([_^])\{\s*([A-Za-z0-9])\s*\}", r"\1\2", text)
-    if len(text) <= 1 or text[0] in "_^":
-        return text
-    out: list[str] = []
-    binary = set("=+-/:<>*") | {":=", "<=", ">="}
+    return [" " if t.isspace() else t for t in _MATH_TOKEN.findall(text)]
 
-    def space() -> None:
-        if out and not out[-1].endswith(" ") and out[-1][-1] not in "^_([{":
-            out.append(" ")
 
-    prev = ""
-    depth = 0
-    for t in _MATH_TOKEN.findall(text):
-        if t.isspace():
-            space()
-            continue
-        if t in binary:
-            if prev in ("", "(", "[", "{", ",", "^", "_") or prev in binary:
-                if prev in binary:
-                    space()
-                out.append(t)
-            else:
-                space()
-                out.append(t)
+def math_spacing(body: str) -> str:
+    """The inside of a formula with spaces around relations and operators, after commas, and between operands."""
+    tokens = math_tokens(body)
+    if len("".join(tokens)) <= 1:
+        return "".join(tokens)
+    out: list[str] = []
+    prev, depth = "", 0
+    for k, t in enumerate(tokens):
+        following = next((x for x in tokens[k + 1 : k + 3] if x != " "), "")
+        before = after = False  # whether space stands on a side of the token
+        if t == " ":
+            if out and out[-1] == "{" and depth:
+                out.append(" ")  # text
+            elif out and prev[-1:] not in (*OPENS, *SCRIPTS):
                 out.append(" ")
-        elif t in ",;":
-            while out and out[-1] == " ":
-                out.pop()
-            out.append(t + " ")
-        elif t in ")]":
+            continue
+        if t in OPERATORS:
+            operand = prev not in ("", *OPENS, ",", *SCRIPTS) and prev not in OPERATORS
+            before = operand and following != "}" or prev in OPERATORS
+            after = operand and following != "}" or not prev
+        elif t in SEPARATES:
+            after = True
+        elif t[0] == "\\":
+            before, after = bool(prev) and prev not in (*SCRIPTS, *OPENS), True
+        elif t.isalnum():
+            before = prev.isalnum() and not depth and out[-1][-1:] not in SCRIPTS
+        elif t in OPENS:
+            before = len(out) > 1 and out[-2] in SCRIPTS  # after a script of one character
+            depth += t == "{"
+        elif t == "}":
+            depth -= 1
+        if t in (*SEPARATES, *CLOSES, *SCRIPTS):
             while out and out[-1] == " ":
                 out.pop()
-            out.append(t)
-        elif t.startswith("\\"):
-            if prev and prev not in ("^", "_", "(", "[", "{"):
-                space()
-            out.append(t)
+        if before:
+            out.append(" ")
+        out.append(t)
+        if after:
             out.append(" ")
-        elif t.isalnum():
-            if prev and prev[-1:].isalnum() and not prev.startswith("\\") and not depth and out[-1][-1:] not in "^_":
-                space()
-            out.append(t)
-        else:
-            depth += (t == "{") - (t == "}")
-            out.append(t)
         prev = t
     return re.sub(r" +", " ", "".join(out)).strip()
 
 
+_FORMULA = re.compile(r"(?<!\\)(\$\$?)((?:\\.|[^\\$])*)\1", re.S)
+
+
 def fix_math(v: str, o: Options, warn: Warn, brace_capitals: bool = False) -> str:
-    """Spacing inside dollar signs; with brace_capitals, formulas with capitals outside braces get braces."""
+    """Spacing inside dollar signs; with brace_capitals, formulas with capitals outside braces get braces, and so do those right after a capital."""
     out, last = [], 0
     depth = _depths(v)
-    for m in re.finditer(r"(?<!\\)(\$\$?)((?:\\.|[^\\$])*)\1", v, re.S):
+    ties = False
+    for m in _FORMULA.finditer(v):
         body = math_spacing(m[2]) if o.fix_math else m[2]
-        inner = body if len(body) <= 1 or body[:1] in "_^" or not o.fix_math else f" {body} "
-        text = m[1] + inner + m[1]
-        if brace_capitals and not depth[m.start()] and _capital(body):
+        scripts = body[:1] in "_^" or body[:3] in ("{}_", "{}^")
+        text = m[1] + (body if len(body) <= 1 or scripts or not o.fix_math else f" {body} ") + m[1]
+        if brace_capitals and not depth[m.start()] and (_capital(body) or "A" <= v[m.start() - 1 : m.start()] <= "Z"):
             text = "{" + text + "}"
+        if o.fix_math and not depth[m.start()] and len(body) == 1 and body.isalpha() and re.match("[A-Za-z0-9>]", v[m.end() : m.end() + 1]):
+            text += " "
         for w in MATH_WORDS if o.fix_math else ():
-            if re.search(rf"(?<![\\A-Za-z]){w}(?![A-Za-z])", body):
+            if re.search(rf"(?<![\\A-Za-z]){w}(?![A-Za-z])", m[2]):
                 warn("math_word", "Unbackslashed math word in math mode in value ``%v''")
         out += [v[last : m.start()], text]
         last = m.end()
-        if o.fix_math and "~" in body:
-            warn("math_ties", "Unexpected TeX tie[s] (tilde[s]) in math mode ``%v''")
-        if o.fix_math and re.search("<=|>=|==", body):
+        ties = ties or "~" in body
+        if o.fix_math and re.search("<=|>=|==|:=", m[2]):
             warn("compound_operator", "Unusual compound assignment or equality-test operator in math mode value ``%v'' (e.g., perhaps replace <= by \\leq)")
-    out.append(v[last:])
+    rest = v[last:]
+    if o.fix_math and (m := re.search(r"(?<!\\)\$\$?", rest)):  # a formula that does not end
+        quote = '"' * rest.endswith('"')
+        rest = rest[: m.end()] + " " + math_spacing(rest[m.end() :].removesuffix('"')) + quote
+    out.append(rest)
+    fixed = squeeze("".join(out))
     plain = re.sub(r"(?<!\\)\$\$?(?:\\.|[^\\$])*\$\$?|\\.", "", v)
     if o.fix_math:
         for sign, code, name in (("_", "subscript", "Subscript"), ("^", "superscript", "Superscript")):
             if sign in plain:
-                warn(code, f"{name} operator outside math mode in value ``%v''")
+                warn(code, _showing(f"{name} operator outside math mode in value ``%v''", fixed))
         if "$" in plain:
-            warn("unbalanced_dollars", "Unbalanced math-mode dollar(s) in value ``%v''")
-    return squeeze("".join(out))
+            warn("unbalanced_dollars", _showing("Unbalanced math-mode dollar(s) in value ``%v''", fixed))
+        if ties:
+            warn("math_ties", _showing("Unexpected TeX tie[s] (tilde[s]) in math mode ``%v''", fixed))
+    return fixed
 
 
 def font_braces(v: str) -> str:
@@ -327,33 +352,77 @@ def protect_acronyms(v: str) -> str:
     return re.sub(r"[A-Za-z0-9]*[A-Z][A-Za-z0-9]*", lambda m: "{" + m[0] + "}" if not d[m.start()] and re.search(".[A-Z]", m[0]) and v[m.start() - 1 : m.start()] != "\\" else m[0], v)
 
 
+def _closing(v: str) -> dict[int, int]:
+    """Where each group that is closed ends, by where it begins."""
+    out, stack = {}, []
+    for m in re.finditer("[{}]", v):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
+_TITLE_PART = re.compile(rf"\$\$(?:\\.|[^\\$]|\$(?!\$))*\$\$|\$(?:\\.|[^\\$])+\$|(?P<group>\{{)|\\(?P<accent>[{ACCENT_LETTERS}])(?:\{{(?P<braced>[A-Za-z])\}}|\s+(?P<letter>[A-Za-z]))|\\(?:[A-Za-z]+|.)|[^\\{{$]+|.", re.S)
+_CONTROL = re.compile(r"\\(?:[A-Za-z]+|.)", re.S)
+
+
+def _own_letters(v: str, k: int, end: int, ends: dict[int, int]) -> str:
+    """The text of a group, without control words, their arguments and inner groups, but with the letters of accents."""
+    out, accent = [], False
+    while k < end:
+        if v[k] == "{" and k in ends:
+            if accent:
+                out.append(v[k : ends[k]])
+            k = ends[k] + 1
+            continue
+        m = _CONTROL.match(v, k)
+        if m:
+            accent, k = m[0][1:] in (*ACCENT_LETTERS, *ACCENT_SIGNS), m.end()
+            continue
+        accent = accent and v[k].isspace()
+        out.append(v[k])
+        k += 1
+    return "".join(out)
+
+
 def title_accents(v: str) -> str:
-    """Accents outside braces get braces; those on capitals, and fonts that begin with one, get two pairs."""
-    d = _depths(v)
+    """Outside braces and formulas, groups that begin with a control sequence and hold a capital get a second pair, and accents get one if their letter
+    stands bare, or if they hold a capital."""
+    out, k, ends = [], 0, _closing(v)
+    while m := _TITLE_PART.match(v, k):
+        text, k = m[0], m.end()
+        if m["group"] and k - 1 in ends:
+            k, start = ends[k - 1] + 1, k - 1
+            text = v[start:k]
+            if text[1] == "\\" and re.search("[A-Z]", _own_letters(v, start + 1, k - 1, ends)):
+                text = "{" + text + "}"
+        elif m["letter"]:
+            text = "{\\" + m["accent"] + "{" + m["letter"] + "}}"
+        elif m["accent"] and (m["accent"] + m["braced"]) != (m["accent"] + m["braced"]).lower():
+            text = "{" + text + "}"
+        out.append(text)
+    return "".join(out)
 
-    def brace(m: re.Match) -> str:
-        if d[m.start()] or (m[1] and v[m.start() - 1 : m.start()] == "{"):
-            return m[0]
-        text = "\\" + m[2] + "{" + (m[3] or m[4]) + "}" if m[1] else m[0]
-        capital = (m[3] or m[4] or m[5] or "").isupper()
-        if m[1]:
-            return "{{" + text + "}}" if capital else "{" + text + "}"
-        return "{" + text + "}" if capital and v[m.start() - 1 : m.start()] != "{" else text
-
-    v = re.sub(rf"(\\)([{ACCENT_LETTERS}])(?:\{{([A-Za-z])\}}|\s+([A-Za-z]))|\{{\\[{ACCENT_LETTERS}]\s*\{{?([A-Za-z])\}}?\}}", brace, v)
-    d = _depths(v)
-    out, last = [], 0
-    for m in re.finditer(r"\{\\(?:" + "|".join(FONTS) + r")\s+[A-Z]", v):
-        end = next((j for j in range(m.end(), len(v)) if v[j] == "}" and d[j] == d[m.start()]), None)
-        if not d[m.start()] and end is not None:
-            out += [v[last : m.start()], "{", v[m.start() : end + 1], "}"]
-            last = end + 1
-    return "".join(out) + v[last:]
+
+def math_left_open(v: str) -> bool:
+    """Whether a formula, inline or displayed, does not end."""
+    inside = ""
+    for m in re.finditer(r"\\.|\$\$|\$", v, re.S):
+        if m[0][0] == "\\":
+            continue
+        if not inside:
+            inside = m[0]
+        elif inside == "$" and m[0] == "$$":
+            pass  # one ends and another begins
+        elif m[0] == inside:
+            inside = ""
+    return bool(inside)
 
 
 def fix_title(v: str, o: Options, warn: Warn) -> str:
     v = fix_spacing(v, o, warn)
-    v = "".join(x if k % 2 else title_accents(x) for k, x in enumerate(re.split(r"((?<!\\)\$\$?(?:\\.|[^\\$])*\$\$?)", v)))
+    v = title_accents(v)
     v = re.sub(r"(?<!\\)\$([^$]+)\$\$([_^](?:\\.|[^\\$])+)\$", r"$\1\2$", v)
     if o.fix_math:
         v = fix_math(v, o, warn, brace_capitals=True)
@@ -362,14 +431,14 @@ def fix_title(v: str, o: Options, warn: Warn) -> str:
     if o.brace_protect:
         v = protect_acronyms(v)
     body = v[1:-1] if v.startswith('"') and v.endswith('"') else v
-    if body.endswith(".") and not body.endswith("..."):
-        warn("final_period", "Final period/dot/fullstop is unexpected, and often wrong, in BibTeX title ``%v''")
+    if math_left_open(body):
+        warn("unclosed_math", _showing("Unclosed math mode in value ``%v''", v))
+    if body.endswith("."):
+        warn("final_period", _showing("Final period/dot/fullstop is unexpected, and often wrong, in BibTeX title ``%v''", v))
     if "..." in body:
-        warn("ellipsis", "Literal ellipsis ... should probably be \\ldots{} in BibTeX title ``%v''")
-    if len(re.findall(r"(?<!\\)\$", body)) % 2:
-        warn("unclosed_math", "Unclosed math mode in value ``%v''")
+        warn("ellipsis", _showing("Literal ellipsis ... should probably be \\ldots{} in BibTeX title ``%v''", v))
     if _balance(v):
-        warn("unbalanced_braces", "Unbalanced brace(s) in value ``%v''")
+        warn("unbalanced_braces", _showing("Unbalanced brace(s) in value ``%v''", v))
     return font_braces(v) if o.fix_font_changes else v
 
 

@@ -23,7 +23,7 @@ def read(name: str) -> str | None:
 @cache
 def run(stem: str) -> tuple[str, str] | None:
     """(text, diagnostics) of an input, or None without it."""
-    source = read(f"{stem}.bib") or read(f"{stem}.bin")
+    source = read(f"{stem}.bin") or read(f"{stem}.bib")  # the .bib beside a .bin is what the program once wrote
     if source is None:
         return None
     opts, _, _ = O.resolve((read(f"{stem}.opt") or "").split())
