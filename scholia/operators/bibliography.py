@@ -150,5 +150,5 @@ def duplicate_keys(entry_rows: DataFrame) -> DataFrame:
 
 
 def write_text(output: DataFrame, path: str) -> None:
-    """One text file for each partition of (file, text)."""
+    """One text file for each partition of (file, text); ``sources.writer.write_files`` writes one for each input."""
     output.select("text").write.text(path)

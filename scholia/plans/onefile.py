@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.operators import bibliography as B
+from scholia.operators import scratch
 from scholia.operators import splitting as S
+from scholia.sources import writer as W
 
 #: Lines of an entry, and of a chunk; chunks end inside entries, and inside strings that hold what looks like an entry.
 ENTRY_LINES, CHUNK_LINES = 9, 50
@@ -43,9 +48,25 @@ d AS (SELECT s, v.code, v.o, y, p_partkey FROM p, LATERAL (VALUES ('unexpected_v
 SELECT 'part.bib' AS file, row_number() OVER (ORDER BY s, o) - 1 AS diag_seq, s * {ENTRY_LINES} + 8 AS line, 'P' || p_partkey AS cite_key, code, '"' || y || '"' AS value FROM d"""
 
 
+def q_written_files(spark, d):
+    """Standard layouts written as one file for each input, and read again: names and digests of their bytes."""
+    from scholia.plans import demo
+
+    folder = f"{scratch.shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    W.write_files(B.prettyprint(demo._bib(spark, d)), folder)
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+_WRITTEN_SQL = """WITH e AS (SELECT p_partkey, printf('part%05d.bib', CAST(floor(p_partkey / 100) AS BIGINT)) AS file, '@Article{P' || p_partkey || ',' || chr(10) || '  author =       "' || p_brand || '",' || chr(10) || '  title =        "' || p_name || ' ' || p_type || '",' || chr(10)
+|| '  ISBN =         "0-387-09823-2",' || chr(10) || '  pages =        "' || p_partkey || '--' || (p_partkey + p_size) || '",' || chr(10) || '  month =        jan,' || chr(10) || '  year =         "' || (p_size + 1430) || '",' || chr(10) || '}' AS entry FROM part),
+f AS (SELECT file, string_agg(entry, chr(10) || chr(10) ORDER BY p_partkey) || chr(10) AS text FROM e GROUP BY file)
+SELECT file, CAST(length(text) AS BIGINT) AS n_bytes, sha256(text) AS sha256 FROM f"""
+
+
 def queries() -> dict:
-    return {"q_split_entries": q_split_entries, "q_split_diagnostics": q_split_diagnostics}
+    return {"q_written_files": q_written_files, "q_split_entries": q_split_entries, "q_split_diagnostics": q_split_diagnostics}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"q_split_entries": _SPLIT_SQL, "q_split_diagnostics": _SPLIT_DIAGNOSTICS_SQL}
+    return {"q_written_files": _WRITTEN_SQL, "q_split_entries": _SPLIT_SQL, "q_split_diagnostics": _SPLIT_DIAGNOSTICS_SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import bibliography as B
 from scholia.sources import config as C
+from scholia.sources import listing
 
 
 @dataclass
@@ -37,9 +38,10 @@ def run(spark: SparkSession, files: list[str], start: C.Config | None = None, st
     """Files with the same configuration are one scan; a name without a file gives an error; - is the standard input."""
     config, missing, groups = start or C.Config(), [], []
     for name in files:
-        found, lost = ([name], []) if name == "-" else C.list_files([name])
+        found, lost = ([name], []) if name == "-" else listing.list_files(spark, [name])
         missing += lost
-        for f, config in [(name, config)] if name == "-" else C.fold_files(found, config):
+        inits = {} if name == "-" or not config.options.read_init_files else listing.init_files(spark, found)
+        for f, config in [(name, config)] if name == "-" else C.fold_files(found, config, inits=inits):
             if f != "-" and groups and groups[-1][0] is config and groups[-1][1] != ["-"]:
                 groups[-1][1].append(f)
             else:

@@ -163,12 +163,16 @@ def find_file(path_list: str, name: str) -> str | None:
     return None
 
 
-def fold_files(files: list[str], start: Config | None = None, suffix: str = ".ini") -> list[tuple[str, Config]]:
-    """Each file with its configuration: init files named like a file change it for that file and all later ones."""
+def fold_files(files: list[str], start: Config | None = None, suffix: str = ".ini", inits: dict[str, str] | None = None) -> list[tuple[str, Config]]:
+    """Each file with its configuration: init files named like a file change it for that file and all later ones. Their texts are given by
+    file name, or read from local files."""
     config, out = start or Config(), []
     for f in files:
         init = re.sub(r"\.[^./]*$", suffix, f)
-        if config.options.read_init_files and init != f and os.path.isfile(init):
+        if inits is not None:
+            if config.options.read_init_files and f in inits:
+                config = apply_init(config, inits[f])
+        elif config.options.read_init_files and init != f and os.path.isfile(init):
             config = apply_init(config, open(init, encoding="latin-1").read())
         out.append((f, config))
     return out
