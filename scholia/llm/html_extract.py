@@ -9,14 +9,14 @@ next path that it has, or, where it has none of them or they hold much less than
 with the most votes are looked up; a page that has none of these is left with the container that it voted for itself.
 
 Menus, headers outside the article, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-known by tag, role, or class and id names, and are neither scored nor extracted; names do not drop what is around the article. Character references are decoded, white space inside a
+known by tag, role, or class and id names, and are neither scored nor extracted; names and forms do not drop what is around the article. Character references are decoded, white space inside a
 block becomes one space, blocks join by an empty line.
 
 Hosts may be any size: votes are partially aggregated, and the paths of all hosts are broadcast up to BROADCAST_BYTES, else
 joined with a salt.
 
 Defined cases: null and empty pages give an empty text; a null URL is a host of its own; unclosed and crossed tags close
-as their context asks; text without a tag is one block; equal scores go to the first element, equal votes to the
+as their context asks, a head at the first tag that cannot be in it; formulas are text; what is hidden is dropped; tags whose quotes do not end take time in proportion to the page; text without a tag is one block; equal scores go to the first element, equal votes to the
 smaller path; repeated rows give a row each; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -35,9 +35,11 @@ from .common import materialize
 
 #: Tags by their role, and names that mark what is not the article (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROP_TAGS = frozenset("nav footer aside form button menu dialog head fieldset".split()) | RAW
+DROP_TAGS = frozenset("nav footer aside button menu dialog head fieldset annotation annotation-xml".split()) | RAW
+#: What a head may hold; any other tag ends it.
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 PAIRED = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -61,6 +63,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _DIGITS = re.compile(r"\d+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|\Z)", re.I)
+#: Characters, as a multiple of the page's, that are read in vain for the ends of quoted attributes; beyond, a tag ends at its next ">".
+VAIN = 8
 
 
 class Page:
@@ -75,14 +80,16 @@ class Page:
         self.in_article = [False]  # by tags or names
         self.block, self.container = [0], [0]  # the nearest from the element up
         self.dropped = [False]
+        self.forms: list[int] = []
         self.named: dict[int, bool] = {}  # blocks dropped by a name, and whether it is of OTHER_TEXT
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
+        self._drop_forms()
         self._drop_named()
 
     def _parse(self, s: str) -> None:
         stack, pos, n = [0], 0, len(s)
-        last_end = s.rfind(">")
+        last_end, vain = s.rfind(">"), VAIN * n
         text: list[str] = []
         linked, in_link, owner = 0, 0, 0
         low_cache: str | None = None
@@ -126,7 +133,11 @@ class Page:
                 pos = at
                 continue
             # beyond the last ">" only a comment can still begin
-            m = (_TOKEN.match(s, at) or _LOOSE.match(s, at)) if at < last_end or s.startswith("<!--", at) else None
+            m = None
+            if at < last_end or s.startswith("<!--", at):
+                if vain > 0 and (m := _TOKEN.match(s, at)) is None:
+                    vain -= n - at
+                m = m or (_TOKEN if s.startswith("<!", at) else _LOOSE).match(s, at)
             if m is None:  # a bare "<" is text
                 if not self.dropped[stack[-1]]:
                     text.append("<")
@@ -136,6 +147,8 @@ class Page:
             if m[2] is None:
                 continue
             tag = m[2].lower()
+            if opened["head"] and tag not in HEAD_TAGS and not (m[1] and tag != "body"):
+                pop_to(opened["head"][-1])
             if m[1]:
                 if tag in VOID:
                     if tag == "br" and not self.dropped[stack[-1]]:
@@ -192,8 +205,12 @@ class Page:
                     path = f"{tag}.{cls}".replace(">", "")
                 elif name == "role":
                     role = value.lower()
+                elif name == "hidden":
+                    hidden = True
                 elif name == "style":
-                    hidden = "display:none" in value.replace(" ", "").lower()
+                    hidden = hidden or "display:none" in value.replace(" ", "").lower()
+        if "hidden" in attrs.lower():
+            hidden = hidden or bool(_HIDDEN.search(_ATTR.sub(" ", attrs)))
         article = self.in_article[up]
         drop = self.dropped[up] or tag in DROP_TAGS or (tag == "header" and not article) or role in DROP_ROLES or hidden
         if names and not drop and tag not in ("html", "body", "article", "main"):
@@ -203,6 +220,8 @@ class Page:
                     self.named[len(self.tag)] = bool(OTHER_TEXT.search(names))
                 else:
                     drop = True
+        if tag == "form" and not drop:
+            self.forms.append(len(self.tag))
         self.parent.append(up)
         self.tag.append(tag)
         # inline elements never hold a container, so their names would only split the votes
@@ -217,11 +236,21 @@ class Page:
         self.dropped.append(drop)
         stack.append(len(self.tag) - 1)
 
-    def _drop_named(self) -> None:
-        """Drops blocks by name, with all inside, but those that are around the page's article: that hold main, all of its
-        article elements or more than half of its text that is no link."""
-        if not self.named:
+    def _drop_forms(self) -> None:
+        """Drops forms, with all inside, but those around the whole page: that hold main, all of its article elements or more than nine
+        tenths of its text that is no link."""
+        if not self.forms:
             return
+        size, articles, mains = self._held()
+        for e in self.forms:
+            whole = mains[e] or (articles[e] and articles[e] == articles[0]) or 10 * size[e] > 9 * size[0]
+            self.dropped[e] = self.dropped[e] or not whole
+        for e in range(1, len(self.tag)):
+            self.dropped[e] = self.dropped[e] or self.dropped[self.parent[e]]
+        self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
+
+    def _held(self) -> tuple[list[int], list[int], list[int]]:
+        """Of each element, with all inside: text that is no link, articles and mains."""
         size, articles, mains = ([0] * len(self.tag) for _ in range(3))
         for e, text, linked in self.blocks:
             size[e] += max(0, len(text) - linked)
@@ -231,6 +260,14 @@ class Page:
                 mains[e] += self.tag[e] == "main"
             for x in (size, articles, mains):
                 x[self.parent[e]] += x[e]
+        return size, articles, mains
+
+    def _drop_named(self) -> None:
+        """Drops blocks by name, with all inside, but those that are around the page's article: that hold main, all of its
+        article elements or more than half of its text that is no link."""
+        if not self.named:
+            return
+        size, articles, mains = self._held()
         for e in range(1, len(self.tag)):
             up = self.dropped[self.parent[e]]
             if e in self.named and not up:
