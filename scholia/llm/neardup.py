@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, tidy, word_hashes
+from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, unused, tidy, word_hashes
 
 #: (tokens on a path, trees), by depth of branching.
 LEVELS = ((2, 16), (4, 32), (6, 64))
@@ -693,9 +693,10 @@ def _with_class(docs: DataFrame, width: int, name: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; all columns stay."""
+    """docs without the rows whose group has a smaller doc_id; all columns stay, whatever their names."""
+    cid = unused(docs, "__cid")
     found = _found(docs, width, percent)
-    gone = materialize(found.filter("not kept").select("doc_id", F.col("cid").alias("__cid")).distinct(), "neardup-gone")
+    gone = materialize(found.filter("not kept").select("doc_id", F.col("cid").alias(cid)).distinct(), "neardup-gone")
     ids = materialize(gone.select("doc_id").distinct(), "neardup-gone-ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(small_or_shuffled(ids), "doc_id", "left_anti").select(*columns)
@@ -703,8 +704,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     both = materialize(found.filter("kept").select("doc_id").join(small_or_shuffled(ids), "doc_id", "left_semi").distinct(), "neardup-both")
     if both.isEmpty():
         return kept
-    rows = _with_class(docs.join(small_or_shuffled(both), "doc_id", "left_semi").select(*columns), width, "__cid")
-    return kept.union(rows.join(small_or_shuffled(gone), ["doc_id", "__cid"], "left_anti").select(*columns))
+    rows = _with_class(docs.join(small_or_shuffled(both), "doc_id", "left_semi").select(*columns), width, cid)
+    return kept.union(rows.join(small_or_shuffled(gone), ["doc_id", cid], "left_anti").select(*columns))
 
 
 #: The rows of near_duplicates(documents, width=4).
