@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, unused, tidy, word_hashes
+from .common import materialize, mix64, scratch_scope, shingle_set, text_slices, tidy, unused, word_hashes
 
 #: (tokens on a path, trees), by depth of branching.
 LEVELS = ((2, 16), (4, 32), (6, 64))
