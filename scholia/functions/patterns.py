@@ -7,6 +7,7 @@ matcher never backtracks, so every repetition is possessive.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,6 +110,72 @@ def to_regex(pattern: str) -> str:
     return "".join(rx for rx, _, _ in parts(pattern))
 
 
+class Expression(str):
+    r"""A pattern in regular-expression syntax: \( \) group, \| separates alternatives, and bare parentheses, braces and bars stand for themselves. It
+    sees the value as it is, and may match any part of it that its anchors allow."""
+
+
+def _class(pattern: str, k: int) -> tuple[str, int]:
+    """A bracket expression that begins at k, as one of the JVM's, and where it ends. A backslash in it is itself."""
+    end = k + 1
+    end += pattern[end : end + 1] == "^"
+    end += pattern[end : end + 1] == "]"
+    end = pattern.find("]", end)
+    if end < 0:
+        raise ValueError(f"no end of a bracket expression: {pattern}")
+    inner, out, quote = pattern[k + 1 : end], "[", lambda c: c if c.isalnum() else "\\" + c
+    if inner[0] == "^":
+        inner, out = inner[1:], "[^"
+    j = 0
+    while j < len(inner):
+        if inner[j + 1 : j + 2] == "-" and j + 2 < len(inner):
+            out += f"{quote(inner[j])}-{quote(inner[j + 2])}"
+            j += 3
+        else:
+            out += quote(inner[j])
+            j += 1
+    return out + "]", end + 1
+
+
+def from_expression(pattern: str) -> str:
+    """An expression in the syntax that Python and the JVM share."""
+    out, k, atom = [], 0, False  # whether what stands before may be repeated
+    while k < len(pattern):
+        c, n = pattern[k], pattern[k + 1 : k + 2]
+        if c == "\\" and n and n in "()|":
+            out.append({"(": "(?:", ")": ")", "|": "|"}[n])
+            atom, k = n == ")", k + 2
+        elif c == "[":
+            rx, k = _class(pattern, k)
+            out.append(rx)
+            atom = True
+        elif c in "*+?" and atom:
+            out.append(c)
+            atom, k = False, k + 1  # a second sign of repetition is a character
+        elif c == "^" and (not k or pattern[:k].endswith((r"\(", r"\|"))):
+            out.append("^")
+            k += 1
+        elif c == "$" and (k + 1 == len(pattern) or pattern[k + 1 :].startswith((r"\)", r"\|"))):
+            out.append(r"(?![\s\S])")
+            k += 1
+        elif c == ".":
+            out.append(".")
+            atom, k = True, k + 1
+        else:
+            if c == "\\" and n:
+                c, k = n, k + 1
+            out.append(c if c.isalnum() or c in " \"'<>=%&@,;`!/_~" else "\\" + c)
+            atom, k = True, k + 1
+    return "".join(out)
+
+
+def found_in(value: Column, rows: list[str]) -> Column:
+    """Whether any of some patterns, all letters or all expressions, matches: one expression, one scan."""
+    if isinstance(rows[0], Expression):
+        return value.rlike("|".join(f"(?:{from_expression(p)})" for p in rows))
+    return visible(value).rlike("^(?:" + "|".join(f"(?:{to_regex(p)})" for p in rows) + r")\z")
+
+
 def failure(pattern: str, seen: str) -> list[str]:
     """Why a value, as patterns see it, does not match: what was expected, and how far value and pattern were read. Empty if it does."""
     at, here = 0, len(pattern)
@@ -137,8 +204,8 @@ def visible(value: Column) -> Column:
 
 
 def matches(value: Column, pattern: str) -> Column:
-    """Whether a whole value matches a pattern."""
-    return visible(value).rlike(rf"^(?:{to_regex(pattern)})\z")
+    """Whether a whole value matches a pattern, or an expression is found in it."""
+    return found_in(value, [pattern])
 
 
 def first_match(value: Column, patterns: list[tuple[str, str | None]]) -> Column:
@@ -154,4 +221,5 @@ def matches_any(value: Column, patterns: list[tuple[str, str | None]]) -> Column
     """Whether any pattern matches; an empty list is satisfied by everything. One expression, one scan."""
     if not patterns:
         return F.lit(True)
-    return visible(value).rlike("^(?:" + "|".join(f"(?:{to_regex(p)})" for p, _ in patterns) + r")\z")
+    kinds = [[p for p, _ in patterns if isinstance(p, Expression) == kind] for kind in (False, True)]
+    return reduce(lambda a, b: a | b, (found_in(value, rows) for rows in kinds if rows))

@@ -27,6 +27,18 @@ def ascii_lower(value: Column) -> Column:
     return F.translate(value, _UPPER, _LOWER)
 
 
+#: Kinds of runs that a text without structure consists of (as tokens are named).
+RUNS = {"ABBREV": "[A-Za-z]+", "VALUE": "[0-9]+", "SPACE": "[ ]+", "NEWLINE": "\n", "LITERAL": "[^A-Za-z0-9 \n]+"}
+
+
+def run_counts(value: Column, runs: dict[str, str] | None = None) -> list[Column]:
+    """For each kind of run its number and its characters, in columns named by the kind: counted inside the value, no run becomes a row."""
+    out = []
+    for kind, pattern in (RUNS if runs is None else runs).items():
+        out += [F.size(F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).cast("long").alias(f"{kind}_n"), (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))).cast("long").alias(f"{kind}_chars")]
+    return out
+
+
 def squeeze_space(value: Column) -> Column:
     """A run of white space becomes its first character."""
     return F.regexp_replace(value, f"({SPACES}){SPACES}+", "$1")

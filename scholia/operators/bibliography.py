@@ -101,10 +101,10 @@ def tokens(texts: DataFrame, options: Options | None = None, **config) -> DataFr
 
 
 def token_text(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
-    """(file, text): the token stream as lines with line directives."""
+    """(file, text): the token stream as lines with line directives, broken at the width of the options."""
     from dataclasses import replace
 
-    return _run(texts, replace(options or Options(), prettyprint=False), OUTPUT, lambda file, p: [{"file": file, "text": "\n".join(token_lines(p.tokens, file or "stdin"))}], **config)
+    return _run(texts, replace(options or Options(), prettyprint=False), OUTPUT, lambda file, p: [{"file": file, "text": "\n".join(token_lines(p.tokens, file or "stdin", width=p.o.width))}], **config)
 
 
 def diagnostics(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
@@ -134,6 +134,23 @@ def message_line(severity: Column, file: Column, line: Column, message: Column)
     return F.when(severity == "warning", warn).otherwise(error)
 
 
+MERGED = "file string, place bigint, kind int, seq bigint, text string, severity string, line bigint, message string"
+
+
+def merged(texts: DataFrame, options: Options | None = None, **config) -> DataFrame:
+    """(file, line_no, text): the standard layout with each message before the line that was being written when it was made, as when text and messages
+    go to one file. Lines and messages are rows; only their order within a file is a window."""
+
+    def rows(file: str, p: Parser) -> list[dict]:
+        lines = [{"file": file, "place": k, "kind": 1, "seq": k, "text": t} for k, t in enumerate(p.page.text().removesuffix("\n").split("\n"))]
+        return lines + [{"file": file, "place": min(at, len(lines)), "kind": 0, "seq": k, **{c: d[c] for c in ("severity", "line", "message")}} for k, (at, d) in enumerate(zip(p.places, p.diagnostics, strict=True))]
+
+    found = _run(texts, options or Options(), MERGED, rows, **config)
+    text = F.when(F.col("kind") == 0, message_line(F.col("severity"), F.col("file"), F.col("line"), F.col("message"))).otherwise(F.col("text"))
+    order = Window.partitionBy("file").orderBy("place", "kind", "seq")
+    return found.select("file", F.row_number().over(order).cast("long").alias("line_no"), text.alias("text"))
+
+
 def drop_empty_fields(entry_rows: DataFrame) -> DataFrame:
     """Entries without fields whose value is an empty string."""
     return entry_rows.withColumn("fields", F.filter("fields", lambda f: f["value"] != '""'))
@@ -149,6 +166,11 @@ def duplicate_keys(entry_rows: DataFrame) -> DataFrame:
     return entry_rows.filter("kind = 'entry'").groupBy(F.lower("cite_key").alias("cite_key")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def sorted_keys(entry_rows: DataFrame) -> DataFrame:
+    """The different keys of entries, in lower case and in order."""
+    return entry_rows.filter("kind = 'entry'").select(F.lower("cite_key").alias("cite_key")).distinct().orderBy("cite_key")
+
+
 def write_text(output: DataFrame, path: str) -> None:
     """One text file for each partition of (file, text); ``sources.writer.write_files`` writes one for each input."""
     output.select("text").write.text(path)

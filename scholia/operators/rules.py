@@ -35,6 +35,8 @@ def _built(make, *key) -> Column:
 def _frozen(x):
     if isinstance(x, dict):
         return tuple((k, _frozen(v)) for k, v in sorted(x.items()))
+    if isinstance(x, patterns.Expression):
+        return ("expression", str(x))
     return tuple(map(_frozen, x)) if isinstance(x, list | tuple) else x
 
 
@@ -124,14 +126,15 @@ def by_patterns(value: Column, rows: list[tuple[str, str | None]], unexpected: C
     """What the first pattern that matches says, if anything; what no pattern matches is unexpected. Patterns in a row without messages are one expression."""
     if not rows:
         return F.lit(None)
-    seen, out, k = patterns.visible(value), None, 0
+    out, k = None, 0
+    kind = lambda p: isinstance(p, patterns.Expression)
     while k < len(rows):
         message, same = rows[k][1], k
-        while same < len(rows) and not message and not rows[same][1]:
+        while same < len(rows) and not message and not rows[same][1] and kind(rows[same][0]) == kind(rows[k][0]):
             same += 1
         group = [p for p, _ in rows[k : max(same, k + 1)]]
         k = max(same, k + 1)
-        hit = seen.rlike("^(?:" + "|".join(f"(?:{patterns.to_regex(p)})" for p in group) + r")\z")
+        hit = patterns.found_in(value, group)
         said = F.lit(None)
         if message:
             severity = "error" if message.startswith("?") else "warning"

@@ -266,10 +266,11 @@ def q_keyword_upsert(spark, d):
 
 
 def q_tokenize(spark, d):
-    kind = lambda t: F.when(t.rlike("^[A-Za-z]+$"), "ABBREV").when(t.rlike("^[0-9]+$"), "VALUE").when(t.rlike("^[ ]+$"), "SPACE").when(t == "\n", "NEWLINE").otherwise("LITERAL")
-    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+|[ ]+|\n|[^A-Za-z0-9 \n]+"), F.lit(0))
-    toks = _t(spark, d, "documents").select(F.explode(found).alias("t"))
-    return toks.groupBy(kind(F.col("t")).alias("token_name")).agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
+    """Runs of each kind in all texts and their characters: sums of what each text holds, then a row for each kind."""
+    counted = _t(spark, d, "documents").where("text is not null").select(*text.run_counts(F.col("text")))
+    total = counted.agg(*(F.sum(c).alias(c) for c in counted.columns))
+    kinds = F.array(*(F.struct(F.lit(k).alias("token_name"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_chars").alias("chars")) for k in text.RUNS))
+    return total.select(F.inline(kinds)).where("n > 0")
 
 
 def q_duplicate_keys(spark, d):
@@ -278,7 +279,7 @@ def q_duplicate_keys(spark, d):
 
 
 def q_sorted_keys(spark, d):
-    return _t(spark, d, "part").select(F.lower(F.substring("p_name", 1, 8)).alias("cite_key")).distinct().orderBy("cite_key")
+    return B.sorted_keys(_t(spark, d, "part").select(F.lit("entry").alias("kind"), F.substring("p_name", 1, 8).alias("cite_key")))
 
 
 def q_like_search(spark, d):

@@ -175,6 +175,27 @@ def q_key_check(spark, d):
 _KEY_CHECK_SQL = "SELECT 'N' || n_nationkey AS cite_key, 'unexpected_key' AS code, 'Unexpected citation key ``N' || n_nationkey || '''''' AS message, 1 AS n FROM nation WHERE n_nationkey IN (3, 7)"
 
 
+def q_expression_patterns(spark, d):
+    """Volumes and numbers by regular expressions of an init file, one with a message, beside a pattern of letters."""
+    config = C.apply_init(C.Config(), r'''volume = ""
+volume ~ "^\"[0-9]+\\(/[0-9]+\\)?\"$"
+volume ~ "[A-C]" "letters in %v"
+number = ""
+number = "\"D\""
+number ~ "(0)"''')
+    k = F.col("p_partkey")
+    volume = F.concat(k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("/"), k.cast("string"))).when(k % 3 == 1, F.substring(F.lit(LETTERS), (k % 26 + 1).cast("int"), F.lit(1))).otherwise(""))
+    number = F.concat(k.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("("), (k % 10).cast("string"), F.lit(")"))).otherwise(""))
+    fields = F.concat(F.lit('volume = "'), volume, F.lit('",\nnumber = "'), number, F.lit('"'))
+    return _codes(_entries(_t(spark, d, "part"), F.concat(F.lit("P"), k.cast("string")), fields), **config.parser_args())
+
+
+_EXPRESSION_PATTERNS_SQL = f"""WITH v AS (SELECT p_partkey AS k, substr('{LETTERS}', p_partkey % 26 + 1, 1) AS l FROM part)
+SELECT 'P' || k AS cite_key, 'user_message' AS code, 'letters in "' || k || l || '"' AS message, 1 AS n FROM v WHERE k % 3 = 1 AND l IN ('A', 'B', 'C')
+UNION ALL SELECT 'P' || k, 'unexpected_value', 'Unexpected value in ``volume = "' || k || l || '"''''', 1 FROM v WHERE k % 3 = 1 AND l NOT IN ('A', 'B', 'C')
+UNION ALL SELECT 'P' || k, 'unexpected_value', 'Unexpected value in ``number = "' || k || '(' || (k % 10) || ')"''''', 1 FROM v WHERE k % 2 = 0 AND k % 10 <> 0"""
+
+
 # text, values and errors by the parser
 
 
@@ -228,6 +249,31 @@ def q_token_text(spark, d):
 _TOKEN_TEXT_SQL = """SELECT 'N' || n_nationkey || '.bib' AS file, 'AT:@ ENTRY:Book LBRACE:{ KEY:N' || n_nationkey || ' COMMA:, FIELD:note EQUALS:= VALUE:"' || n_name || '" SHARP:# ABBREV:n' || n_nationkey || ' COMMA:, RBRACE:}' AS tokens FROM nation"""
 
 
+def q_token_wrap(spark, d):
+    """Long value tokens in a stream of 40 columns."""
+    k = F.col("n_nationkey").cast("string")
+    texts = _entries(_t(spark, d, "nation"), F.concat(F.lit("N"), k), F.concat(F.lit('note = "'), F.repeat(F.concat(F.col("n_name"), F.lit(" ")), 7), k, F.lit('"')))
+    lines = B.token_text(texts, Options(max_width=40))
+    return lines.select("file", F.regexp_extract("text", "(?s)\n(19\tVALUE\t.*?)\n(?=[0-9]+\t|#)", 1).alias("line"))
+
+
+_TOKEN_WRAP_SQL = r"""WITH l AS (SELECT 'N' || n_nationkey || '.bib' AS file, '19' || chr(9) || 'VALUE' || chr(9) || '"\"' || repeat(n_name || ' ', 7) || n_nationkey || '\""' AS line FROM nation)
+SELECT file, array_to_string(list_transform(range(0, (length(line) + 38) // 39), lambda i: substr(line, CAST(39 * i + 1 AS BIGINT), 39)), '\' || chr(10)) AS line FROM l"""
+
+
+def q_merged(spark, d):
+    """Text and messages in one stream: a year that is none stands after its two messages."""
+    k = F.col("n_nationkey")
+    texts = _t(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("file"), F.concat(F.lit("@misc{N"), k.cast("string"), F.lit(", note = {"), F.col("n_name"), F.lit("},\nyear = "), (k + 1440).cast("string"), F.lit("}\n")).alias("text"))
+    return B.merged(texts)
+
+
+_MERGED_SQL = """WITH n AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS file, n_nationkey + 1440 AS y, n_name FROM nation),
+l AS (SELECT file, v.o, v.text FROM n, LATERAL (VALUES (1, '@Misc{N' || k || ',', true), (2, '  note =         "' || n_name || '",', true), (3, '%% ' || file || ':2:Unexpected value in ``year = "' || y || '"''''.', true),
+(4, '%% ' || file || ':2:Suspicious year in ``year = "' || y || '"''''.', y < 1455), (5, '  year =         "' || y || '",', true), (6, '}', true)) AS v(o, text, there) WHERE v.there)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY o) AS line_no, text FROM l"""
+
+
 # configuration
 
 
@@ -306,8 +352,8 @@ def q_options(spark, d):
 _OPTIONS_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_suppkey % 2 <> 0 AS names, s_suppkey % 3 = 0 AS scribe, s_suppkey % 5 <> 0 AS warnings, CASE WHEN s_suppkey = 0 THEN 1152921504606846976 ELSE CAST(s_suppkey AS BIGINT) END AS width, 'file' || s_suppkey AS files FROM supplier"
 
 _PLAIN = (
-    (q_isbn13_hyphenate, _ISBN13_HYPHENATE_SQL), (q_issn_list, _ISSN_LIST_SQL), (q_month_check, _MONTH_CHECK_SQL), (q_field_patterns, _FIELD_PATTERNS_SQL), (q_key_check, _KEY_CHECK_SQL), (q_passthrough, _PASSTHROUGH_SQL),
-    (q_complex_value, _COMPLEX_VALUE_SQL), (q_error_resync, _ERROR_RESYNC_SQL), (q_token_text, _TOKEN_TEXT_SQL), (q_init_file, _INIT_FILE_SQL), (q_keyword_file, _KEYWORD_FILE_SQL), (q_isbn_file, _ISBN_FILE_SQL),
+    (q_isbn13_hyphenate, _ISBN13_HYPHENATE_SQL), (q_issn_list, _ISSN_LIST_SQL), (q_month_check, _MONTH_CHECK_SQL), (q_field_patterns, _FIELD_PATTERNS_SQL), (q_key_check, _KEY_CHECK_SQL), (q_expression_patterns, _EXPRESSION_PATTERNS_SQL), (q_passthrough, _PASSTHROUGH_SQL),
+    (q_complex_value, _COMPLEX_VALUE_SQL), (q_error_resync, _ERROR_RESYNC_SQL), (q_token_text, _TOKEN_TEXT_SQL), (q_token_wrap, _TOKEN_WRAP_SQL), (q_merged, _MERGED_SQL), (q_init_file, _INIT_FILE_SQL), (q_keyword_file, _KEYWORD_FILE_SQL), (q_isbn_file, _ISBN_FILE_SQL),
     (q_options, _OPTIONS_SQL),
 )
 

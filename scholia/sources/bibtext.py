@@ -186,6 +186,7 @@ class Parser:
         self.page = NoPage(self.o.width) if scan else Page(self.o.width)
         self.entries: list[Entry] = []
         self.diagnostics: list[dict] = []
+        self.places: list[int] = []  # lines of output that were written before each diagnostic
         self.tokens: list[tuple[int, int, str, str]] = []
         self.level = 0
         self.close = "}"
@@ -215,6 +216,7 @@ class Parser:
         text = self.expand(message)
         where = "\n".join(self.positions()) if self.o.file_position else ""
         self.diagnostics.append({"position": where, "line": self.value_line if line is None and severity == "warning" else (line or self.line()), "severity": severity, "code": code, "entry_name": self.entry.entry_name, "cite_key": self.entry.cite_key, "field": self.field.name, "value": self.field.value, "message": text})
+        self.places.append(len(self.page.lines))
         if self.scan:
             self.seen.append(("said", self.diagnostics[-1]))
 
@@ -957,12 +959,18 @@ def escape(text: str) -> str:
     return "".join(names.get(c) or (c if " " <= c <= "~" else f"\\{ord(c):03o}") for c in text)
 
 
-def token_lines(tokens: list[tuple[int, int, str, str]], file: str, last: int = 0) -> list[str]:
-    """Tokens as lines, with a line directive wherever the line number grows."""
+def broken(line: str, width: int) -> str:
+    """A line with a backslash and a line end before each character beyond the last column but one."""
+    most = max(1, width - 1)
+    return line if len(line) <= most else "\\\n".join(line[k : k + most] for k in range(0, len(line), most))
+
+
+def token_lines(tokens: list[tuple[int, int, str, str]], file: str, last: int = 0, width: int = 1 << 60) -> list[str]:
+    """Tokens as lines no wider than width, with a line directive wherever the line number grows."""
     out = []
     for line, number, name, text in tokens:
         if line > last:
-            out.append(f'# line {line} "{file}"')
+            out.append(broken(f'# line {line} "{file}"', width))
             last = line
-        out.append(f'{number}\t{name}\t"{escape(text)}"')
+        out.append(broken(f'{number}\t{name}\t"{escape(text)}"', width))
     return out

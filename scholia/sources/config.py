@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.identifiers import ISBN_RANGES
-from scholia.functions.patterns import DEFAULT_PATTERNS
+from scholia.functions.patterns import DEFAULT_PATTERNS, Expression
 from scholia.functions.text import FIELD_NAMES
 from scholia.options import Options, resolve
 
@@ -79,14 +79,14 @@ def add_pattern(patterns: dict[str, list[tuple[str, str | None]]], name: str, pa
         rows.clear()
         return
     for k, (p, _) in enumerate(rows):
-        if p == pattern:
+        if p == pattern and type(p) is type(pattern):
             rows[k] = (p, message)
             return
     rows.append((pattern, message))
 
 
-def apply_init(config: Config, text: str) -> Config:
-    """Options and patterns of an init file."""
+def apply_init(config: Config, text: str, expressions: bool = False) -> Config:
+    """Options and patterns of an init file. A pattern after ``~`` for ``=``, or any with expressions, is in regular-expression syntax."""
     out = config.copy()
     for line in logical_lines(text):
         line = line.strip()
@@ -98,10 +98,12 @@ def apply_init(config: Config, text: str) -> Config:
                 if name == "init-file" and value and os.path.exists(value):
                     out = apply_init(out, open(value, encoding="latin-1").read())
             continue
-        w = [x for x in words(line.replace(":", " ", 1) if re.match(r"[\w-]+\s*:\s*\"", line) else line) if x != "="]
+        sign = re.match(r"[\w-]+\s*([:~])\s*\"", line)
+        w = [x for x in words(line.replace(sign[1], " ", 1) if sign else line) if x != "="]
         if len(w) < 2:
             raise ValueError(f"bad pattern line: {line}")
-        add_pattern(out.patterns, w[0], w[1], w[2] if len(w) > 2 else None)
+        pattern = Expression(w[1]) if w[1] and (expressions or sign and sign[1] == "~") else w[1]
+        add_pattern(out.patterns, w[0], pattern, w[2] if len(w) > 2 else None)
     return out
 
 

@@ -70,6 +70,12 @@ def test_tokens():
     assert lines[:4] == ['# line 1 "stdin"', '2\tAT\t"@"', '18\tSTRING\t"String"', '11\tLBRACE\t"{"'] and '19\tVALUE\t"\\"b\\\\n\\""' in lines
 
 
+def test_token_lines_are_broken():
+    long_ = token_lines(Parser('@String{a = "' + "b" * 50 + '"}\n', Options(prettyprint=False)).run().tokens, "stdin", width=20)
+    assert all(len(x) <= 20 for line in long_ for x in line.split("\n")) and any(x.endswith("\\") for x in "\n".join(long_).split("\n"))
+    assert "".join(long_).replace("\\\n", "") == "".join(token_lines(Parser('@String{a = "' + "b" * 50 + '"}\n', Options(prettyprint=False)).run().tokens, "stdin"))
+
+
 def test_scribe():
     p = Parser('@Book(k, Key <a>, Title = [the "x"], Year 1999)\n@Begin{comment}free { text@End{comment}\n', Options(scribe=True)).run()
     assert [(f.name, f.value) for f in p.entries[0].fields] == [("key", '"a"'), ("title", '"the {"}x{"}"'), ("year", '"1999"')]
@@ -102,6 +108,17 @@ def test_dataframes(spark, tmp_path):
     assert B.prettyprint(rows).count() == 4 and B.entries(rows.limit(0)).count() == 0
 
 
+def test_text_and_messages_in_one_stream(spark):
+    text = "@book{x, title = {A.}, year = 1}\n@book{broken\n\n@book{y, volume = {!}}\n"
+    got = B.merged(spark.createDataFrame([("f", text), ("g", ""), ("h", "@a{b, c = 1}")], "file string, text string")).orderBy("file", "line_no").collect()
+    lines = [r["text"] for r in got if r["file"] == "f"]
+    p = Parser(text, Options(), "f").run()
+    assert [x for x in lines if not x.startswith(("%% f", '?? "f"'))] == p.page.text().removesuffix("\n").split("\n")
+    assert len(lines) - len(p.page.text().removesuffix("\n").split("\n")) == len(p.diagnostics) > 3
+    assert "Final period" in lines[1] and lines[2].startswith("  title") and "Unexpected value" in lines[3] and lines[5].startswith("  year")
+    assert [r["line_no"] for r in got if r["file"] == "f"] == list(range(1, len(lines) + 1))
+
+
 def test_pipeline_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bib").write_text(SAMPLE)
