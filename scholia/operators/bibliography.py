@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.checking import Checker
 from scholia.operators import rules
 from scholia.options import Options
 from scholia.sources.bibtext import Parser, token_lines
@@ -26,6 +27,8 @@ DIAGNOSTICS = "file string, diag_seq bigint, line bigint, severity string, code
 OUTPUT = "file string, text string"
 #: Entries or diagnostics that a row of ``parse`` holds at most, so that rows stay small however long a file is.
 ROWS = 1000
+#: Rows of a batch, and characters of the texts that they come from.
+BATCH_ROWS, BATCH_CHARS = 5000, 4 << 20
 
 
 def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -34,6 +37,27 @@ def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by a key over as many tasks as a shuffle has. A table that is small on disk is read by one or two tasks, however many texts are
+    made from it; deal out its rows before they become texts. Files need it not."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
+def batches_of(found: Iterator[tuple[int, list[dict]]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of successive texts, given with the texts' lengths: those of short texts together, those of a long one apart."""
+    held, chars = [], 0
+    for n, got in found:
+        held += got
+        chars += n
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            for k in range(0, len(held), BATCH_ROWS):
+                yield pa.RecordBatch.from_pylist(held[k : k + BATCH_ROWS], arrow)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, arrow)
+
+
 def _run(texts: DataFrame, options: Options, schema: str, rows, **config) -> DataFrame:
     kind = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,11 +65,15 @@ def _run(texts: DataFrame, options: Options, schema: str, rows, **config) -> Dat
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, text in zip(b.column(0), b.column(1), strict=True):
-                got = rows(file.as_py(), Parser(text.as_py() or "", options, file.as_py() or "stdin", **config).run())
-                for k in range(0, max(1, len(got)), 5000):
-                    yield pa.RecordBatch.from_pylist(got[k : k + 5000], arrow)
+        checker = Checker(config.get("patterns"), config.get("isbn_ranges"))  # of all texts of a task: it compiles some hundred patterns
+
+        def found() -> Iterator[tuple[int, list[dict]]]:
+            for b in batches:
+                for file, text in zip(b.column(0), b.column(1), strict=True):
+                    name, source = file.as_py(), text.as_py() or ""
+                    yield len(source), rows(name, Parser(source, options, name or "stdin", **config, checker=checker).run())
+
+        yield from batches_of(found(), arrow)
 
     return texts.select("file", "text").mapInArrow(run, schema)
 

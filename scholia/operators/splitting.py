@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.checking import Checker
 from scholia.operators import bibliography as B
 from scholia.operators import rules, scratch
 from scholia.options import Options
@@ -193,11 +194,15 @@ def _run(parts: DataFrame, options: Options, schema: str, rows, **config) -> Dat
     arrow = to_arrow_schema(T._parse_datatype_string(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, part, line, last, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = [{"part": part, **r} for r in rows(file, Parser(text, options, file, **config, first_line=line, more=not last).run())]
-                for k in range(0, len(got), 5000):
-                    yield pa.RecordBatch.from_pylist(got[k : k + 5000], arrow)
+        checker = Checker(config.get("patterns"), config.get("isbn_ranges"))
+
+        def found() -> Iterator[tuple[int, list[dict]]]:
+            for b in batches:
+                for scalars in zip(*b.columns, strict=True):
+                    file, part, line, last, text = (x.as_py() for x in scalars)
+                    yield len(text), [{"part": part, **r} for r in rows(file, Parser(text, options, file, **config, first_line=line, more=not last, checker=checker).run())]
+
+        yield from B.batches_of(found(), arrow)
 
     return parts.select("file", "part", "line", "last", "text").mapInArrow(run, columns)
 

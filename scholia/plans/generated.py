@@ -22,6 +22,15 @@ def _t(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The columns that texts are made from, of tables whose rows are dealt out before.
+COLUMNS = {"customer": ("c_custkey",), "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_retailprice"), "orders": ("o_orderkey", "o_orderdate")}
+
+
+def _spread(spark, d: str, name: str) -> DataFrame:
+    """A table whose rows become texts: its keys lie in one file of a few MB, the work is done by all tasks."""
+    return B.spread(_t(spark, d, name).select(*COLUMNS[name]), COLUMNS[name][0])
+
+
 def _values(rows: DataFrame, key: str, make, schema: str = "string") -> DataFrame:
     """rows of (key, value) with a column made from each value in Arrow batches."""
 
@@ -139,7 +148,7 @@ def q_month_check(spark, d):
     """Months: a name that becomes a macro, a macro with a day, and a word that is none."""
     k, when = F.col("o_orderkey"), F.col("o_orderdate")
     value = F.when(k % 3 == 0, F.concat(F.lit('"'), F.date_format(when, "MMMM"), F.lit('"'))).when(k % 3 == 1, F.concat(F.lower(F.date_format(when, "MMM")), F.lit(' # " '), F.dayofmonth(when).cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('"Term '), F.year(when).cast("string"), F.lit('"')))
-    texts = _entries(_t(spark, d, "orders"), F.concat(F.lit("O"), k.cast("string")), F.concat(F.lit("month = "), value))
+    texts = _entries(_spread(spark, d, "orders"), F.concat(F.lit("O"), k.cast("string")), F.concat(F.lit("month = "), value))
     return B.diagnostics(texts).groupBy("code", "value", "message").agg(F.count("*").alias("n"))
 
 
