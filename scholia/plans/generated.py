@@ -131,7 +131,7 @@ def q_issn_list(spark, d):
     issn = F.concat(F.substring(seven, 1, 4), F.lit("-"), F.substring(seven, 5, 3), F.substring(F.lit("0123456789X"), ((total + (k % 3 == 0).cast("int")) % 11 + 1).cast("int"), F.lit(1)))
     name = F.when(k % 2 == 0, "ISSN").otherwise("ISSN-L")
     value = F.concat(issn, F.when(k % 5 == 0, F.concat(F.lit(", "), F.substring(seven, 1, 5))).otherwise(""))
-    texts = _entries(_t(spark, d, "part"), F.concat(F.lit("P"), k.cast("string")), F.concat(name, F.lit(' = "'), value, F.lit('"')))
+    texts = _entries(_spread(spark, d, "part"), F.concat(F.lit("P"), k.cast("string")), F.concat(name, F.lit(' = "'), value, F.lit('"')))
     return _codes(texts)
 
 

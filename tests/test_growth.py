@@ -67,6 +67,6 @@ def dealt(df) -> bool:
     return "RepartitionByExpression" in plan[plan.rindex("MapInArrow") :]
 
 
-@pytest.mark.parametrize("name", ["q_month_check"])
+@pytest.mark.parametrize("name", ["q_month_check", "q_issn_list"])
 def test_rows_are_dealt_out_before_the_scan(spark, name):
     assert dealt(G.queries()[name](spark, DATA))
