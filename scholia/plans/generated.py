@@ -164,7 +164,7 @@ def q_field_patterns(spark, d):
         F.lit('chapter = "'), k, F.when(F.col("p_partkey") % 2 == 0, ".").otherwise("/"), k, F.lit('",\nnumber = "'), k, F.when(F.col("p_partkey") % 3 == 0, "<").otherwise("A"),
         F.lit('",\nprice = "'), F.when(F.col("p_partkey") % 5 == 0, "").otherwise("US"), price, F.lit('"'),
     )
-    return _codes(_entries(_t(spark, d, "part"), F.concat(F.lit("P"), k), fields))
+    return _codes(_entries(_spread(spark, d, "part"), F.concat(F.lit("P"), k), fields))
 
 
 _FIELD_PATTERNS_SQL = """WITH p AS (SELECT p_partkey AS k, CAST(floor(p_retailprice) AS BIGINT) || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS price FROM part)
