@@ -65,7 +65,7 @@ def _fixed(name: str):
     def query(spark, d):
         k = F.col("c_custkey")
         template = F.element_at(F.array(*(F.lit(f'"{g}"') for g, _ in pairs)), (k % 5 + 1).cast("int"))
-        rows = _t(spark, d, "customer").select(k.cast("bigint").alias("c_custkey"), _filled(template, k).alias("value"))
+        rows = _spread(spark, d, "customer").select(k.cast("bigint").alias("c_custkey"), _filled(template, k).alias("value"))
         if field == "author" and not fixes.names_need_tex(options):
             return rows.withColumn("result", text.quoted_names(F.col("value")))
         return _values(rows, "c_custkey", lambda v: fixes.fix(field, v, options, lambda *_: None))
@@ -107,7 +107,7 @@ i AS (SELECT k, twelve || CAST((10 - (list_sum(list_transform(range(1, 13), lamb
 def q_isbn13_hyphenate(spark, d):
     """ISBN-13 values in a list with comments, found, hyphenated and checked by the parser."""
     k = F.col("s_suppkey")
-    texts = _entries(_t(spark, d, "supplier"), F.concat(F.lit("S"), k.cast("string")), F.concat(F.lit('ISBN-13 = "'), _isbn13(k), F.lit(' (no. '), k.cast("string"), F.lit(')"')))
+    texts = _entries(_spread(spark, d, "supplier"), F.concat(F.lit("S"), k.cast("string")), F.concat(F.lit('ISBN-13 = "'), _isbn13(k), F.lit(' (no. '), k.cast("string"), F.lit(')"')))
     found = B.fields(B.entries(texts)).select("cite_key", "value")
     bad = B.diagnostics(texts).groupBy("cite_key").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     return found.join(bad, "cite_key", "left").select("cite_key", "value", F.coalesce("codes", F.lit("")).alias("codes"))
@@ -196,7 +196,7 @@ number ~ "(0)"''')
     volume = F.concat(k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("/"), k.cast("string"))).when(k % 3 == 1, F.substring(F.lit(LETTERS), (k % 26 + 1).cast("int"), F.lit(1))).otherwise(""))
     number = F.concat(k.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("("), (k % 10).cast("string"), F.lit(")"))).otherwise(""))
     fields = F.concat(F.lit('volume = "'), volume, F.lit('",\nnumber = "'), number, F.lit('"'))
-    return _codes(_entries(_t(spark, d, "part"), F.concat(F.lit("P"), k.cast("string")), fields), **config.parser_args())
+    return _codes(_entries(_spread(spark, d, "part"), F.concat(F.lit("P"), k.cast("string")), fields), **config.parser_args())
 
 
 _EXPRESSION_PATTERNS_SQL = f"""WITH v AS (SELECT p_partkey AS k, substr('{LETTERS}', p_partkey % 26 + 1, 1) AS l FROM part)
@@ -212,7 +212,7 @@ def q_passthrough(spark, d):
     """Text between entries, @Include, @Preamble and @String: what kind each is, and its body or value. Comments are no rows."""
     k, name = F.col("s_suppkey").cast("string"), F.col("s_name")
     text = F.concat(F.lit("% about "), name, F.lit("\n@include{file"), k, F.lit("}\n\nfree text "), k, F.lit('\n\n@preamble{"a" # "'), name, F.lit('"}\n@string(n'), k, F.lit(" = {"), name, F.lit("})\n"))
-    rows = B.entries(_t(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("file"), text.alias("text")))
+    rows = B.entries(_spread(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("file"), text.alias("text")))
     value = F.when(F.col("kind") == "string", F.concat(F.col("fields")[0]["name"], F.lit("="), F.col("fields")[0]["value"])).otherwise(F.trim(F.regexp_replace("body", "\n", " ")))
     return rows.select("file", "kind", "entry_name", value.alias("value")).filter("value <> ''")
 
@@ -224,7 +224,7 @@ _PASSTHROUGH_SQL = """SELECT 's' || s_suppkey AS file, v.kind, v.entry_name, v.v
 def q_complex_value(spark, d):
     """Values of several parts, with blanks around them that are trimmed, as parts and as a whole."""
     k = F.col("s_suppkey").cast("string")
-    texts = _entries(_t(spark, d, "supplier"), F.concat(F.lit("S"), k), F.concat(F.lit('publisher = pub'), k, F.lit('#"  and"#{ {X} '), F.col("s_name"), F.lit(' }#\n'), k))
+    texts = _entries(_spread(spark, d, "supplier"), F.concat(F.lit("S"), k), F.concat(F.lit('publisher = pub'), k, F.lit('#"  and"#{ {X} '), F.col("s_name"), F.lit(' }#\n'), k))
     f = B.fields(B.entries(texts))
     return f.select("cite_key", "value", F.array_join(F.transform("parts", lambda p: F.concat(p["type"], F.lit("="), p["text"])), "|").alias("parts"))
 
@@ -238,7 +238,7 @@ def q_error_resync(spark, d):
     k = F.col("s_suppkey")
     s = k.cast("string")
     broken = F.when(k % 4 == 0, '@Book{x, title "no equals"}').when(k % 4 == 1, '@Book{x, title = "a" year = 1}').when(k % 4 == 2, "@9{x}").otherwise("@Book x")
-    texts = _t(spark, d, "supplier").select(F.concat(F.lit("s"), s).alias("file"), F.concat(F.repeat(F.lit("\n"), (k % 7).cast("int")), broken, F.lit("\n@Misc{M"), s, F.lit(", note = 5}\n")).alias("text"))
+    texts = _spread(spark, d, "supplier").select(F.concat(F.lit("s"), s).alias("file"), F.concat(F.repeat(F.lit("\n"), (k % 7).cast("int")), broken, F.lit("\n@Misc{M"), s, F.lit(", note = 5}\n")).alias("text"))
     errors = B.diagnostics(texts).filter("severity = 'error'").select("file", "code", "line")
     after = B.entries(texts).filter("kind = 'entry'").select("file", "cite_key")
     return errors.join(after, "file")
@@ -307,7 +307,7 @@ def q_init_file(spark, d):
         c = C.apply_init(C.Config(), text)
         return [*((f"mine{j}", p, m or "") for j, (p, m) in enumerate(c.patterns["mine"])), ("width", str(c.options.max_width), ""), ("numbers", "some" if c.patterns["number"] else "none", "")]
 
-    return _configured(_t(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "item string, value string, message string")
+    return _configured(_spread(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "item string, value string, message string")
 
 
 _INIT_FILE_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, v.item, v.value, v.message FROM supplier, LATERAL (VALUES ('mine0', 'Dx41', 'again'), ('mine1', s_name, '"' || s_suppkey || '"'),
@@ -322,7 +322,7 @@ def q_keyword_file(spark, d):
     def rows(text: str) -> list[tuple[str]]:
         return [(line.strip(),) for line in C.keyword_lines(C.apply_keywords(C.Config(), text)) if line.split()[0] in ("issn", "coden", "url") or line.startswith("mine")]
 
-    return _configured(_t(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "line string")
+    return _configured(_spread(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "line string")
 
 
 _KEYWORD_FILE_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, trim(rpad(v.a, 31, ' ') || chr(9) || v.b) AS line FROM supplier, LATERAL (VALUES ('mine' || s_suppkey, 'MINE-' || s_suppkey), ('issn', 'issn'), ('url', 'URL')) AS v(a, b)"""
@@ -339,7 +339,7 @@ def q_isbn_file(spark, d):
         begin = c.isbn_ranges[-1][0]
         return [(C.isbn_lines(c)[-1], checking.hyphenate(begin.replace("-", "") + "12345", c.isbn_ranges[-1:]) or "")]
 
-    return _configured(_t(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "line string, hyphenated string")
+    return _configured(_spread(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "line string, hyphenated string")
 
 
 _ISBN_FILE_SQL = """WITH s AS (SELECT s_suppkey AS k, '6-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS r FROM supplier)
@@ -355,7 +355,7 @@ def q_options(spark, d):
         o, _, files = resolve(text.split())
         return [(o.fix_names, o.scribe, o.warnings, o.width, ",".join(files))]
 
-    return _configured(_t(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "names boolean, scribe boolean, warnings boolean, width bigint, files string")
+    return _configured(_spread(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", rows, "names boolean, scribe boolean, warnings boolean, width bigint, files string")
 
 
 _OPTIONS_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_suppkey % 2 <> 0 AS names, s_suppkey % 3 = 0 AS scribe, s_suppkey % 5 <> 0 AS warnings, CASE WHEN s_suppkey = 0 THEN 1152921504606846976 ELSE CAST(s_suppkey AS BIGINT) END AS width, 'file' || s_suppkey AS files FROM supplier"

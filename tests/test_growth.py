@@ -67,6 +67,6 @@ def dealt(df) -> bool:
     return "RepartitionByExpression" in plan[plan.rindex("MapInArrow") :]
 
 
-@pytest.mark.parametrize("name", ["q_month_check", "q_issn_list", "q_field_patterns", "q_expression_patterns"])
+@pytest.mark.parametrize("name", ["q_month_check", "q_issn_list", "q_field_patterns", "q_expression_patterns", "q_error_resync", "q_passthrough", "q_complex_value", "q_isbn13_hyphenate", "q_init_file", "q_options", "q_accent_fix"])
 def test_rows_are_dealt_out_before_the_scan(spark, name):
     assert dealt(G.queries()[name](spark, DATA))
