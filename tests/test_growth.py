@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -70,3 +72,31 @@ def dealt(df) -> bool:
 @pytest.mark.parametrize("name", ["q_month_check", "q_issn_list", "q_field_patterns", "q_expression_patterns", "q_error_resync", "q_passthrough", "q_complex_value", "q_isbn13_hyphenate", "q_init_file", "q_options", "q_accent_fix"])
 def test_rows_are_dealt_out_before_the_scan(spark, name):
     assert dealt(G.queries()[name](spark, DATA))
+
+
+def strings(rng) -> str:
+    """Text whose strings pass many chunks, some deep in braces, some in quotes."""
+    deep = "\n".join("{" * rng.randint(0, 9) for _ in range(8))
+    pieces = ["@Misc{k, note = {a\n@book{b, c = 1}\nd}}\n", f"@book{{x, note = {{{deep}\n@fake{{y,\n", "}\n" * 40, '@Misc{k2, note = "x {{\n\n{\ny\n}\n\n}} z"}\n', "text\n", "@include{f {\n{\n\n}\n}}\n", "@Book{ok,\n  year = 1999,\n}\n"]
+    return "".join(rng.choice(pieces) for _ in range(25))
+
+
+def test_runs_of_chunks_give_the_places_of_one_group(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for f in range(6):
+        text, at = strings(rng) + "end" * (f % 2), 0
+        lines = (text + "\n" * (f % 2)).splitlines(keepends=True)
+        for k in range(0, len(lines), 3):
+            piece = "".join(lines[k : k + 3])
+            rows.append((f"f{f}", at, piece, len(text)))
+            at += len(piece)
+    chunks = spark.createDataFrame(rows, "file string, ord bigint, text string, size bigint").repartition(3).persist()
+    order = lambda df: sorted(map(tuple, df.select("file", "ord", "cut", "part", "line", "last", "phantom").collect()))
+    want = order(S.places(chunks))
+    assert len(want) == len(rows) < S.RUN
+    monkeypatch.setattr(S, "RUN", 7)
+    groups = S.in_runs(S.chunk_maps(chunks), len(rows)).groupBy("file", "run").count().agg({"count": "max"}).first()[0]
+    assert groups <= 3 * S.RUN
+    assert order(S.places(chunks)) == want
+    chunks.unpersist()
