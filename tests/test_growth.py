@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.functions import checking
 from scholia.operators import bibliography as B
@@ -74,6 +75,13 @@ def test_rows_are_dealt_out_before_the_scan(spark, name):
     assert dealt(G.queries()[name](spark, DATA))
 
 
+def test_texts_of_parts_lie_in_many_even_partitions(spark, monkeypatch):
+    monkeypatch.setattr(G, "_codes", lambda texts, *_, **__: texts)
+    sizes = [r["count"] for r in G.q_expression_patterns(spark, DATA).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def strings(rng) -> str:
     """Text whose strings pass many chunks, some deep in braces, some in quotes."""
     deep = "\n".join("{" * rng.randint(0, 9) for _ in range(8))
